@@ -71,8 +71,9 @@ def split_hot_keys(
     for k in keys:
         cond = cond & df[k].eqNullSafe(hot[f"_hot_{k}"])
     share = (position - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    chunk = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1).cast("int")
     # NULL positions sort first, so they belong to the first chunk.
+    whole = F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_parts"))
+    chunk = F.when(F.col("_parts").isNotNull(), F.least(whole, F.col("_parts") - 1)).cast("int")
     return (
         df.join(F.broadcast(hot), cond, "left")
         .withColumn(CHUNK, F.coalesce(chunk, F.lit(0)))
