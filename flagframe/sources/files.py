@@ -100,7 +100,9 @@ def check_rows(
     full = f"{schema}, _corrupt_record string"
     parsed = F.from_json(F.col(col), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     checked = df.select(*id_cols, F.col(col).alias("_text"), parsed.alias("_parsed"))
-    bad = F.col("_text").isNotNull() & F.coalesce(F.col("_parsed._corrupt_record").isNotNull(), F.lit(True))
+    # The parser takes a blank text for an empty row; here it is malformed.
+    blank = F.trim("_text") == ""
+    bad = F.col("_text").isNotNull() & (blank | F.col("_parsed._corrupt_record").isNotNull())
     label = F.when(bad, F.lit("warning" if mode == "warn" else "error")).otherwise(F.lit("ok"))
     if mode == "failfast":
         message = F.concat(F.lit("malformed row: "), F.col("_text"))
