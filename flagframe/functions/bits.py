@@ -167,13 +167,13 @@ def decode(mask: Column, flags: FlagSet, by_name: bool = False, unknown: str = "
     """
     names = sorted(flags.names) if by_name else list(flags.names)
     parts = F.concat_ws(sep, *[F.when(has_all(mask, flags, [n]), F.lit(n)) for n in names])
-    if flags.is_wide:
+    if flags.is_wide or unknown != "hex":
         fallback = F.lit("none")
-    elif unknown == "hex":
-        fallback = F.when(mask == 0, F.lit("none")).otherwise(F.concat(F.lit("unknown(0x"), F.hex(mask), F.lit(")")))
     else:
-        fallback = F.lit("none")
-    return F.when(mask.isNull(), F.lit(None).cast("string")).when(parts == "", fallback).otherwise(parts)
+        as_hex = F.concat(F.lit("unknown(0x"), F.hex(mask), F.lit(")"))
+        fallback = F.when(mask == 0, F.lit("none")).otherwise(as_hex)
+    # The test comes first so that the names are put together once.
+    return F.when(has_any(mask, flags, names), parts).when(mask.isNotNull(), fallback)
 
 
 def from_map(map_col: Column, flags: FlagSet, aliases: Mapping[str, str]) -> Column:

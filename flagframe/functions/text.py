@@ -26,9 +26,12 @@ def is_maskable(text: Column) -> Column:
 
 
 def byte_list(text: Column) -> Column:
-    """Decimal UTF-8 bytes of ``text`` joined by ``", "``."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
-    return F.array_join(F.transform(pairs, lambda p: F.conv(p, 16, 10)), ", ")
+    """Decimal UTF-8 bytes of ``text`` joined by ``", "``.
+
+    Read back as Latin-1, every byte is one character whose code is the byte.
+    """
+    one_per_byte = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.array_join(F.transform(F.split(one_per_byte, ""), lambda c: F.ascii(c).cast("string")), ", ")
 
 
 def mask_literal(text: Column, type_name: Column | str = "string") -> Column:

@@ -227,36 +227,33 @@ def expand_states(contexts: DataFrame, id_cols: Sequence[str], fields: DataFrame
     access checks have three fixed ones. States of structs are their boolean fields
     and come from ``fields``, a flag dictionary with the same ``id_cols``.
     """
-    kind, n = F.col("type"), F.col("complexity").cast("int")
-
-    def fixed(states: Sequence[tuple[str, str, str]]) -> Column:
-        return F.array(*[state_struct(F.lit(i), *map(F.lit, s)) for i, s in enumerate(states)])
-
-    def state_struct(bit: Column, state: Column, condition: Column, action: Column) -> Column:
-        return F.struct(
-            bit.cast("int").alias("bit"),
-            state.alias("state"),
-            condition.alias("condition"),
-            action.alias("action"),
-        )
-
-    def counted(state: str, condition: str, action: str) -> Column:
-        def one(i: Column) -> Column:
-            return state_struct(i, *[F.concat(F.lit(p), i.cast("string")) for p in (state, condition, action)])
-
-        # sequence(0, -1) would count down.
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one))
-
-    states = (
-        F.when(kind == "if_chain", counted("condition_", "evaluate_condition_", "execute_branch_"))
-        .when(kind == "switch", counted("case_", "match_case_", "execute_case_"))
-        .when(kind == "auth_logic", fixed(AUTH_STATES))
-    )
-    function_rule = kind == "function"
+    kind = F.col("type")
+    fixed = {"function": FUNCTION_STATES, "auth_logic": AUTH_STATES}
+    counted = {
+        "if_chain": ("condition_", "evaluate_condition_", "execute_branch_"),
+        "switch": ("case_", "match_case_", "execute_case_"),
+    }
+    has_fixed = kind.isin(*fixed)
     if "eligible" in contexts.columns:
-        function_rule = function_rule & F.col("eligible")
-    states = states.when(function_rule, fixed(FUNCTION_STATES))
-    expanded = contexts.select(*id_cols, "type", F.explode(states).alias("s")).select(*id_cols, "type", "s.*")
+        has_fixed = has_fixed & ((kind != "function") | F.col("eligible"))
+    n = F.when(kind.isin(*counted), F.col("complexity")).when(has_fixed, F.lit(len(AUTH_STATES))).cast("int")
+    # sequence(0, -1) would count down.
+    bits = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    rows = contexts.select(*id_cols, "type", F.explode(bits).alias("bit"))
+
+    def part(i: int) -> Column:
+        """Name, condition or action of the state ``bit`` of its context type."""
+        text = F.lit(None).cast("string")
+        for name, prefixes in counted.items():
+            text = F.when(kind == name, F.concat(F.lit(prefixes[i]), F.col("bit").cast("string"))).otherwise(text)
+        for name, states in fixed.items():
+            listed = F.array(*[F.lit(state[i]) for state in states])
+            text = F.when(kind == name, F.get(listed, F.col("bit"))).otherwise(text)
+        return text
+
+    expanded = rows.select(
+        *id_cols, "type", "bit", part(0).alias("state"), part(1).alias("condition"), part(2).alias("action")
+    )
     if fields is None:
         return expanded
     own = fields.select(
