@@ -202,7 +202,7 @@ def lowest_case(mask: Column, cases: Sequence[tuple[int, str]]) -> Column:
 
 def hex_to_bigint(text: Column) -> Column:
     """``0x...`` text to the BIGINT with the same 64 bits; NULL for anything else."""
-    digits = F.regexp_extract(text, r"^0[xX]([0-9A-Fa-f]{1,16})$", 1)
-    unsigned = F.conv(F.when(digits != "", digits), 16, 10).cast("decimal(20,0)")
+    is_hex = text.rlike(r"^0[xX][0-9A-Fa-f]{1,16}\z")
+    unsigned = F.conv(F.when(is_hex, F.substring(text, 3, 16)), 16, 10).cast("decimal(20,0)")
     half, full = (F.lit(str(1 << n)).cast("decimal(20,0)") for n in (63, 64))
     return F.when(unsigned >= half, unsigned - full).otherwise(unsigned).cast("bigint")

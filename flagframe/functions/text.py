@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flagframe.functions.bits import FlagSet, pack
+
 # Words and the byte length that are never masked.
 STOP_WORDS = ("main", "func", "package", "import", "var", "const", "if", "else", "for", "range")
 MIN_MASKED_BYTES = 4
@@ -82,13 +84,29 @@ def is_valid_ident(token: Column) -> Column:
     return token.rlike(r"^[A-Za-z0-9_$]+\z")
 
 
-TOKEN_CLASSES = {
-    "all_caps": is_all_caps,
-    "all_lower": is_all_lower,
-    "constant_like": is_constant_like,
-    "identifier": is_identifier,
-    "valid_ident": is_valid_ident,
-}
+TOKEN_CLASSES = FlagSet(("all_caps", "all_lower", "constant_like", "identifier", "valid_ident"))
+
+
+def token_classes(token: Column) -> Column:
+    """Mask of the classes a token belongs to; plain ASCII words need a single test."""
+    word = ("constant_like", "identifier", "valid_ident")
+    return (
+        F.when(token.rlike(r"^[a-z]+\z"), F.lit(TOKEN_CLASSES.value("all_lower", *word)))
+        .when(token.rlike(r"^[A-Z]+\z"), F.lit(TOKEN_CLASSES.value("all_caps", *word)))
+        .when(token.rlike(r"^[A-Za-z]+\z"), F.lit(TOKEN_CLASSES.value(*word)))
+        .otherwise(
+            pack(
+                TOKEN_CLASSES,
+                {
+                    "all_caps": is_all_caps(token),
+                    "all_lower": is_all_lower(token),
+                    "constant_like": is_constant_like(token),
+                    "identifier": is_identifier(token),
+                    "valid_ident": is_valid_ident(token),
+                },
+            ).cast("int")
+        )
+    )
 
 
 def one_decimal(value: Column) -> Column:

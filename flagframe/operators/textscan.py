@@ -52,15 +52,16 @@ def token_profile(
 
     Counted inside the row's token array, so nothing is exploded or shuffled.
     """
-    listed = df.select(*id_cols, tokens_of(F.col(col), separator).alias("_tokens"))
-    counted = listed.select(
-        *id_cols,
-        *[
-            F.size(F.filter("_tokens", test)).cast("bigint").alias(name)
-            for name, test in T.TOKEN_CLASSES.items()
-        ],
-    )
-    return counted.unpivot(list(id_cols), list(T.TOKEN_CLASSES), "class", "tokens")
+    classes = T.TOKEN_CLASSES
+
+    def members(name: str) -> Column:
+        bit = F.lit(classes.value(name))
+        return F.size(F.filter("_masks", lambda m: m.bitwiseAND(bit) != 0)).cast("bigint").alias(name)
+
+    masks = F.transform(tokens_of(F.col(col), separator), T.token_classes)
+    listed = df.select(*id_cols, masks.alias("_masks"))
+    counted = listed.select(*id_cols, *[members(name) for name in classes.names])
+    return counted.unpivot(list(id_cols), list(classes.names), "class", "tokens")
 
 
 def rebased_path(path: Column, root: str, is_known: Column) -> Column:

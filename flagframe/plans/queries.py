@@ -195,9 +195,9 @@ def mask_roundtrip(spark, sf_dir):
 def literal_report(spark, sf_dir):
     return masking.literal_report(
         tables.document_tokens(spark, sf_dir),
-        is_import="lang = 'es' and literal rlike '^[A-Z]'",
-        is_tag="literal rlike '^(https?|www)'",
-        is_constant="literal rlike '^[A-Z]+$'",
+        is_import="lang = 'es' and left(literal, 1) between 'A' and 'Z'",
+        is_tag="startswith(literal, 'http') or startswith(literal, 'www')",
+        is_constant="literal = upper(literal)",
     )
 
 
