@@ -90,12 +90,14 @@ def apply_rules(
     compiled: DataFrame | Mapping[str, str],
     default: str | None = None,
     out: str = "action",
+    chain: str | None = None,
 ) -> DataFrame:
     """Exact lookup of ``key``; a miss gives ``default``.
 
-    ``compiled`` is the table of one chain (values are distinct) or a mapping. A
-    table is joined without a hint: Spark broadcasts it when its measured size
-    allows and otherwise splits skewed keys of a sort-merge join.
+    ``compiled`` is a mapping, the table of one chain, or, when ``chain`` names the
+    column of ``df`` that holds each row's chain, the table of many. A table is
+    joined without a hint: Spark broadcasts it when its measured size allows and
+    otherwise splits skewed keys of a sort-merge join.
     """
     if isinstance(compiled, Mapping):
         found = F.lit(None).cast("string")
@@ -103,8 +105,11 @@ def apply_rules(
             pairs = [F.lit(x) for kv in compiled.items() for x in kv]
             found = F.try_element_at(F.create_map(*pairs), F.col(key))
         return df.withColumn(out, F.coalesce(found, F.lit(default)) if default is not None else found)
-    table = compiled.select(F.col("value").alias("_value"), F.col("action").alias("_action"))
-    joined = df.join(table, F.col(key) == F.col("_value"), "left")
-    missed = F.col("_value").isNull()
-    action = F.when(missed, F.lit(default)).otherwise(F.col("_action"))
-    return joined.withColumn(out, action).drop("_value", "_action")
+    columns = [F.col("value").alias("_value"), F.col("action").alias("_action")]
+    matches = F.col(key) == F.col("_value")
+    if chain is not None:
+        columns.append(F.col("chain_id").alias("_chain"))
+        matches = matches & (F.col(chain) == F.col("_chain"))
+    joined = df.join(compiled.select(*columns), matches, "left")
+    action = F.when(F.col("_value").isNull(), F.lit(default)).otherwise(F.col("_action"))
+    return joined.withColumn(out, action).drop("_value", "_action", "_chain")

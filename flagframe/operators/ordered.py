@@ -55,7 +55,8 @@ def split_hot_keys(
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias(_HOT_ROWS), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
         .where(F.col(_HOT_ROWS) > rows_per_chunk)
-        .orderBy(F.desc(_HOT_ROWS))
+        # The keys break ties: both readers of this table must see the same rows.
+        .orderBy(F.desc(_HOT_ROWS), *keys)
         .limit(MAX_HOT_KEYS)
     )
     all_hot = F.sum(_HOT_ROWS).over(Window.partitionBy(F.lit(0)))

@@ -243,8 +243,9 @@ ORACLE: dict[str, str] = {
         min(position) AS position FROM prefix WHERE valid = 1 AND branches >= 3 GROUP BY ALL""",
     "rules_residual": f"""WITH {RULES} SELECT chain_id, position, var, op, value, action FROM prefix
         WHERE valid = 0 OR branches < 3""",
-    "rules_apply": """SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority = '5-LOW' THEN 'none'
-        ELSE 'lane_' || substr(o_orderpriority, 1, 1) END AS action FROM orders""",
+    "rules_apply": """SELECT o_orderkey, o_orderstatus, o_orderpriority,
+        CASE WHEN o_orderpriority = '5-LOW' OR o_orderstatus = 'P' THEN 'none'
+          ELSE 'lane_' || o_orderstatus || substr(o_orderpriority, 1, 1) END AS action FROM orders""",
     "mask_literals": f"""SELECT p_partkey, {_masked('p_name')} AS p_name, {_masked('p_type', 'PartType')} AS p_type FROM part""",
     "mask_roundtrip": f"""SELECT conv_id, turn, md5({_masked('text')}) AS masked_md5, md5(text) AS unmasked_md5
         FROM conversations""",
@@ -409,3 +410,8 @@ ORACLE: dict[str, str] = {
         SELECT l_orderkey, l_partkey, l_linenumber, f AS flags, f & 1 <> 0 AS returned, f & 8 <> 0 AS taxed, l_linestatus,
           CASE l_returnflag WHEN 'A' THEN 'accept' WHEN 'N' THEN 'note' ELSE 'refund' END AS action FROM done""",
 }
+
+# The streams give what the tables give.
+ORACLE["stream_job_state"] = ORACLE["job_state"].replace(f", {_decoded('mask', JOB_BITS)} AS state", "")
+ORACLE["stream_job_rejections"] = ORACLE["job_rejections"]
+ORACLE["stream_registers"] = ORACLE["registers_tumbling"]

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagframe.functions import text as T
 from flagframe.functions.bits import FlagSet
 from flagframe.operators import corpus, dispatch, flags, masking, reports, state, textscan
 from flagframe.plans import tables
 from flagframe.plans.passes import run_passes, standard_passes
+from flagframe.session import scratch_path
 from flagframe.sources import files, registry
+from flagframe.streaming import state as stream_state
 from flagframe.streaming.registers import stream_union_flags
+from flagframe.streaming.sinks import latest_rows, start_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -169,8 +171,8 @@ def rules_residual(spark, sf_dir):
 @query
 def rules_apply(spark, sf_dir):
     compiled = dispatch.compile_rules(tables.priority_rules(spark, sf_dir))
-    orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return dispatch.apply_rules(orders, "o_orderpriority", compiled, default="none")
+    orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return dispatch.apply_rules(orders, "o_orderpriority", compiled, default="none", chain="o_orderstatus")
 
 
 # --- masking and text -----------------------------------------------------------------
@@ -503,6 +505,48 @@ def job_restartable(spark, sf_dir):
     return flags.decode_flags(states, state.RESTARTABLE_FLAGS, "mask", "state", by_name=True, unknown="none")
 
 
+def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a file stream."""
+    schema = tables.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _run_stream(stream: DataFrame, name: str, mode: str) -> str:
+    """Run a stream over what is there; returns where its batches were written."""
+    out = scratch_path(stream.sparkSession, name)
+    start_batches(stream, f"{out}/rows", f"{out}/checkpoint", mode, once=True).awaitTermination()
+    return f"{out}/rows"
+
+
+@query
+def stream_job_state(spark, sf_dir):
+    """The streaming form of ``job_state``, run to the end of the table."""
+    events = tables.as_job_events(
+        _stream_events(spark, sf_dir).withColumn("day", tables.event_day()), tables.JOB_OPS, "event_type"
+    )
+    states = stream_state.stream_job_state(events, ["user_id", "day"], ["ts", "event_id"])
+    return latest_rows(spark, _run_stream(states, "job-state", "update"), ["user_id", "day"])
+
+
+@query
+def stream_job_rejections(spark, sf_dir):
+    events = tables.as_job_events(
+        _stream_events(spark, sf_dir).withColumn("day", tables.event_day()), tables.JOB_OPS, "event_type"
+    )
+    refused = stream_state.stream_job_rejections(events, ["user_id", "day"], "event_id")
+    written = spark.read.schema(refused.schema).parquet(_run_stream(refused, "job-rejections", "append"))
+    return written.select("user_id", "day", "event_id", "op")
+
+
+@query
+def stream_registers(spark, sf_dir):
+    """The streaming form of ``registers_tumbling``."""
+    events = tables.pack_value_flags(_stream_events(spark, sf_dir))
+    registers = stream_union_flags(events, ["event_type"], "flags", "ts", "1 hour", "1 hour")
+    path = _run_stream(registers, "registers", "update")
+    return _window_text(latest_rows(spark, path, ["window_start", "window_end", "event_type"]))
+
+
 def _window_text(df: DataFrame) -> DataFrame:
     for c in ("window_start", "window_end"):
         df = df.withColumn(c, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))

@@ -91,11 +91,16 @@ def event_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_flags(table(spark, sf_dir, "events"), conditions)
 
 
-def value_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+VALUE_FLAGS = {"small": "value < 10", "medium": "value >= 10 and value < 60", "big": "value >= 60"}
+
+
+def pack_value_flags(events: DataFrame) -> DataFrame:
     """events with ``flags`` packed from the size of their value."""
-    return pack_flags(
-        table(spark, sf_dir, "events"), {"small": "value < 10", "medium": "value >= 10 and value < 60", "big": "value >= 60"}
-    )
+    return pack_flags(events, VALUE_FLAGS)
+
+
+def value_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_value_flags(table(spark, sf_dir, "events"))
 
 
 def assign_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,18 +157,19 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priority_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chain over the order priorities; its last branch is no equality."""
-    found = table(spark, sf_dir, "orders").select(F.lit(1).alias("chain_id"), "o_orderpriority").distinct()
-    numbered = number_rows(found, ["chain_id"], ["o_orderpriority"], "position")
+    """A chain over the priorities per order status; one of them breaks too early to compile."""
+    found = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+    numbered = number_rows(found, ["o_orderstatus"], ["o_orderpriority"], "position")
     priority = F.col("o_orderpriority")
+    breaks = (priority == "5-LOW") | ((F.col("o_orderstatus") == "P") & (priority == "3-MEDIUM"))
     return numbered.select(
-        "chain_id",
+        F.col("o_orderstatus").alias("chain_id"),
         "position",
         F.lit("priority").alias("var"),
-        F.when(priority == "5-LOW", F.lit("!=")).otherwise(F.lit("==")).alias("op"),
+        F.when(breaks, F.lit("!=")).otherwise(F.lit("==")).alias("op"),
         F.lit("string").alias("lit_kind"),
         priority.alias("value"),
-        F.concat(F.lit("lane_"), F.substring(priority, 1, 1)).alias("action"),
+        F.concat(F.lit("lane_"), "o_orderstatus", F.substring(priority, 1, 1)).alias("action"),
     )
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flagframe.sources.files import check_files
+from flagframe.streaming.sinks import start_batches
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -25,11 +26,9 @@ def watch_folder(
     once: bool = False,
     interval: str = "10 seconds",
 ) -> StreamingQuery:
-    """Start checking new files under ``root``; failures go to Parquet at ``alerts``.
+    """Start checking new files under ``root``; failures are appended to Parquet at ``alerts``.
 
-    Each micro-batch replaces its own ``batch_id`` partition, so a batch that is
-    repeated after a failure leaves no double alerts. ``once`` handles what is there
-    and stops.
+    ``once`` handles what is there and stops.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -39,11 +38,5 @@ def watch_folder(
         .option("maxFilesPerTrigger", max_files)
         .load(root)
     )
-    checked = check_files(files, parser, "collect", package)
-
-    def notify(batch: DataFrame, batch_id: int) -> None:
-        batch.where(F.col("status") != "ok").write.mode("overwrite").parquet(f"{alerts}/batch_id={batch_id}")
-
-    writer = checked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(notify)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
-    return writer.start()
+    failures = check_files(files, parser, "collect", package).where(F.col("status") != "ok")
+    return start_batches(failures, alerts, checkpoint, once=once, interval=interval)

@@ -74,3 +74,12 @@ def test_apply_table_and_mapping(spark):
     assert {r.k: r.action for r in got} == {"a": "A", "b": "else", None: "else"}
     got = apply_rules(df, "k", {"a": "A"}, default="else").collect()
     assert {r.k: r.action for r in got} == {"a": "A", "b": "else", None: "else"}
+
+
+def test_apply_many_chains(spark):
+    rules = spark.createDataFrame(
+        [(c, i, "x", "==", "string", v, f"{v}{c}") for c in (1, 2) for i, v in enumerate("abc")], SCHEMA
+    )
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (None, "a"), (2, "z")], "c int, k string")
+    got = apply_rules(df, "k", compile_rules(rules), chain="c").collect()
+    assert {(r.c, r.k): r.action for r in got} == {(1, "a"): "a1", (2, "a"): "a2", (3, "a"): None, (None, "a"): None, (2, "z"): None}
