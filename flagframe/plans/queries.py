@@ -11,7 +11,7 @@ from flagframe.functions.bits import FlagSet
 from flagframe.operators import corpus, dispatch, flags, masking, reports, state, textscan
 from flagframe.plans import tables
 from flagframe.plans.passes import run_passes, standard_passes
-from flagframe.session import scratch_path
+from flagframe.session import scratch_path, spread
 from flagframe.sources import files, registry
 from flagframe.streaming import state as stream_state
 from flagframe.streaming.registers import stream_union_flags
@@ -217,7 +217,7 @@ _QUERIES["pseudonymise_high"] = _pseudonyms(3)
 
 
 def _masked_documents(spark, sf_dir):
-    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    documents = spread(tables.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     return masking.mask_by_policy(documents, tables.document_marks(spark, sf_dir), "doc_id", "text")
 
 
@@ -245,7 +245,7 @@ def keyword_counts(spark, sf_dir):
 
 @query
 def token_profile(spark, sf_dir):
-    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return textscan.token_profile(documents, ["doc_id"], "text", "[^A-Za-z]+")
 
 

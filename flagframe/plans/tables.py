@@ -9,6 +9,7 @@ from flagframe.functions.bits import FlagSet
 from flagframe.operators.corpus import score_contexts, weighted_complexity
 from flagframe.operators.flags import pack_flags
 from flagframe.operators.ordered import number_rows
+from flagframe.session import spread
 from flagframe.streaming.state import as_job_events
 
 LINE_FLAGS = {
@@ -176,9 +177,8 @@ def priority_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of every document."""
     words = F.filter(F.split("text", "[^A-Za-z]+"), lambda t: t != "")
-    return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("file"), "lang", F.explode(words).alias("literal")
-    )
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return spread(documents, "doc_id").select(F.col("source").alias("file"), "lang", F.explode(words).alias("literal"))
 
 
 def document_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,7 +365,8 @@ def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(
         F.col("event_type").isin("view", "click"), F.to_json(F.struct(control.alias("control")))
     ).otherwise(F.to_json(control))
-    return table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    return spread(events, "event_id").select("event_id", body.alias("body"))
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
