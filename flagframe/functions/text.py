@@ -17,6 +17,20 @@ MIN_MASKED_BYTES = 4
 # Name parts that mark access-control code, in matching order.
 AUTH_KEYWORDS = ("auth", "login", "check", "verify", "validate", "permission")
 
+# First path parts of the standard library, which are never rebased.
+STANDARD_ROOTS = tuple(
+    """
+    fmt os io log errors strings strconv time context sync path runtime reflect unsafe sort math bytes
+    net http
+    encoding json xml base64
+    crypto md5 sha1 sha256
+    syscall signal
+    testing
+    embed flag
+    regexp unicode bufio image html text mime plugin go debug hash index database
+    """.split()
+)
+
 # Space characters trimmed from lines.
 _BLANKS = " \t\n\v\f\r\u0085\u00a0"
 

@@ -71,7 +71,11 @@ def rebased_path(path: Column, root: str, is_known: Column) -> Column:
 
 
 def rebase_paths(
-    df: DataFrame, col: str, root: str, known_roots: Sequence[str] | DataFrame, out: str | None = None
+    df: DataFrame,
+    col: str,
+    root: str,
+    known_roots: Sequence[str] | DataFrame = T.STANDARD_ROOTS,
+    out: str | None = None,
 ) -> DataFrame:
     """Prefix local paths with ``root``.
 

@@ -23,7 +23,10 @@ def write_report(found: DataFrame, summary: DataFrame, fmt: str, path: str) -> b
     if fmt == "json":
         nested = found.select(
             F.col("file").alias("original_file"),
-            F.struct("type", "description", "location", "bytes_saved", "speedup").alias("optimization"),
+            converted_name(F.col("file")).alias("transpiled_file"),
+            F.struct(
+                "type", "description", "location", "bytes_saved", F.col("speedup").alias("speedup_factor")
+            ).alias("optimization"),
             F.struct(
                 F.col("security_description").alias("description"), F.col("security_strength").alias("strength")
             ).alias("security_feature"),
@@ -36,6 +39,13 @@ def write_report(found: DataFrame, summary: DataFrame, fmt: str, path: str) -> b
     return True
 
 
+def converted_name(path: Column) -> Column:
+    """Name of the converted file: ``_bitwise`` before the first ``.go``."""
+    at = F.locate(".go", path)
+    renamed = F.concat(F.substring(path, F.lit(1), at - 1), F.lit("_bitwise"), F.substring(path, at, F.length(path)))
+    return F.when(at > 0, renamed).otherwise(path)
+
+
 def _finding_lines() -> Column:
     return F.concat_ws(
         "\n",

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flagframe.operators import masking, textscan
@@ -37,6 +39,19 @@ def test_unmask_is_the_inverse(spark):
     assert all(r.s == r.back for r in df.collect())
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.text(max_size=40), min_size=30, max_size=60))
+def test_mask_is_lossless_and_lists_the_bytes(spark, values):
+    df = masking.mask_literals(texts(spark, values), "s", out="m")
+    for r in masking.unmask_literals(df, "m", out="back").collect():
+        assert r.back == r.s
+        raw = r.s.encode()
+        if len(raw) >= 4 and r.s not in ("main", "func", "package", "import", "const", "else", "range"):
+            assert r.m == f"string([]byte{{{', '.join(map(str, raw))}}})"
+        else:
+            assert r.m == r.s
+
+
 def test_literal_report_reasons(spark):
     rows = [
         ("f", "fmt", True, False, False),
@@ -120,6 +135,7 @@ def test_rebase_paths(spark):
     expected = ["fmt", "net/http", "site/internal/x", "host.org/a/b", "site/own", "site/a/b"]
     df = texts(spark, paths)
     assert [r.s for r in textscan.rebase_paths(df, "s", "site", ["fmt", "net"]).orderBy("id").collect()] == expected
+    assert [r.s for r in textscan.rebase_paths(df, "s", "site").orderBy("id").collect()] == expected
     roots = spark.createDataFrame([("fmt",), ("net",)], "root string")
     assert [r.s for r in textscan.rebase_paths(df, "s", "site", roots).orderBy("id").collect()] == expected
 

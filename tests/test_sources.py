@@ -73,6 +73,14 @@ def test_dictionary_round_trip(spark, tmp_path):
     dictionary.save_dictionary(d, str(tmp_path / "dict"))
     loaded = dictionary.load_dictionary(spark, str(tmp_path / "dict"))
     assert sorted(map(tuple, loaded.collect())) == sorted(map(tuple, d.collect()))
+    known = dictionary.flag_set(loaded, "Config", "f")
+    assert known.names == ("Debug", "Verbose", "Logging")
+    assert dictionary.flag_set(loaded, "Config", name="flag_name").names[0] == "FlagConfig_Debug"
+    with pytest.raises(ValueError, match="consecutive"):
+        dictionary.flag_set(loaded.unionByName(loaded.withColumn("file", F.lit("g"))), "Config")
+    wide = spark.range(2000).select(F.lit("f").alias("file"), F.lit("S").alias("struct_name"), F.col("id").alias("bit"), F.col("id").cast("string").alias("field"))
+    with pytest.raises(ValueError, match="more than"):
+        dictionary.flag_set(wide, "S")
     log = spark.createDataFrame([("f", "Debug", "FlagConfig_Debug", True)], "file string, field string, flag_name string, value boolean")
     dictionary.save_assign_log(log, str(tmp_path / "log"))
     dictionary.save_assign_log(log, str(tmp_path / "log"))
@@ -99,6 +107,12 @@ def test_reports(spark, tmp_path):
         outputs.write_report(found, summary, "yaml", str(tmp_path / "x"))
 
 
+def test_converted_names(spark):
+    df = spark.createDataFrame([("a/b.go",), ("x.golden/y.go",), ("none.txt",)], "p string")
+    got = [r.n for r in df.select(outputs.converted_name(F.col("p")).alias("n")).collect()]
+    assert got == ["a/b_bitwise.go", "x_bitwise.golden/y.go", "none.txt"]
+
+
 def test_overlay_and_manifest_sinks(spark, tmp_path):
     original = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content string")
     merged = reports.overlay(original, original.where("path = 'a'").withColumn("content", F.lit("n")), "path", "content")
