@@ -81,7 +81,7 @@ def weighted_complexity(
     return sums.select(*keys, (F.coalesce(F.col("_sum"), F.lit(0)) + base).cast("bigint").alias("complexity"))
 
 
-def assign_owners(nodes: DataFrame, owners: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def assign_owners(nodes: DataFrame, owners: DataFrame, rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
     """Give each node ``(file, line)`` the owner whose line interval holds it.
 
     ``owners(file, name, start_line, end_line)`` do not overlap within a file, so the

@@ -162,7 +162,7 @@ def flag_dictionary(
     struct_keys: Sequence[str] = ("file", "struct_name"),
     package: str | None = None,
     min_flags: int = 1,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """One row per boolean field: flag name, bit, and the width its struct needs.
 

@@ -38,16 +38,18 @@ def _position(df: DataFrame, column: str) -> Column | None:
 
 
 def split_hot_keys(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = ROWS_PER_CHUNK
 ) -> DataFrame:
     """Add ``_chunk`` (monotone in the order, 0 for ordinary keys) and ``_hot_rows``.
 
+    ``rows_per_chunk=None`` leaves all keys whole, for keys known to be small.
+
     The table of hot keys is broadcast: it is the top ``MAX_HOT_KEYS`` by row count
     and so never longer than that. Keys beyond it stay whole, which changes no
     result; each of them has at most 1/``MAX_HOT_KEYS`` of the rows. All hot keys
     together get at most ``MAX_CHUNKS + MAX_HOT_KEYS`` chunks.
     """
-    position = _position(df, order[0])
+    position = _position(df, order[0]) if rows_per_chunk else None
     if position is None:
         return df.withColumn(CHUNK, F.lit(0)).withColumn(_HOT_ROWS, F.lit(None).cast("bigint"))
     hot = (
@@ -106,7 +108,7 @@ def carry_last(
     keys: Sequence[str],
     order: Sequence[str],
     values: Mapping[str, Column],
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Per row, the last non-NULL ``value`` strictly before it in the order of its key."""
     for name, value in values.items():
@@ -142,7 +144,7 @@ def number_rows(
     order: Sequence[str],
     out: str = "row_no",
     total: str | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """1-based row number per key and, on request, the number of rows of the key."""
     rows = split_hot_keys(df, keys, order, rows_per_chunk)

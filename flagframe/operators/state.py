@@ -81,17 +81,41 @@ def job_state(events: DataFrame, key: Sequence[str], order: Sequence[str], op: s
     return parts.select(*key, mask.alias("mask"))
 
 
+def job_history(
+    events: DataFrame, key: Sequence[str], order: Sequence[str], op: str = "op", previous: DataFrame | None = None
+) -> DataFrame:
+    """What decides on the next event of each key: ``ended``, and the last start or retry as ``moved``.
+
+    With ``previous``, the history before these events, the result covers both.
+    """
+    name, seq = F.col(op), order_value(list(order))
+    now = events.groupBy(*key).agg(
+        F.count(F.when(name.isin(*TERMINAL_BITS), 1)).alias("_ends"),
+        F.max_by(name, F.when(name.isin("start", "retry"), seq)).alias("moved"),
+    )
+    now = now.select(*key, (F.col("_ends") > 0).alias("ended"), "moved")
+    if previous is None:
+        return now
+    # Either side has one row per key; of the texts of moves the later one counts.
+    both = now.withColumn("_age", F.lit(0)).unionByName(previous.select(*key, "ended", "moved").withColumn("_age", F.lit(1)))
+    return both.groupBy(*key).agg(
+        F.max("ended").alias("ended"),
+        F.min_by("moved", F.when(F.col("moved").isNotNull(), F.col("_age"))).alias("moved"),
+    )
+
+
 def job_rejections(
     events: DataFrame,
     key: Sequence[str],
     order: Sequence[str],
     op: str = "op",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    previous: DataFrame | None = None,
+    rows_per_chunk: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """The events that the guarded machine refuses.
 
     Refused are all operations but ``cancel`` after the first terminal one, and a
-    ``start`` while running.
+    ``start`` while running. ``previous`` is the ``job_history`` of earlier events.
     """
     name = F.col(op)
     seen = carry_last(
@@ -104,8 +128,18 @@ def job_rejections(
         },
         rows_per_chunk,
     )
+    moved, ended = F.col("_moved"), F.col("_ended")
+    if previous is not None:
+        before = previous.select(
+            *[F.col(k).alias(f"_p_{k}") for k in key], F.col("ended").alias("_p_ended"), F.col("moved").alias("_p_moved")
+        )
+        same_key = F.lit(True)
+        for k in key:
+            same_key = same_key & seen[k].eqNullSafe(before[f"_p_{k}"])
+        seen = seen.join(before, same_key, "left")
+        moved, ended = F.coalesce(moved, "_p_moved"), F.coalesce(ended, "_p_ended")
     known = name.isin("start", "retry", *TERMINAL_BITS)
-    refused = (known & F.col("_ended").isNotNull()) | ((name == "start") & (F.col("_moved") == "start"))
+    refused = (known & F.coalesce(ended, F.lit(False))) | ((name == "start") & (moved == "start"))
     return seen.where(F.coalesce(refused, F.lit(False))).select(*events.columns)
 
 
@@ -114,7 +148,7 @@ def job_state_restartable(
     key: Sequence[str],
     order: Sequence[str],
     op: str = "op",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Final mask per key of the machine whose terminal states may restart.
 

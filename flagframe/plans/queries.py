@@ -533,9 +533,11 @@ def stream_job_rejections(spark, sf_dir):
     events = tables.as_job_events(
         _stream_events(spark, sf_dir).withColumn("day", tables.event_day()), tables.JOB_OPS, "event_type"
     )
-    refused = stream_state.stream_job_rejections(events, ["user_id", "day"], "event_id")
-    written = spark.read.schema(refused.schema).parquet(_run_stream(refused, "job-rejections", "append"))
-    return written.select("user_id", "day", "event_id", "op")
+    out = scratch_path(spark, "job-rejections")
+    stream_state.start_job_rejections(
+        events, ["user_id", "day"], ["ts", "event_id"], out, f"{out}/checkpoint", once=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("user_id", "day", "event_id", "op")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 BATCH = "batch_id"
 
 
+def start_stream(
+    stream: DataFrame,
+    step: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str = "append",
+    once: bool = False,
+    interval: str = "10 seconds",
+) -> StreamingQuery:
+    """Run ``step`` on every micro-batch. ``once`` handles what is there and stops."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(step)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
 def start_batches(
     stream: DataFrame,
     path: str,
@@ -22,15 +36,13 @@ def start_batches(
     """Write every micro-batch to its own ``batch_id`` partition of ``path``.
 
     A batch that is repeated after a failure replaces its partition, so nothing is
-    written twice. ``once`` handles what is there and stops.
+    written twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
-    return writer.start()
+    return start_stream(stream, write, checkpoint, mode, once, interval)
 
 
 def latest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from flagframe.operators.state import TERMINAL_BITS, job_state
+from flagframe.operators.ordered import ROWS_PER_CHUNK
+from flagframe.operators.state import job_history, job_rejections, job_state
+from flagframe.streaming.sinks import BATCH, start_stream
 
 
 def stream_job_state(stream: DataFrame, key: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:
@@ -23,40 +23,53 @@ def stream_job_state(stream: DataFrame, key: Sequence[str], order: Sequence[str]
     return job_state(stream, key, order, op)
 
 
-def stream_job_rejections(
-    stream: DataFrame, key: Sequence[str], order: str, op: str = "op"
-) -> DataFrame:
-    """Refused events of a stream, in arrival order of the micro-batches.
+def _history_before(spark: SparkSession, path: str, batch_id: int, key: Sequence[str], every: int) -> DataFrame | None:
+    """History of all batches before ``batch_id``: the last snapshot and what changed since."""
+    if batch_id == 0:
+        return None
+    snapshot = (batch_id - 1) // every * every
+    parts = [f"{path}/{BATCH}={n}" for n in range(snapshot, batch_id)]
+    changes = spark.read.option("basePath", path).parquet(*parts)
+    return changes.groupBy(*key).agg(F.max_by("ended", BATCH).alias("ended"), F.max_by("moved", BATCH).alias("moved"))
 
-    Within a micro-batch the events of a key are sorted by ``order``; an event that
-    arrives in a later batch is taken as later. What a key keeps is whether it has
-    ended and what its last start or retry was. The size of a micro-batch, and so of
-    one key's part of it, is bounded by the source's rate limit.
+
+def start_job_rejections(
+    stream: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    path: str,
+    checkpoint: str,
+    op: str = "op",
+    once: bool = False,
+    interval: str = "10 seconds",
+    snapshot_every: int = 20,
+    rows_per_chunk: int | None = ROWS_PER_CHUNK,
+) -> StreamingQuery:
+    """Write the refused events of a stream to ``<path>/rows``, one partition per micro-batch.
+
+    Each micro-batch goes through the batch operator, so a hot key is split there as
+    well. Within a micro-batch events are sorted by ``order``; an event of a later
+    batch is taken as later. ``<path>/history`` keeps what the next batch needs of
+    each key, as changes with a full snapshot every ``snapshot_every`` batches. A
+    batch that is repeated after a failure reads only the history before it and
+    replaces what it wrote.
     """
-    schema = stream.select(*key, order, op).schema
-    names = [f.name for f in schema]
-    terminal = list(TERMINAL_BITS)
-
-    def refuse(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ended, moved = state.get if state.exists else (False, "")
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
-        ops = rows[op]
-        ends = ops.isin(terminal)
-        ended_before = ends.cumsum().shift(fill_value=0).gt(0) | ended
-        moves = ops.where(ops.isin(["start", "retry"]))
-        moved_before = moves.ffill().shift().fillna(moved or np.nan)
-        refused = (ended_before & (ends | moves.notna())) | ((ops == "start") & (moved_before == "start"))
-        last_moves = moves.dropna()
-        state.update((bool(ended or ends.any()), str(last_moves.iloc[-1]) if len(last_moves) else moved))
-        yield rows.loc[refused, names]
-
-    return (
-        stream.select(*names)
-        .groupBy(*key)
-        .applyInPandasWithState(
-            refuse, schema, "ended boolean, moved string", "append", GroupStateTimeout.NoTimeout
-        )
-    )
+    key, order = list(key), list(order)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark, history = batch.sparkSession, f"{path}/history"
+        events = batch.select(*dict.fromkeys([*key, *order, op])).persist()
+        previous = _history_before(spark, history, batch_id, key, snapshot_every)
+        refused = job_rejections(events, key, order, op, previous, rows_per_chunk)
+        refused.write.mode("overwrite").parquet(f"{path}/rows/{BATCH}={batch_id}")
+        now = job_history(events, key, order, op, previous)
+        if batch_id % snapshot_every:
+            touched = events.select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
+            now = now.join(touched, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left_semi")
+        now.write.mode("overwrite").parquet(f"{history}/{BATCH}={batch_id}")
+        events.unpersist()
+
+    return start_stream(stream, step, checkpoint, once=once, interval=interval)
 
 
 def as_job_events(events: DataFrame, op_of: dict[str, str], kind: str, op: str = "op") -> DataFrame:

@@ -16,7 +16,7 @@ def skewed_rows(n=600, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("rows_per_chunk", [10**6, 50, 1])
+@pytest.mark.parametrize("rows_per_chunk", [None, 10**6, 50, 1])
 def test_carry_last(spark, rows_per_chunk):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "k int, t int, id int, v string").repartition(7)
@@ -29,7 +29,7 @@ def test_carry_last(spark, rows_per_chunk):
     assert {r.id: r.prev for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("rows_per_chunk", [10**6, 50, 1])
+@pytest.mark.parametrize("rows_per_chunk", [None, 10**6, 50, 1])
 def test_number_rows(spark, rows_per_chunk):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "k int, t int, id int, v string").repartition(7)

@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from flagframe.operators.state import job_rejections, job_state, job_state_restartable
+from flagframe.operators.state import job_history, job_rejections, job_state, job_state_restartable
 
 OPS = ["start", "cancel", "retry", "complete", "fail", "timeout"]
 BIT = {"complete": 16, "fail": 32, "timeout": 64}
@@ -94,3 +94,14 @@ def test_two_order_columns(spark):
     rows = [(1, 0, 1, "start"), (1, 0, 0, "retry"), (1, 1, 0, "cancel")]
     df = spark.createDataFrame(rows, "k int, t int, i int, op string")
     assert job_state(df, ["k"], ["t", "i"]).first()["mask"] == 14
+
+
+@pytest.mark.parametrize("cut", [0, 1, 2, 3])
+def test_rejections_continue_from_a_history(log, cut):
+    """Events up to ``cut`` give a history; the rest is judged by it."""
+    old, new = log.where(f"i < {cut}"), log.where(f"i >= {cut}")
+    history = job_history(old, ["k"], ["i"])
+    got = {(r.k, r.i) for r in job_rejections(new, ["k"], ["i"], previous=history).collect()}
+    assert got == {(k, i) for k, ops in enumerate(SEQUENCES) for i in guarded(ops)[1] if i >= cut}
+    merged = {r.k: (r.ended, r.moved) for r in job_history(new, ["k"], ["i"], previous=history).collect()}
+    assert merged == {r.k: (r.ended, r.moved) for r in job_history(log, ["k"], ["i"]).collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flagframe.operators.state import job_rejections, job_state
 from flagframe.plans import tables
 from flagframe.streaming.registers import stream_union_flags
-from flagframe.streaming.state import stream_job_rejections, stream_job_state
+from flagframe.streaming.state import start_job_rejections, stream_job_state
 from flagframe.streaming.watch import watch_folder
 
 KEY, ORDER = ["user_id", "day"], ["ts", "event_id"]
@@ -73,16 +73,26 @@ def test_state_stream_ignores_arrival_order(spark, replay, tmp_path):
     assert seen == {(r.user_id, r.day): r["mask"] for r in job_state(events, KEY, ORDER).collect()}
 
 
-def test_rejections_stream_equals_batch(spark, replay, tmp_path):
+@pytest.mark.parametrize("rows_per_chunk", [10**6, 10])
+def test_rejections_stream_equals_batch_and_survives_restart(spark, replay, tmp_path, rows_per_chunk):
     events, path = replay
-    out = stream_job_rejections(stream_of(spark, events, path), ["user_id"], "event_id")
-    got = []
-    query = out.writeStream.outputMode("append").foreachBatch(
-        lambda batch, _id: got.extend((r.user_id, r.event_id, r.op) for r in batch.collect())
-    )
-    finish(query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    out = str(tmp_path / "out")
+
+    def run(**trigger):
+        return start_job_rejections(
+            stream_of(spark, events, path), ["user_id"], ["event_id"], out, str(tmp_path / "cp"),
+            snapshot_every=3, rows_per_chunk=rows_per_chunk, **trigger,
+        )
+
+    first = run(interval="0 seconds")
+    while first.lastProgress is None or first.lastProgress["batchId"] < 1:
+        first.awaitTermination(1)
+    first.stop()
+    finish(run(once=True))
+    got = spark.read.parquet(f"{out}/rows").collect()
     expected = job_rejections(events, ["user_id"], ["event_id"]).collect()
-    assert sorted(got) == sorted((r.user_id, r.event_id, r.op) for r in expected)
+    assert sorted((r.user_id, r.event_id, r.op) for r in got) == sorted((r.user_id, r.event_id, r.op) for r in expected)
+    assert {r.batch_id for r in spark.read.parquet(f"{out}/history").collect()} == set(range(8))
 
 
 @pytest.mark.parametrize("kind", ["tumbling", "sliding", "session"])
