@@ -3,7 +3,8 @@
 A window per key puts the whole key into one task. Here the few keys with too
 many rows are cut into chunks along the order column. Chunks are ordinary window
 groups; what crosses a chunk border (a count, the last value seen) is carried by
-a table with one row per chunk of a hot key.
+a table with one row per chunk. Hot keys are looked for when the operator is
+called, by one aggregation over the keys; without any the plan is a plain window.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flagframe.session import cut_lineage
+
 ROWS_PER_CHUNK = 2_000_000
 MAX_HOT_KEYS = 10_000
 MAX_CHUNKS = 100_000
+# A chunk with this many times the wanted rows is cut again.
+CROWDED = 4
 
 CHUNK = "_chunk"
 _HOT_ROWS = "_hot_rows"
@@ -27,6 +32,14 @@ def order_value(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
+def same_keys(df: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of ``keys`` with the prefixed columns of a joined table."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(F.col(f"{prefix}{k}"))
+    return cond
+
+
 def _position(df: DataFrame, column: str) -> Column | None:
     """The leading order column as a monotone double, or None when it has no number line."""
     dtype = df.schema[column].dataType
@@ -37,70 +50,83 @@ def _position(df: DataFrame, column: str) -> Column | None:
     return None
 
 
-def split_hot_keys(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = ROWS_PER_CHUNK
-) -> DataFrame:
-    """Add ``_chunk`` (monotone in the order, 0 for ordinary keys) and ``_hot_rows``.
-
-    ``rows_per_chunk=None`` leaves all keys whole, for keys known to be small.
+def _hot_groups(
+    df: DataFrame, groups: Sequence[str], position: Column, min_rows: int, rows_per_chunk: int
+) -> DataFrame | None:
+    """The largest groups with the number of parts to cut each into; None when there are none.
 
-    The table of hot keys is broadcast: it is the top ``MAX_HOT_KEYS`` by row count
-    and so never longer than that. Keys beyond it stay whole, which changes no
-    result; each of them has at most 1/``MAX_HOT_KEYS`` of the rows. All hot keys
-    together get at most ``MAX_CHUNKS + MAX_HOT_KEYS`` chunks.
+    Small enough to broadcast by construction: the top ``MAX_HOT_KEYS`` by row count,
+    whose parts number at most ``MAX_CHUNKS`` plus one each. Materialised, so that
+    every reader sees the same groups.
     """
-    position = _position(df, order[0]) if rows_per_chunk else None
-    if position is None:
-        return df.withColumn(CHUNK, F.lit(0)).withColumn(_HOT_ROWS, F.lit(None).cast("bigint"))
-    hot = (
-        df.select(*keys, position.alias("_p"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias(_HOT_ROWS), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-        .where(F.col(_HOT_ROWS) > rows_per_chunk)
-        # The keys break ties: both readers of this table must see the same rows.
-        .orderBy(F.desc(_HOT_ROWS), *keys)
-        .limit(MAX_HOT_KEYS)
+    large = (
+        df.select(*groups, position.alias("_p"))
+        .groupBy(*groups)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+        .where(F.col("_rows") > min_rows)
     )
-    all_hot = F.sum(_HOT_ROWS).over(Window.partitionBy(F.lit(0)))
-    rows_each = F.greatest(F.lit(float(rows_per_chunk)), all_hot / F.lit(MAX_CHUNKS))
-    hot = hot.select(
-        *[F.col(k).alias(f"_hot_{k}") for k in keys],
-        _HOT_ROWS,
+    if large.isEmpty():
+        return None
+    largest = cut_lineage(large.orderBy(F.desc("_rows"), *groups).limit(MAX_HOT_KEYS))
+    all_rows = F.sum("_rows").over(Window.partitionBy(F.lit(0)))
+    rows_each = F.greatest(F.lit(float(rows_per_chunk)), all_rows / F.lit(MAX_CHUNKS))
+    return largest.select(
+        *[F.col(g).alias(f"_hot_{g}") for g in groups],
+        "_rows",
         "_lo",
         "_hi",
-        F.ceil(F.col(_HOT_ROWS) / rows_each).alias("_parts"),
+        F.ceil(F.col("_rows") / rows_each).alias("_parts"),
     )
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & df[k].eqNullSafe(hot[f"_hot_{k}"])
+
+
+def _cut(df: DataFrame, groups: Sequence[str], position: Column, hot: DataFrame, part: str, rows: str) -> DataFrame:
+    """Add the number of each row's part (NULL in groups left whole) and the rows of its group."""
     share = (position - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    # NULL positions sort first, so they belong to the first chunk.
+    # NULL positions sort first, so they belong to the first part.
     whole = F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_parts"))
-    chunk = F.when(F.col("_parts").isNotNull(), F.least(whole, F.col("_parts") - 1)).cast("int")
     return (
-        df.join(F.broadcast(hot), cond, "left")
-        .withColumn(CHUNK, F.coalesce(chunk, F.lit(0)))
-        .drop("_lo", "_hi", "_parts", *[f"_hot_{k}" for k in keys])
+        df.join(F.broadcast(hot), same_keys(df, groups, "_hot_"), "left")
+        .withColumn(part, F.when(F.col("_parts").isNotNull(), F.least(whole, F.col("_parts") - 1)))
+        .withColumnRenamed("_rows", rows)
+        .drop("_lo", "_hi", "_parts", *[f"_hot_{g}" for g in groups])
     )
 
 
-def _carry_over(hot_chunks: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
-    """One row per chunk of a hot key with what its earlier chunks hand over.
+def split_hot_keys(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = ROWS_PER_CHUNK
+) -> DataFrame | None:
+    """Add ``_chunk`` (monotone in the order, 0 for ordinary keys) and ``_hot_rows``; None without hot keys.
 
-    Broadcast by its reader: the number of chunks is bounded in ``split_hot_keys``.
+    Hot keys are cut into parts of equal width along the order column, and parts that
+    are still too large, as happens when rows crowd in a short stretch, are cut once
+    more. Keys and parts beyond the bounds of ``_hot_groups`` stay whole, which
+    changes no result. ``rows_per_chunk=None`` leaves all keys whole.
     """
-    return hot_chunks.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.col(CHUNK).alias("_c_chunk"),
-        *[c.alias(name) for name, c in columns.items()],
-    )
+    position = _position(df, order[0]) if rows_per_chunk else None
+    hot = None if position is None else _hot_groups(df, keys, position, rows_per_chunk, rows_per_chunk)
+    if hot is None:
+        return None
+    once = _cut(df, keys, position, hot, "_part", _HOT_ROWS)
+    groups = [*keys, "_part"]
+    parts = once.where(F.col("_part").isNotNull())
+    crowded = _hot_groups(parts, groups, position, CROWDED * rows_per_chunk, rows_per_chunk)
+    part = F.shiftleft(F.coalesce("_part", F.lit(0)).cast("bigint"), 32)
+    if crowded is None:
+        return once.withColumn(CHUNK, part).drop("_part")
+    twice = _cut(once, groups, position, crowded, "_sub_part", "_sub_rows")
+    return twice.withColumn(CHUNK, part + F.coalesce("_sub_part", F.lit(0))).drop("_part", "_sub_part", "_sub_rows")
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cond = rows[CHUNK] == carry["_c_chunk"]
-    for k in keys:
-        cond = cond & rows[k].eqNullSafe(carry[f"_c_{k}"])
-    return rows.join(F.broadcast(carry), cond, "left").drop("_c_chunk", *[f"_c_{k}" for k in keys])
+def _earlier_chunks(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _join_carry(rows: DataFrame, chunks: DataFrame, keys: Sequence[str], carried: Mapping[str, Column]) -> DataFrame:
+    """Attach what earlier chunks hand over; one row per chunk of a hot key, bounded by ``_hot_groups``."""
+    groups = [*keys, CHUNK]
+    carry = chunks.select(*[F.col(g).alias(f"_c_{g}") for g in groups], *[c.alias(n) for n, c in carried.items()])
+    joined = rows.join(F.broadcast(carry), same_keys(rows, groups, "_c_"), "left")
+    return joined.drop(*[f"_c_{g}" for g in groups])
 
 
 def carry_last(
@@ -113,13 +139,17 @@ def carry_last(
     """Per row, the last non-NULL ``value`` strictly before it in the order of its key."""
     for name, value in values.items():
         df = df.withColumn(f"_v_{name}", value)
-    rows = split_hot_keys(df, keys, order, rows_per_chunk)
 
-    window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    detail = rows
-    for name in values:
-        detail = detail.withColumn(f"_in_{name}", F.last(f"_v_{name}", ignorenulls=True).over(before))
+    def last_before(rows: DataFrame, groups: Sequence[str], prefix: str) -> DataFrame:
+        before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        for name in values:
+            rows = rows.withColumn(f"{prefix}{name}", F.last(f"_v_{name}", ignorenulls=True).over(before))
+        return rows
+
+    scratch = [f"_v_{name}" for name in values]
+    rows = split_hot_keys(df, keys, order, rows_per_chunk)
+    if rows is None:
+        return last_before(df, keys, "").drop(*scratch)
 
     seq = order_value(order)
     tails = (
@@ -127,14 +157,11 @@ def carry_last(
         .groupBy(*keys, CHUNK)
         .agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), seq)).alias(f"_t_{n}") for n in values])
     )
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = _carry_over(
-        tails, keys, {f"_from_{n}": F.last(f"_t_{n}", ignorenulls=True).over(earlier) for n in values}
-    )
-    out = _join_carry(detail, carry, keys)
+    carried = {f"_from_{n}": F.last(f"_t_{n}", ignorenulls=True).over(_earlier_chunks(keys)) for n in values}
+    out = _join_carry(last_before(rows, [*keys, CHUNK], "_in_"), tails, keys, carried)
     for name in values:
         out = out.withColumn(name, F.coalesce(f"_in_{name}", f"_from_{name}"))
-    scratch = [f"_{p}_{n}" for n in values for p in ("v", "in", "from")]
+        scratch += [f"_in_{name}", f"_from_{name}"]
     return out.drop(CHUNK, _HOT_ROWS, *scratch)
 
 
@@ -148,15 +175,18 @@ def number_rows(
 ) -> DataFrame:
     """1-based row number per key and, on request, the number of rows of the key."""
     rows = split_hot_keys(df, keys, order, rows_per_chunk)
-    group = Window.partitionBy(*keys, CHUNK)
-    detail = rows.withColumn("_n_in", F.row_number().over(group.orderBy(*order)))
+    group = Window.partitionBy(*keys) if rows is None else Window.partitionBy(*keys, CHUNK)
+    number, size = F.row_number().over(group.orderBy(*order)).cast("bigint"), F.count(F.lit(1)).over(group)
+    if rows is None:
+        numbered = df.withColumn(out, number)
+        return numbered.withColumn(total, size) if total else numbered
+
+    numbered = rows.withColumn("_n_in", number)
     if total:
-        # A hot key's size is already known; an ordinary key is one chunk.
-        detail = detail.withColumn(total, F.coalesce(F.col(_HOT_ROWS), F.count(F.lit(1)).over(group)))
+        # The size of a hot key is known already; an ordinary key is one chunk.
+        numbered = numbered.withColumn(total, F.coalesce(F.col(_HOT_ROWS), size))
     sizes = rows.where(F.col(_HOT_ROWS).isNotNull()).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = _carry_over(sizes, keys, {"_n_before": F.sum("_n").over(earlier)})
-    numbered = _join_carry(detail, carry, keys)
-    return numbered.withColumn(
-        out, (F.col("_n_in") + F.coalesce(F.col("_n_before"), F.lit(0))).cast("bigint")
-    ).drop(CHUNK, _HOT_ROWS, "_n_in", "_n_before")
+    joined = _join_carry(numbered, sizes, keys, {"_n_before": F.sum("_n").over(_earlier_chunks(keys))})
+    return joined.withColumn(out, F.col("_n_in") + F.coalesce("_n_before", F.lit(0))).drop(
+        CHUNK, _HOT_ROWS, "_n_in", "_n_before"
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flagframe.functions import bits
 from flagframe.functions.bits import FlagSet
-from flagframe.operators.ordered import ROWS_PER_CHUNK, carry_last, order_value
+from flagframe.operators.ordered import ROWS_PER_CHUNK, carry_last, order_value, same_keys
 
 # Bits of the guarded machine, from bit 0.
 JOB_FLAGS = FlagSet(
@@ -133,10 +133,7 @@ def job_rejections(
         before = previous.select(
             *[F.col(k).alias(f"_p_{k}") for k in key], F.col("ended").alias("_p_ended"), F.col("moved").alias("_p_moved")
         )
-        same_key = F.lit(True)
-        for k in key:
-            same_key = same_key & seen[k].eqNullSafe(before[f"_p_{k}"])
-        seen = seen.join(before, same_key, "left")
+        seen = seen.join(before, same_keys(seen, key, "_p_"), "left")
         moved, ended = F.coalesce(moved, "_p_moved"), F.coalesce(ended, "_p_ended")
     known = name.isin("start", "retry", *TERMINAL_BITS)
     refused = (known & F.coalesce(ended, F.lit(False))) | ((name == "start") & (moved == "start"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flagframe.operators.ordered import carry_last, number_rows
+from flagframe.operators.ordered import carry_last, number_rows, split_hot_keys
 
 
 def skewed_rows(n=600, seed=5):
@@ -57,3 +57,20 @@ def test_null_positions_come_first(spark):
     df = spark.createDataFrame([(1, None if i < 4 else i, i) for i in range(12)], "k int, t int, id int")
     got = number_rows(df, ["k"], ["t", "id"], "n", rows_per_chunk=2)
     assert {r.id: r.n for r in got.collect()} == {i: i + 1 for i in range(12)}
+
+
+def test_crowded_stretches_are_cut_again(spark):
+    """A key whose rows lie close together between two far ends."""
+    times = [0, 10**9] + [5 * 10**8 + i for i in range(1000)]
+    df = spark.createDataFrame([(1, t, i) for i, t in enumerate(times)] + [(2, 7, -1)], "k int, t bigint, id int")
+    chunks = split_hot_keys(df, ["k"], ["t"], 50)
+    sizes = [r["count"] for r in chunks.groupBy("k", "_chunk").count().collect()]
+    assert max(sizes) <= 60 and len(sizes) >= 20
+    bounds = chunks.where("k = 1").groupBy("_chunk").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("_chunk").collect()
+    assert all(a.hi < b.lo for a, b in zip(bounds, bounds[1:]))
+    ranked = sorted(times)
+    got = number_rows(df, ["k"], ["t"], "n", "size", rows_per_chunk=50).where("k = 1").collect()
+    assert {r.t: (r.n, r["size"]) for r in got} == {t: (i + 1, 1002) for i, t in enumerate(ranked)}
+    before = carry_last(df, ["k"], ["t"], {"prev": F.col("id")}, 50).where("k = 1").collect()
+    ids = {t: i for i, t in enumerate(times)}
+    assert {r.t: r.prev for r in before} == {t: ids[ranked[i - 1]] if i else None for i, t in enumerate(ranked)}
