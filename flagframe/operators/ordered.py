@@ -59,18 +59,20 @@ def _hot_groups(
     whose parts number at most ``MAX_CHUNKS`` plus one each. Materialised, so that
     every reader sees the same groups.
     """
-    large = (
+    largest = (
         df.select(*groups, position.alias("_p"))
         .groupBy(*groups)
         .agg(F.count(F.lit(1)).alias("_rows"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
         .where(F.col("_rows") > min_rows)
+        .orderBy(F.desc("_rows"), *groups)
+        .limit(MAX_HOT_KEYS)
     )
-    if large.isEmpty():
+    found = cut_lineage(largest)
+    if found.isEmpty():
         return None
-    largest = cut_lineage(large.orderBy(F.desc("_rows"), *groups).limit(MAX_HOT_KEYS))
     all_rows = F.sum("_rows").over(Window.partitionBy(F.lit(0)))
     rows_each = F.greatest(F.lit(float(rows_per_chunk)), all_rows / F.lit(MAX_CHUNKS))
-    return largest.select(
+    return found.select(
         *[F.col(g).alias(f"_hot_{g}") for g in groups],
         "_rows",
         "_lo",
@@ -187,6 +189,5 @@ def number_rows(
         numbered = numbered.withColumn(total, F.coalesce(F.col(_HOT_ROWS), size))
     sizes = rows.where(F.col(_HOT_ROWS).isNotNull()).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     joined = _join_carry(numbered, sizes, keys, {"_n_before": F.sum("_n").over(_earlier_chunks(keys))})
-    return joined.withColumn(out, F.col("_n_in") + F.coalesce("_n_before", F.lit(0))).drop(
-        CHUNK, _HOT_ROWS, "_n_in", "_n_before"
-    )
+    row_no = F.col("_n_in") + F.coalesce("_n_before", F.lit(0))
+    return joined.select(*df.columns, row_no.alias(out), *([total] if total else []))
