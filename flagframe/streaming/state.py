@@ -52,7 +52,7 @@ def start_job_rejections(
     batch is taken as later. ``<path>/history`` keeps what the next batch needs of
     each key, as changes with a full snapshot every ``snapshot_every`` batches. A
     batch that is repeated after a failure reads only the history before it and
-    replaces what it wrote.
+    replaces what it wrote. Only one query may write to a path at a time.
     """
     key, order = list(key), list(order)
 
