@@ -1,8 +1,7 @@
-"""Session helpers: a local session for tests and the one way lineage is cut."""
+"""Session helpers: a local session for tests, lineage cuts and tables in the shared scratch folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +29,8 @@ def local_session(cores: int | str = "*", app: str = "flagframe", **conf: str) -
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, taking the one the cluster names when there is one.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local folder would be lost together with its executor.
+    Without ``spark.checkpoint.dir`` a folder under the session's warehouse is
+    taken, which all executors share as they share its tables.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -39,9 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="flagframe-checkpoint-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_flagframe_checkpoints"
     sc.setCheckpointDir(shared)
     return shared
 
@@ -65,3 +62,26 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the checkpoint folder for a table that is written and read back."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared scratch folder and return the written table.
+
+    Later stages read back only the columns they need, see the same rows however
+    often they run, and Spark knows the size of the files: it broadcasts such a table
+    in a join only where that measured size is under the session's limit.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by ``staged`` that nothing reads any more."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/") + "/"
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root.split(":", 1)[-1].lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)

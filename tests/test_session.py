@@ -1,5 +1,3 @@
-import pytest
-
 from flagframe import session
 
 
@@ -7,7 +5,7 @@ class _Conf:
     def __init__(self, values):
         self.values = values
 
-    def get(self, key, default):
+    def get(self, key, default=None):
         return self.values.get(key, default)
 
 
@@ -37,10 +35,16 @@ def test_a_folder_that_is_set_is_kept():
     assert session.ensure_checkpoint_dir(s) == "hdfs:///mine"
 
 
-def test_no_local_folder_on_a_cluster():
-    with pytest.raises(RuntimeError):
-        session.ensure_checkpoint_dir(_Session("yarn"))
-    assert session.ensure_checkpoint_dir(_Session("local[2]"))
+def test_without_setting_a_folder_of_the_warehouse_is_taken():
+    s = _Session("yarn", {"spark.sql.warehouse.dir": "hdfs:///warehouse"})
+    assert session.ensure_checkpoint_dir(s).startswith("hdfs:///warehouse/")
+
+
+def test_staged_table_is_written_and_removed(spark):
+    table = session.staged(spark.range(7).selectExpr("id", "id % 2 as odd"), "numbers")
+    assert table.where("odd = 1").count() == 3 and table.inputFiles()
+    session.discard(table)
+    assert not spark._jvm.java.io.File(table.inputFiles()[0].removeprefix("file://")).exists()
 
 
 def test_lineage_is_cut(spark):
