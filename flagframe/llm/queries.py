@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flagframe.llm import mixing
+from flagframe.llm import binpack, dedup, mixing
 
-ORACLE: dict[str, str] = {"op5_source_mix": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op5_source_mix": mixing.ORACLE, "op7_exact_dedup": dedup.ORACLE}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,13 @@ def op5_source_mix(spark, sf_dir):
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op7_exact_dedup(spark, sf_dir):
+    return dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_bin_slack(spark, sf_dir):
+    return binpack.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
