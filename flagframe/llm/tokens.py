@@ -31,7 +31,7 @@ class WordTokenizer:
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list(words - self.known.keys())
+        new = list(words.difference(self.known))
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         for word, one in zip(new, coded):
             self.known[word] = b"".join([i.to_bytes(4, "little") for i in one.ids])
