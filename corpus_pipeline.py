@@ -8,15 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flagframe.llm import binpack, dedup, mixing
+from flagframe.llm import binpack, dedup, jaccard, mixing, toxicity
 from flagframe.session import staged
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the model is fitted on labelled rows of the same documents."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for white space stays."""
     return dedup.without_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked shingle sets stays, the one with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are left out, kept or repeated as their source's target weight asks."""
     return mixing.mixed(docs)
@@ -27,7 +37,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return binpack.pack(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("source_mix", source_mix), ("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
+]
 
 # Toxicity, the n-gram join and the packing are not expressible in SQL; tests compare them with brute force.
 ORACLE_SQL = None
