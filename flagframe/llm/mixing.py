@@ -42,8 +42,9 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, budget=BUDGET, most=MOST)
     """Targets of the sources (source, source_size): one row each, so one window over them is small.
 
     A source gets weight * level, or its cap of ``most`` times its size if that is less. Sorted
-    by cap over weight, the capped sources come first: level is the first for which
-    the rest of the budget, spread over the weights left, is not above the next cap.
+    by cap over weight the capped sources come first. Taking those before a source as capped and spreading the
+    rest of the budget over the weights from there on gives a level; of the levels that do not exceed
+    their own source's cap the largest is the one that spends the budget.
     """
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(ordered) - 1) % len(weights)
@@ -58,7 +59,7 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, budget=BUDGET, most=MOST)
         .withColumn("_ratio", F.col("_cap") / F.col("_weight"))
         .withColumn("_rest", F.lit(budget) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
         .withColumn("_level", F.col("_rest") / F.sum("_weight").over(from_here))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
+        .withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
     )
     target = F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_weight") * F.col("_level"), F.lit(0.0)))
     return levelled.select("source", "source_size", target.alias("target"))
@@ -163,7 +164,7 @@ WITH d AS (
   FROM r
 ), t AS (
   SELECT source, source_size,
-    least(CAST(cap AS DOUBLE), coalesce(w * (min(CASE WHEN lv <= ratio THEN lv END) OVER ()), 0.0::DOUBLE)) AS target FROM l
+    least(CAST(cap AS DOUBLE), coalesce(w * (max(CASE WHEN lv <= ratio THEN lv END) OVER ()), 0.0::DOUBLE)) AS target FROM l
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(2, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS copies FROM t
 ), q AS (

@@ -37,7 +37,7 @@ LEAST_WEIGHT = 2.0
 STEMS = (4, 5)
 WINDOW = 4
 CACHED_WORDS = 400_000
-LEET = str.maketrans("013457@$!", "oleastasi")
+LEET = str.maketrans("013457@$!", "oieastasi")
 EDGES = "\"'`.,;:!?()[]{}<>|*_~-«»„“”‚‘’…¡¿"
 QUOTES = "\"«»„“”"
 REPORTING = frozenset("said says wrote called quote quoted quotes word term insult disait dit appelé sagte nannte wort dijo llamó palabra".split())
