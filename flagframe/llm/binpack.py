@@ -55,8 +55,8 @@ def _pieces(capacity: int, tokenizer: str | None):
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = words.encode(text) + end
+            for doc_id, coded in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist())):
+                ids = coded + end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
                     seen[length] += 1

@@ -126,8 +126,8 @@ def _packed(capacity: int, block_tokens: int, pad: int, tokenizer: str | None):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ROWS)], schema=_ROWS)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(words.encode(text) + END_ID.to_bytes(4, "little"), "<u4").astype(dtype)
+            for doc_id, coded in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist())):
+                ids = np.frombuffer(coded + END_ID.to_bytes(4, "little"), "<u4").astype(dtype)
                 held.extend((doc_id, start, ids[start : start + capacity]) for start in range(0, len(ids), capacity))
                 total += len(ids)
                 if total >= block_tokens:
