@@ -9,6 +9,8 @@ link when 100 * |A and B| >= 80 * |A or B|. The join returns the components of t
    hold it? A set that links to another shares at least 80 % of its tokens, so at
    most 20 % of them may be unshared; a document with more unshared tokens than that among
    the tokens asked for links with nothing. Prose leaves the join here at three bytes a token.
+   Distinct sets of what is left ask once more, now for all their tokens, which drops sets that
+   only share tokens with their own copies.
 3. The remaining sets are indexed by token, in order of frequency, rarest first, with prefix lengths
    by which any linked pair shares a list. Sets whose tokens are too often unique drop out.
 4. Answers from a similar set. Every list has a leader, its most central set. Only pairs of
@@ -48,6 +50,7 @@ BLOCK_TOKENS = 1 << 18
 OWNER_TOKENS = 1 << 22
 TOKEN_BITS = 48
 CACHED_WORDS = 400_000
+BROADCAST_ROWS = 500_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -89,11 +92,6 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(two[0]), int(two[1])
 
 
-def least_shared(n: int) -> int:
-    """Tokens of a set of ``n`` that a linked set must have too."""
-    return -(-4 * n // 5)
-
-
 _BLOCKS = pa.schema(
     [
         ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("keys1", pa.list_(pa.int64())),
@@ -138,12 +136,14 @@ def _tokens(data: bytes) -> np.ndarray:
     return wide.view(np.int64).ravel()
 
 
-def _asked(width: int):
+def _asked(width: int, column: str):
+    """Messages to owners: a block's distinct tokens in each owner's range, coded."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"block": [], "owner": [], "code": []}
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.unique(_tokens(data))
+            for block, data in zip(batch.column("block").to_pylist(), batch.column(column).to_pylist()):
+                values = np.unique(_short(data) if column == "wide" else _tokens(data))
                 owner = values // width
                 for o in np.unique(owner).tolist():
                     a, b = np.searchsorted(owner, [o, o + 1])
@@ -162,24 +162,46 @@ def _answered(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": group.block, "owner": group.owner, "bits": bits, "n": [len(one) for one in lists]})
 
 
+def _shared(tokens: np.ndarray, answers: list[dict] | None) -> np.ndarray:
+    """Which of a block's tokens another document or block has too."""
+    values, where, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    marks = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in sorted(answers or [], key=lambda a: a["owner"])]
+    elsewhere = np.concatenate(marks).astype(bool) if marks else np.zeros(len(values), bool)
+    return (elsewhere | (counts > 1))[where]
+
+
 def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a block that share enough of the tokens asked for."""
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for _, ids, sizes, one, two, data, answers in zip(*(c.to_pylist() for c in batch.columns)):
-            tokens, sizes = _tokens(data), np.array(sizes, np.int64)
-            values, where, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-            marks = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in sorted(answers or [], key=lambda a: a["owner"])]
-            shared = (np.concatenate(marks).astype(bool) if marks else np.zeros(len(values), bool)) | (counts > 1)
+        out: list[list] = [[], [], []]
+        for ids, sizes, one, two, data, answers in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "sizes", "keys1", "keys2", "tokens", "answers"))):
+            sizes = np.array(sizes, np.int64)
             asked = (sizes + 1) // 2
             ends = np.cumsum(asked)
-            total = np.concatenate([[0], np.cumsum(shared[where])])
+            total = np.concatenate([[0], np.cumsum(_shared(_tokens(data), answers))])
             found = total[ends] - total[ends - asked]
-            unshared = sizes - -(-4 * sizes // 5)
-            for i in np.flatnonzero((sizes > 0) & (asked - found <= unshared)):
-                for column, value in zip(out, (ids[i], int(sizes[i]), one[i], two[i])):
+            for i in np.flatnonzero((sizes > 0) & (asked - found <= sizes - _least(sizes))):
+                for column, value in zip(out, (ids[i], one[i], two[i])):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "n", "key1", "key2"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "key1", "key2"])
+
+
+def _least(n):
+    """Tokens of a set of ``n`` that a linked set must have too."""
+    return -(-4 * n // 5)
+
+
+def _short(data: bytes) -> np.ndarray:
+    return (np.frombuffer(data, np.uint64) >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
+
+
+def _answers(blocks: DataFrame, column: str, total: int) -> DataFrame:
+    """Blocks with the owners' answers to the tokens in ``column``, one per owner."""
+    width = -(-(1 << TOKEN_BITS) // max(1, total // OWNER_TOKENS))
+    asked = blocks.select("block", column).mapInArrow(_asked(width, column), "block long, owner long, code binary")
+    answers = asked.groupBy("owner").applyInPandas(_answered, "block long, owner long, bits binary, n int")
+    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "bits", "n")).alias("answers"))
+    return blocks.join(gathered, "block", "left").select(*blocks.columns, "answers")
 
 
 def documents_of(blocks: DataFrame) -> DataFrame:
@@ -190,16 +212,10 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
 
 def sharing_nodes(blocks: DataFrame) -> DataFrame:
-    """Distinct sets that may link to another: key1, key2, n and a document that has the set."""
+    """Distinct sets that may link to another or have copies: key1, key2 and a document that has the set."""
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + F.shiftright(n + 1, 1)))).first()[0] or 0
-    width = -(-(1 << TOKEN_BITS) // max(1, total // OWNER_TOKENS))
-    asked = blocks.select("block", "tokens").mapInArrow(_asked(width), "block long, owner long, code binary")
-    answers = asked.groupBy("owner").applyInPandas(_answered, "block long, owner long, bits binary, n int")
-    # a block has one answer per owner at most
-    gathered = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "bits", "n")).alias("answers"))
-    heard = blocks.join(gathered, "block", "left").select(*blocks.columns, "answers")
-    passed = heard.mapInArrow(_passed, "doc_id long, n long, key1 long, key2 long")
-    return passed.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("doc_id"))
+    passed = _answers(blocks, "tokens", total).mapInArrow(_passed, "doc_id long, key1 long, key2 long")
+    return passed.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,27 +223,72 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(text) for text in batch.column(1).to_pylist()]
         keys = [digest(tokens) for tokens in found]
-        columns = [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
+        columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
         columns.append(pa.array([tokens.view(np.int64) for tokens in found], pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key1", "key2", "tokens"])
+        yield pa.RecordBatch.from_arrays(columns, ["key1", "key2", "tokens"])
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The sets of ``nodes``, each once, from the whole texts: node, n, key1, key2, tokens."""
-    named = nodes.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "key1", "key2", "n")])
-    wanted = docs.join(named.select("_doc_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
-    sets = wanted.mapInArrow(_sets, "doc_id long, key1 long, key2 long, tokens array<long>")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2"))
-    kept = sets.join(named, same).select(F.col("_n").alias("n"), "key1", "key2", "tokens").dropDuplicates(["key1", "key2"])
-    return kept.withColumn("node", F.monotonically_increasing_id())
+    """The distinct sets of the documents that ``nodes`` name, from their whole texts: node, n, key1, key2, tokens."""
+    named = nodes.select(F.col("doc_id").alias("_doc_id")).distinct()
+    # numbers only: broadcast up to a size, shuffled beyond
+    named = F.broadcast(named) if nodes.count() <= BROADCAST_ROWS else named
+    wanted = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
+    sets = wanted.mapInArrow(_sets, "key1 long, key2 long, tokens array<long>").dropDuplicates(["key1", "key2"])
+    return sets.select("key1", "key2", "tokens", F.size("tokens").cast("long").alias("n"), F.monotonically_increasing_id().alias("node"))
+
+
+def _set_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, number = TaskContext.get().partitionId(), 0
+    nodes, sizes, data, held = [], [], [], 0
+
+    def row():
+        columns = [pa.array([(part << 32) + number]), pa.array([nodes], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "nodes", "sizes", "wide"])
+
+    for batch in batches:
+        lists = batch.column(1)
+        for i, node in enumerate(batch.column(0).to_pylist()):
+            tokens = lists[i].values.to_numpy()
+            nodes.append(node)
+            sizes.append(len(tokens))
+            data.append(tokens.tobytes())
+            held += len(tokens)
+            if held >= BLOCK_TOKENS:
+                yield row()
+                nodes, sizes, data, held, number = [], [], [], 0, number + 1
+    if nodes:
+        yield row()
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared tokens of the sets that share enough of them."""
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for nodes, sizes, data, answers in zip(*(batch.column(c).to_pylist() for c in ("nodes", "sizes", "wide", "answers"))):
+            tokens, shared, end = np.frombuffer(data, np.int64), _shared(_short(data), answers), 0
+            for node, n in zip(nodes, sizes):
+                start, end = end, end + n
+                own = tokens[start:end][shared[start:end]]
+                if len(own) >= max(1, _least(n)):
+                    for column, value in zip(out, (node, n, own)):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["node", "n", "tokens"])
+
+
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """Of the distinct sets those that share enough tokens with other sets, with these tokens: node, n, tokens."""
+    blocks = staged(sets.select("node", "tokens").mapInArrow(_set_blocks, "block long, nodes array<long>, sizes array<long>, wide binary"), "jaccard-set-blocks")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    return _answers(blocks, "wide", total).mapInArrow(_kept, "node long, n long, tokens array<long>")
 
 
 # --- lists -----------------------------------------------------------------------------------------
 
 
-def index_lists(sets: DataFrame) -> DataFrame:
+def index_lists(shared: DataFrame) -> DataFrame:
     """Entries of lists with two sets or more: token, node, n, shared (tokens held by another set), centre, position."""
-    entries = sets.select("node", "n", F.explode("tokens").alias("token"))
+    entries = shared.select("node", "n", F.explode("tokens").alias("token"))
     often = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = staged(entries.join(often, "token"), "jaccard-entries")
     per_node = known.groupBy("node").agg(F.count("*").alias("shared"), F.sum("df").alias("centre"))
@@ -315,7 +376,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = staged(texts.mapInArrow(_blocks, BLOCK_SCHEMA), "jaccard-blocks")
     nodes = staged(sharing_nodes(blocks), "jaccard-nodes")
     sets = staged(node_sets(texts, nodes), "jaccard-sets")
-    roots = components(links_of(sets, staged(index_lists(sets), "jaccard-lists")))
+    shared = staged(shared_tokens(sets), "jaccard-shared")
+    roots = components(links_of(sets, staged(index_lists(shared), "jaccard-lists")))
     rows = documents_of(blocks)
     # groups of equal sets and of linked sets; every other document is alone
     equal = rows.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
