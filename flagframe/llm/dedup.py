@@ -163,19 +163,18 @@ def _decided(rows: DataFrame, norm: Column) -> tuple[DataFrame, DataFrame]:
     suspect = rows.join(marked, "rid", "left_semi")
     rank = F.struct("length", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("first"), (-F.col("rid")).alias("row"))
     classes = suspect.groupBy("text_sha256", norm.alias("bytes")).agg(F.max(rank).alias("best"), F.count("*").alias("group_size"))
-    twins = classes.withColumn("n", F.count("*").over(_by_digest())).select(
-        F.col("text_sha256").alias("digest"), "best", "group_size", F.when(F.col("n") > 1, F.col("bytes")).alias("bytes")
+    # two texts of one digest, should they ever occur, are told apart by their bytes
+    several = classes.groupBy(F.col("text_sha256").alias("digest")).count().where("count > 1")
+    twins = staged(
+        classes.join(several, F.col("text_sha256") == F.col("digest"), "left").select(
+            F.col("text_sha256").alias("twin"), "best", "group_size", F.when(F.col("count") > 1, F.col("bytes")).alias("bytes")
+        ),
+        "dedup-classes",
     )
-    same = (F.col("text_sha256") == F.col("digest")) & (F.col("bytes").isNull() | (F.col("bytes") == norm))
+    same = (F.col("text_sha256") == F.col("twin")) & (F.col("bytes").isNull() | (F.col("bytes") == norm))
     return single, suspect.join(twins, same)
 
 
-def _by_digest():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("text_sha256")
-
-
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = _staged_rows(docs, carry=False)
