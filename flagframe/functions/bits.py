@@ -142,6 +142,28 @@ def has_none(mask: Column, flags: FlagSet, names: Iterable[str]) -> Column:
     return reduce(lambda a, b: a & b, [got == 0 for got, _ in _tested(mask, flags, names)], F.lit(True))
 
 
+def words_of(mask: Column, n_words: int) -> list[Column]:
+    """The words of a wide mask, lowest first."""
+    return [F.element_at(mask, w + 1) for w in range(n_words)]
+
+
+def n_words(flags: FlagSet) -> int:
+    return -(-flags.size // WORD_BITS)
+
+
+def apply_wide_update(mask: Column, n: int, operands: Mapping[str, Column]) -> Column:
+    """``apply_update`` on arrays of ``n`` words; the required bits are tested in all words together."""
+    zero = F.array_repeat(F.lit(0).cast("bigint"), n)
+    given = {k: words_of(F.coalesce(v, zero), n) for k, v in operands.items()}
+    own = words_of(mask, n)
+    require = given.pop("require_mask", None)
+    new = F.array(*[apply_update(word, **{k: v[i] for k, v in given.items()}) for i, word in enumerate(own)])
+    if require is None:
+        return new
+    ready = reduce(lambda a, b: a & b, [word.bitwiseAND(r) == r for word, r in zip(own, require)])
+    return F.when(ready, new).otherwise(mask)
+
+
 def apply_update(
     mask: Column,
     set_mask: Column | int = 0,
@@ -167,11 +189,16 @@ def decode(mask: Column, flags: FlagSet, by_name: bool = False, unknown: str = "
     """
     names = sorted(flags.names) if by_name else list(flags.names)
     parts = F.concat_ws(sep, *[F.when(has_all(mask, flags, [n]), F.lit(n)) for n in names])
-    if flags.is_wide or unknown != "hex":
+    if unknown != "hex":
         fallback = F.lit("none")
     else:
-        as_hex = F.concat(F.lit("unknown(0x"), F.hex(mask), F.lit(")"))
-        fallback = F.when(mask == 0, F.lit("none")).otherwise(as_hex)
+        if flags.is_wide:
+            words = words_of(mask, n_words(flags))[::-1]
+            digits = F.ltrim(F.concat(*[F.lpad(F.hex(w), 16, "0") for w in words]), F.lit("0"))
+            empty = digits == ""
+        else:
+            digits, empty = F.hex(mask), mask == 0
+        fallback = F.when(empty, F.lit("none")).otherwise(F.concat(F.lit("unknown(0x"), digits, F.lit(")")))
     # The test comes first so that the names are put together once.
     return F.when(has_any(mask, flags, names), parts).when(mask.isNotNull(), fallback)
 
@@ -191,11 +218,13 @@ def from_map(map_col: Column, flags: FlagSet, aliases: Mapping[str, str]) -> Col
     return pack(flags, conditions)
 
 
-def lowest_case(mask: Column, cases: Sequence[tuple[int, str]]) -> Column:
+def lowest_case(mask: Column, cases: Sequence[tuple[int, str]], wide: bool = False) -> Column:
     """Action of the first listed bit that is set in ``mask``; NULL when none is."""
     out: Column | None = None
     for bit, action in cases:
-        cond = mask.bitwiseAND(F.lit(to_signed(1 << bit))) != 0
+        word, place = divmod(bit, WORD_BITS)
+        value = F.element_at(mask, word + 1) if wide else mask
+        cond = value.bitwiseAND(F.lit(to_signed(1 << (place if wide else bit)))) != 0
         out = F.when(cond, F.lit(action)) if out is None else out.when(cond, F.lit(action))
     return F.lit(None).cast("string") if out is None else out
 

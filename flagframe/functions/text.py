@@ -18,21 +18,18 @@ MIN_MASKED_BYTES = 4
 AUTH_KEYWORDS = ("auth", "login", "check", "verify", "validate", "permission")
 
 # First path parts of the standard library, which are never rebased.
-STANDARD_ROOTS = tuple(
-    """
-    fmt os io log errors strings strconv time context sync path runtime reflect unsafe sort math bytes
-    net http
-    encoding json xml base64
-    crypto md5 sha1 sha256
-    syscall signal
-    testing
-    embed flag
-    regexp unicode bufio image html text mime plugin go debug hash index database
-    """.split()
+STANDARD_ROOTS = (
+    "fmt", "os", "io", "log", "errors", "strings", "strconv", "time", "context", "sync", "path", "runtime", "reflect", "unsafe",
+    "sort", "math", "bytes", "net", "http", "encoding", "json", "xml", "base64", "crypto", "md5", "sha1", "sha256", "syscall",
+    "signal", "testing", "embed", "flag", "regexp", "unicode", "bufio", "image", "html", "text", "mime", "plugin", "go", "debug",
+    "hash", "index", "database",
 )
 
-# Space characters trimmed from lines.
-_BLANKS = " \t\n\v\f\r\u0085\u00a0"
+# The white space of Unicode, trimmed from lines.
+_BLANKS = (
+    " \t\n\v\f\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 _BYTE_LIST = r"^[A-Za-z_][A-Za-z0-9_.]*\(\[\]byte\{([0-9, ]*)\}\)$"
 
@@ -58,9 +55,12 @@ def mask_literal(text: Column, type_name: Column | str = "string") -> Column:
 
 def unmask_literal(text: Column) -> Column:
     digits = F.regexp_extract_all(F.regexp_extract(text, _BYTE_LIST, 1), F.lit(r"(\d+)"), F.lit(1))
-    pairs = F.transform(digits, lambda d: F.lpad(F.hex(d.cast("int")), 2, "0"))
-    decoded = F.decode(F.unhex(F.array_join(pairs, "")), "UTF-8")
-    return F.when(text.rlike(_BYTE_LIST), decoded).otherwise(text)
+    numbers = F.transform(digits, lambda d: d.try_cast("int"))
+    are_bytes = F.forall(numbers, lambda n: F.coalesce(n.between(0, 255), F.lit(False)))
+    pairs = F.transform(numbers, lambda n: F.lpad(F.hex(n), 2, "0"))
+    decoded = F.try_validate_utf8(F.unhex(F.array_join(pairs, "")).cast("string"))
+    # What is no list of bytes of a UTF-8 text stays as it is.
+    return F.when(text.rlike(_BYTE_LIST) & are_bytes, F.coalesce(decoded, text)).otherwise(text)
 
 
 def first_keyword(text: Column, keywords: Sequence[str]) -> Column:
@@ -124,8 +124,23 @@ def token_classes(token: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    """``%.1f`` with ties to even, the rounding of the C family of formatters."""
-    return F.format_string("%.1f", F.bround(value, 1))
+    """``%.1f`` of a double as the C family rounds: the exact binary value decides, ties go to even.
+
+    The fraction is taken as a whole number of 2^-58 and compared in integers; what lies below
+    that belongs to fractions far from any tie.
+    """
+    size = F.abs(value.cast("double"))
+    whole = F.floor(size)
+    scaled = (size - whole) * F.lit(float(1 << 58))
+    units = F.floor(scaled)
+    doubled = units * 20 + F.lit(1 << 58)
+    up = F.shiftright(doubled, 59)
+    tie = (doubled.bitwiseAND(F.lit((1 << 59) - 1)) == 0) & (scaled == units)
+    tenths = whole * 10 + up - F.when(tie & (up % 2 == 1), 1).otherwise(0)
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    digits = F.concat(sign, ((tenths - tenths % 10) / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    # From 2^49 on the spacing of doubles is coarse enough for the plain formatter.
+    return F.when(size < float(1 << 49), digits).otherwise(F.format_string("%.1f", value))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flagframe.functions import text as T
-from flagframe.operators.ordered import ROWS_PER_CHUNK, carry_last
-from flagframe.session import cut_lineage
+from flagframe.operators.ordered import carry_last
+from flagframe.session import discard, staged
 
 # Complexity per node kind and of a bare function.
 NODE_WEIGHTS = {
@@ -40,6 +40,9 @@ AUTH_STATES = (
 SIMPLE_STRUCT_NAMES = ("flag", "state", "config")
 SIMPLE_FUNCTION_NAMES = ("util", "helper", "check", "validate")
 
+# States of one context are made in blocks of 2^16.
+BLOCK_BITS = 16
+
 
 def flag_candidates(fields: DataFrame, min_flags: int = 1) -> DataFrame:
     """Structs with boolean fields: how many, and the struct's line.
@@ -81,7 +84,7 @@ def weighted_complexity(
     return sums.select(*keys, (F.coalesce(F.col("_sum"), F.lit(0)) + base).cast("bigint").alias("complexity"))
 
 
-def assign_owners(nodes: DataFrame, owners: DataFrame, rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
+def assign_owners(nodes: DataFrame, owners: DataFrame) -> DataFrame:
     """Give each node ``(file, line)`` the owner whose line interval holds it.
 
     ``owners(file, name, start_line, end_line)`` do not overlap within a file, so the
@@ -91,7 +94,7 @@ def assign_owners(nodes: DataFrame, owners: DataFrame, rows_per_chunk: int | Non
     marker = F.struct("name", "start_line", "end_line")
     starts = owners.select("file", F.col("start_line").alias("line"), F.lit(0).alias("_rank"), marker.alias("_owner"))
     merged = starts.unionByName(nodes.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
-    carried = carry_last(merged, ["file"], ["line", "_rank"], {"_in": F.col("_owner")}, rows_per_chunk)
+    carried = carry_last(merged, ["file"], ["line", "_rank"], {"_in": F.col("_owner")})
     inside = F.col("line") <= F.col("_in.end_line")
     return (
         carried.where(F.col("_rank") == 1)
@@ -105,28 +108,32 @@ def chain_lengths(links: DataFrame, id_col: str = "id", else_col: str = "else_id
     """Nodes from each one to the end of its else chain; a plain final else counts 1.
 
     Pointer doubling: every round joins the open chains with the table of pointers
-    and doubles their reach, so a chain of n links takes about log2(n) rounds, with
-    lineage cut after each. A cyclic chain is an error.
+    and doubles their reach, so a chain of n links takes about log2(n) rounds. A round writes the
+    chains that were open; those that end in it are kept, the open ones of the round
+    before are removed. A cyclic chain is an error.
     """
-    state = cut_lineage(
-        links.select(F.col(id_col).alias("id"), F.col(else_col).alias("_next"), F.lit(1).cast("bigint").alias("length"))
-    )
-    rounds_left = max(state.count(), 1).bit_length() + 1
-    while True:
-        open_chains = state.where(F.col("_next").isNotNull())
-        if open_chains.isEmpty():
-            return state.select("id", "length")
+    start = links.select(F.col(id_col).alias("id"), F.col(else_col).alias("_next"), F.lit(1).cast("bigint").alias("length"))
+    current = staged(start, "chains")
+    ended, still_open = F.col("_next").isNull(), F.col("_next").isNotNull()
+    finished = staged(current.where(ended), "chains-ended")
+    rounds_left = max(current.count(), 1).bit_length() + 1
+    while not current.where(still_open).isEmpty():
         if rounds_left == 0:
             raise ValueError("the links contain a cycle")
         rounds_left -= 1
-        hop = state.select(
+        hop = finished.unionByName(current.where(still_open)).select(
             F.col("id").alias("_id"), F.col("_next").alias("_after"), F.col("length").alias("_more")
         )
-        moved = open_chains.join(hop, F.col("_next") == F.col("_id"), "left").select(
-            "id", F.col("_after").alias("_next"), (F.col("length") + F.coalesce("_more", F.lit(1))).alias("length")
+        moved = staged(
+            current.where(still_open).join(hop, F.col("_next") == F.col("_id"), "left").select(
+                "id", F.col("_after").alias("_next"), (F.col("length") + F.coalesce("_more", F.lit(1))).alias("length")
+            ),
+            "chains",
         )
-        # Finished rows have a NULL pointer and stay out of the join.
-        state = cut_lineage(state.where(F.col("_next").isNull()).unionByName(moved))
+        finished = finished.unionByName(staged(moved.where(ended), "chains-ended"))
+        discard(current)
+        current = moved
+    return finished.select("id", "length")
 
 
 def branch_counts(parents: DataFrame, children: DataFrame, id_col: str, parent_col: str) -> DataFrame:
@@ -237,9 +244,12 @@ def expand_states(contexts: DataFrame, id_cols: Sequence[str], fields: DataFrame
     if "eligible" in contexts.columns:
         has_fixed = has_fixed & ((kind != "function") | F.col("eligible"))
     n = F.when(kind.isin(*counted), F.col("complexity")).when(has_fixed, F.lit(len(AUTH_STATES))).cast("int")
+    # Blocks of states first, then the states of a block, so that no array grows with a context.
     # sequence(0, -1) would count down.
-    bits = F.when(n > 0, F.sequence(F.lit(0), n - 1))
-    rows = contexts.select(*id_cols, "type", F.explode(bits).alias("bit"))
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.shiftright(n - 1, BLOCK_BITS)))
+    blocked = contexts.select(*id_cols, "type", n.alias("_n"), F.explode(blocks).alias("_block"))
+    first = F.shiftleft("_block", BLOCK_BITS)
+    rows = blocked.select(*id_cols, "type", F.explode(F.sequence(first, F.least(first + (1 << BLOCK_BITS), F.col("_n")) - 1)).alias("bit"))
 
     def part(i: int) -> Column:
         """Name, condition or action of the state ``bit`` of its context type."""

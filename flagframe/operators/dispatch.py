@@ -30,15 +30,12 @@ def chain_prefixes(rules: DataFrame) -> DataFrame:
         F.min(F.when(~_is_equality(rules), F.col("position"))).alias("bad_at"),
     )
     chain_end = per_var.groupBy("chain_id").agg(F.max("last_at").alias("chain_end"))
-    rank = F.row_number().over(Window.partitionBy("chain_id").orderBy("first_at"))
-    first_two = per_var.withColumn("_rank", rank).where(F.col("_rank") <= 2)
-    chains = first_two.groupBy("chain_id").agg(
-        F.max(F.when(F.col("_rank") == 1, F.col("var"))).alias("var"),
-        F.min("first_at").alias("start_position"),
-        F.least(
-            F.max(F.when(F.col("_rank") == 1, F.col("bad_at"))),
-            F.max(F.when(F.col("_rank") == 2, F.col("first_at"))),
-        ).alias("end_position"),
+    in_order = Window.partitionBy("chain_id").orderBy("first_at")
+    chains = (
+        per_var.withColumn("_rank", F.row_number().over(in_order))
+        .withColumn("_next", F.lead("first_at").over(in_order))
+        .where(F.col("_rank") == 1)
+        .select("chain_id", "var", F.col("first_at").alias("start_position"), F.least("bad_at", "_next").alias("end_position"))
     )
     branches = F.coalesce(F.col("end_position"), F.col("chain_end") + 1) - F.col("start_position")
     return chains.join(chain_end, "chain_id").select(
@@ -58,17 +55,12 @@ def compile_rules(rules: DataFrame, min_branches: int = 3) -> DataFrame:
         .select(F.col("chain_id").alias("_chain"), F.col("var").alias("_var"), F.col("end_position"))
     )
     # Copies collapse before the chain's limit is joined on.
-    entries = (
-        rules.where(_is_equality(rules))
-        .groupBy("chain_id", "var", "value")
-        .agg(F.min("position").alias("position"), F.min_by("action", "position").alias("action"))
-    )
+    entries = rules.where(_is_equality(rules)).groupBy("chain_id", "var", "value").agg(F.min("position").alias("position"))
     inside = F.col("end_position").isNull() | (F.col("position") < F.col("end_position"))
-    return (
-        entries.join(prefixes, (F.col("chain_id") == F.col("_chain")) & (F.col("var") == F.col("_var")))
-        .where(inside)
-        .select("chain_id", "var", "value", "action", "position")
-    )
+    kept = entries.join(prefixes, (F.col("chain_id") == F.col("_chain")) & (F.col("var") == F.col("_var"))).where(inside)
+    actions = rules.select(F.col("chain_id").alias("_of"), F.col("position").alias("_at"), "action")
+    found = kept.join(actions, (F.col("chain_id") == F.col("_of")) & (F.col("position") == F.col("_at")))
+    return found.select("chain_id", "var", "value", "action", "position")
 
 
 def residual_rules(rules: DataFrame, min_branches: int = 3) -> DataFrame:

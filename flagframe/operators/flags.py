@@ -6,10 +6,11 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flagframe.functions import bits
 from flagframe.functions.bits import FlagSet
-from flagframe.operators.ordered import ROWS_PER_CHUNK, number_rows, order_value
+from flagframe.operators.ordered import number_rows, order_value
 
 
 def pack_flags(
@@ -75,11 +76,22 @@ def filter_flags(
 UPDATE_COLUMNS = ("set_mask", "clear_mask", "toggle_mask", "require_mask")
 
 
-def update_flags(df: DataFrame, updates: DataFrame, key: str | Sequence[str], mask: str = "flags") -> DataFrame:
+def _is_wide(df: DataFrame, mask: str, flags: FlagSet | None) -> bool:
+    """Whether the mask is an array of words; their number is that of ``flags``."""
+    wide = isinstance(df.schema[mask].dataType, T.ArrayType)
+    if wide and flags is None:
+        raise ValueError("a mask of several words needs its flag set")
+    return wide
+
+
+def update_flags(
+    df: DataFrame, updates: DataFrame, key: str | Sequence[str], mask: str = "flags", flags: FlagSet | None = None
+) -> DataFrame:
     """Clear, set and toggle bits per key where all ``require`` bits are present.
 
     ``updates`` has one row per key and any of the columns ``set_mask``,
     ``clear_mask``, ``toggle_mask`` and ``require_mask``; other keys stay unchanged.
+    Wide masks are arrays of words on both sides and need ``flags``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     given = [c for c in UPDATE_COLUMNS if c in updates.columns]
@@ -87,7 +99,11 @@ def update_flags(df: DataFrame, updates: DataFrame, key: str | Sequence[str], ma
         raise ValueError(f"updates needs at least one of {UPDATE_COLUMNS}")
     slim = updates.select(*keys, *[F.col(c).alias(f"_{c}") for c in given])
     joined = df.join(slim, keys, "left")
-    new = bits.apply_update(F.col(mask), **{c: F.col(f"_{c}") for c in given})
+    operands = {c: F.col(f"_{c}") for c in given}
+    if _is_wide(df, mask, flags):
+        new = bits.apply_wide_update(F.col(mask), bits.n_words(flags), operands)
+    else:
+        new = bits.apply_update(F.col(mask), **operands)
     dtype = df.schema[mask].dataType
     return joined.select(*[new.cast(dtype).alias(c) if c == mask else F.col(c) for c in df.columns])
 
@@ -117,25 +133,36 @@ def fold_assignments(
 def flag_counts(df: DataFrame, flags: FlagSet, mask: str = "flags", by: Sequence[str] = ()) -> DataFrame:
     """Rows per flag and in all, and the population count, per group."""
     m = F.col(mask)
+    words = bits.words_of(m, bits.n_words(flags)) if _is_wide(df, mask, flags) else [m]
+    set_bits = sum((F.bit_count(w).cast("bigint") for w in words[1:]), F.bit_count(words[0]).cast("bigint"))
     counts = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows_total"),
-        F.coalesce(F.sum(F.bit_count(m)), F.lit(0)).cast("bigint").alias("bits_total"),
+        F.coalesce(F.sum(set_bits), F.lit(0)).cast("bigint").alias("bits_total"),
         *[F.count(F.when(bits.has_all(m, flags, [n]), 1)).alias(n) for n in flags.names],
     )
     return counts.unpivot([*by, "rows_total", "bits_total"], list(flags.names), "flag", "rows_set")
 
 
-def union_flags(df: DataFrame, by: Sequence[str], mask: str = "flags", out: str = "flags") -> DataFrame:
-    """OR of all masks per group; independent of order and partitioning."""
-    return df.groupBy(*by).agg(F.bit_or(mask).alias(out))
+def _folded(df: DataFrame, by: Sequence[str], mask: str, out: str, flags: FlagSet | None, fold) -> DataFrame:
+    """One bit aggregate per word, so that the buffers stay fixed-width."""
+    if not _is_wide(df, mask, flags):
+        return df.groupBy(*by).agg(fold(F.col(mask)).alias(out))
+    words = bits.words_of(F.col(mask), bits.n_words(flags))
+    folded = df.groupBy(*by).agg(*[fold(w).alias(f"_w{i}") for i, w in enumerate(words)])
+    return folded.select(*by, F.array(*[f"_w{i}" for i in range(len(words))]).alias(out))
+
+
+def union_flags(df: DataFrame, by: Sequence[str], mask: str = "flags", out: str = "flags", flags: FlagSet | None = None) -> DataFrame:
+    """OR of all masks per group; independent of order and partitioning. Wide masks need ``flags``."""
+    return _folded(df, by, mask, out, flags, F.bit_or)
 
 
-def intersect_flags(df: DataFrame, by: Sequence[str], mask: str = "flags", out: str = "flags") -> DataFrame:
-    return df.groupBy(*by).agg(F.bit_and(mask).alias(out))
+def intersect_flags(df: DataFrame, by: Sequence[str], mask: str = "flags", out: str = "flags", flags: FlagSet | None = None) -> DataFrame:
+    return _folded(df, by, mask, out, flags, F.bit_and)
 
 
-def parity_flags(df: DataFrame, by: Sequence[str], mask: str = "flags", out: str = "flags") -> DataFrame:
-    return df.groupBy(*by).agg(F.bit_xor(mask).alias(out))
+def parity_flags(df: DataFrame, by: Sequence[str], mask: str = "flags", out: str = "flags", flags: FlagSet | None = None) -> DataFrame:
+    return _folded(df, by, mask, out, flags, F.bit_xor)
 
 
 def decode_flags(
@@ -162,7 +189,6 @@ def flag_dictionary(
     struct_keys: Sequence[str] = ("file", "struct_name"),
     package: str | None = None,
     min_flags: int = 1,
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """One row per boolean field: flag name, bit, and the width its struct needs.
 
@@ -171,7 +197,7 @@ def flag_dictionary(
     lives in word ``bit div 64`` of a wide mask.
     """
     bools = fields.where(F.col("type") == "bool")
-    numbered = number_rows(bools, list(struct_keys), ["pos"], "_no", "_n", rows_per_chunk)
+    numbered = number_rows(bools, list(struct_keys), ["pos"], "_no", "_n")
     struct = F.col("struct_name").cast("string")
     owner = struct if package is None else F.concat(F.col(package).cast("string"), F.lit("_"), struct)
     return numbered.where(F.col("_n") >= min_flags).select(
@@ -187,7 +213,8 @@ def dispatch_bits(
     df: DataFrame, cases: Sequence[tuple[int, str]], mask: str = "flags", out: str = "action"
 ) -> DataFrame:
     """Action of the first listed bit that is set; NULL when none is."""
-    return df.withColumn(out, bits.lowest_case(F.col(mask), cases))
+    wide = isinstance(df.schema[mask].dataType, T.ArrayType)
+    return df.withColumn(out, bits.lowest_case(F.col(mask), cases, wide))
 
 
 def stage_completion(

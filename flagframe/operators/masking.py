@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flagframe.functions import text as T
@@ -72,7 +72,7 @@ def _letters(name: Column, key: str) -> Column:
 
 
 def pseudonym(name: Column, level: int, key: str) -> Column:
-    """Keyed pseudonym of a name; equal names agree everywhere, collisions are possible."""
+    """The short shape of a name's pseudonym; different names may share it."""
     letters, digest = _letters(name, key), _digest(name, key)
     if level == 1:
         return F.concat(F.lower(F.substring(name, 1, 1)), F.substring(letters, 1, 4))
@@ -88,34 +88,16 @@ def pseudonym(name: Column, level: int, key: str) -> Column:
     return name
 
 
-def colliding_names(df: DataFrame, cols: Sequence[str], level: int, key: str) -> DataFrame:
-    """Distinct names whose pseudonym is shared with another name."""
-    names = df.select(F.explode(F.array(*cols)).alias("name")).where(F.col("name").isNotNull()).distinct()
-    # Names are distinct and tokens are digests, so these groups stay small and even.
-    same_token = Window.partitionBy(pseudonym(F.col("name"), level, key))
-    return names.withColumn("_n", F.count(F.lit(1)).over(same_token)).where(F.col("_n") > 1).select("name")
-
-
 def pseudonymise(df: DataFrame, cols: Sequence[str], level: int, key: str) -> DataFrame:
-    """Replace names by keyed pseudonyms, one to one.
+    """Replace names by keyed pseudonyms.
 
-    The pseudonym is an expression of the name, so the rows are not shuffled for it.
-    Names that collide get the whole digest appended; only those few are joined on.
+    A pseudonym is a function of the name and the key alone: the shape of its level, then 128 bits of the keyed
+    digest, so that distinct names stay distinct and runs, partitions and tables agree. Narrow.
     """
     if level not in (1, 2, 3):
         return df
-    shared = colliding_names(df, cols, level, key)
-    out = df
-    for c in cols:
-        hit = shared.select(F.col("name").alias(f"_hit_{c}"))
-        token = pseudonym(F.col(c), level, key)
-        long_token = F.concat(token, F.lit("_"), _digest(F.col(c), key))
-        out = (
-            out.join(hit, F.col(c) == F.col(f"_hit_{c}"), "left")
-            .withColumn(c, F.when(F.col(f"_hit_{c}").isNotNull(), long_token).otherwise(token))
-            .drop(f"_hit_{c}")
-        )
-    return out
+    token = {c: F.concat(pseudonym(F.col(c), level, key), F.lit("_"), F.substring(_digest(F.col(c), key), 1, 32)) for c in cols}
+    return df.withColumns(token)
 
 
 # Both spellings of a control mark; within one comment "nobfuscate" wins.
@@ -141,8 +123,8 @@ def mask_by_policy(
     """
     last = (
         marks.groupBy(F.col(key).alias("_key"))
-        .agg(F.max_by(mark, seq).alias("_mark"))
-        .where(F.col("_mark") == "nobfuscate")
+        .agg(F.max_by((F.col(mark) == "nobfuscate").cast("int"), seq).alias("_mark"))
+        .where(F.col("_mark") == 1)
     )
     joined = df.join(last, F.col(key) == F.col("_key"), "left")
     keep = F.col("_mark").isNotNull()

@@ -1,10 +1,11 @@
 """Order-dependent work per key that stays parallel when one key is huge.
 
-A window per key puts the whole key into one task. Here the few keys with too
-many rows are cut into chunks along the order column. Chunks are ordinary window
-groups; what crosses a chunk border (a count, the last value seen) is carried by
-a table with one row per chunk. Hot keys are looked for when the operator is
-called, by one aggregation over the keys; without any the plan is a plain window.
+A window per key puts the whole key into one task. Here the rows are range-partitioned
+once by keys and order and written, with the number of their partition as a
+chunk, so that every reader sees the same borders. Windows run per key and chunk.
+What crosses a chunk border (a count, the last value seen) is carried on: at
+most one key crosses each border, so the carried table has at most a row per partition.
+Any sortable order works alike, and equal keys and orders lie in one chunk.
 """
 
 from __future__ import annotations
@@ -15,16 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flagframe.session import cut_lineage
-
-ROWS_PER_CHUNK = 2_000_000
-MAX_HOT_KEYS = 10_000
-MAX_CHUNKS = 100_000
-# A chunk with this many times the wanted rows is cut again.
-CROWDED = 4
+from flagframe.session import staged
 
 CHUNK = "_chunk"
-_HOT_ROWS = "_hot_rows"
 
 
 def order_value(order: Sequence[str]) -> Column:
@@ -32,6 +26,20 @@ def order_value(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
+def order_number(df: DataFrame, order: Sequence[str]) -> Column:
+    """An order as one fixed-width number where its columns allow, so that aggregations on it stay hashed.
+
+    A time before an integer becomes microseconds * 10^19 + integer; other orders are structs.
+    """
+    kinds = [df.schema[c].dataType for c in order]
+    times, integers = (T.TimestampType, T.TimestampNTZType), (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    if len(order) == 2 and isinstance(kinds[0], times) and isinstance(kinds[1], integers):
+        micros = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(19,0)")
+        # 19 digits for the time, 19 for the integer
+        return (micros * F.lit("10000000000000000000").cast("decimal(20,0)")).cast("decimal(38,0)") + F.col(order[1]).cast("decimal(19,0)")
+    return order_value(order)
+
+
 def same_keys(df: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     """Null-safe equality of ``keys`` with the prefixed columns of a joined table."""
     cond = F.lit(True)
@@ -40,154 +48,49 @@ def same_keys(df: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     return cond
 
 
-def _position(df: DataFrame, column: str) -> Column | None:
-    """The leading order column as a monotone double, or None when it has no number line."""
-    dtype = df.schema[column].dataType
-    if isinstance(dtype, T.NumericType):
-        return F.col(column).cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return None
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_chunk``, ascending in (keys, order); the table is written once."""
+    return staged(df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
-def _hot_groups(
-    df: DataFrame, groups: Sequence[str], position: Column, min_rows: int, rows_per_chunk: int
-) -> DataFrame | None:
-    """The largest groups with the number of parts to cut each into; None when there are none.
+def _spanning(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that lie in more than one chunk, prefixed ``_s_``: one per border at most."""
+    spans = rows.groupBy(*keys).agg(F.min(CHUNK).alias("_lo"), F.max(CHUNK).alias("_hi")).where("_lo < _hi")
+    return staged(spans.select(*[F.col(k).alias(f"_s_{k}") for k in keys]), "spanning-keys")
 
-    Small enough to broadcast by construction: the top ``MAX_HOT_KEYS`` by row count,
-    whose parts number at most ``MAX_CHUNKS`` plus one each. Materialised, so that
-    every reader sees the same groups.
-    """
-    largest = (
-        df.select(*groups, position.alias("_p"))
-        .groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-        .where(F.col("_rows") > min_rows)
-        .orderBy(F.desc("_rows"), *groups)
-        .limit(MAX_HOT_KEYS)
-    )
-    found = cut_lineage(largest)
-    if found.isEmpty():
-        return None
-    all_rows = F.sum("_rows").over(Window.partitionBy(F.lit(0)))
-    rows_each = F.greatest(F.lit(float(rows_per_chunk)), all_rows / F.lit(MAX_CHUNKS))
-    return found.select(
-        *[F.col(g).alias(f"_hot_{g}") for g in groups],
-        "_rows",
-        "_lo",
-        "_hi",
-        F.ceil(F.col("_rows") / rows_each).alias("_parts"),
-    )
-
-
-def _cut(df: DataFrame, groups: Sequence[str], position: Column, hot: DataFrame, part: str, rows: str) -> DataFrame:
-    """Add the number of each row's part (NULL in groups left whole) and the rows of its group."""
-    share = (position - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    # NULL positions sort first, so they belong to the first part.
-    whole = F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_parts"))
-    return (
-        df.join(F.broadcast(hot), same_keys(df, groups, "_hot_"), "left")
-        .withColumn(part, F.when(F.col("_parts").isNotNull(), F.least(whole, F.col("_parts") - 1)))
-        .withColumnRenamed("_rows", rows)
-        .drop("_lo", "_hi", "_parts", *[f"_hot_{g}" for g in groups])
-    )
-
-
-def split_hot_keys(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = ROWS_PER_CHUNK
-) -> DataFrame | None:
-    """Add ``_chunk`` (monotone in the order, 0 for ordinary keys) and ``_hot_rows``; None without hot keys.
-
-    Hot keys are cut into parts of equal width along the order column, and parts that
-    are still too large, as happens when rows crowd in a short stretch, are cut once
-    more. Keys and parts beyond the bounds of ``_hot_groups`` stay whole, which
-    changes no result. ``rows_per_chunk=None`` leaves all keys whole.
-    """
-    position = _position(df, order[0]) if rows_per_chunk else None
-    hot = None if position is None else _hot_groups(df, keys, position, rows_per_chunk, rows_per_chunk)
-    if hot is None:
-        return None
-    once = _cut(df, keys, position, hot, "_part", _HOT_ROWS)
-    groups = [*keys, "_part"]
-    parts = once.where(F.col("_part").isNotNull())
-    crowded = _hot_groups(parts, groups, position, CROWDED * rows_per_chunk, rows_per_chunk)
-    part = F.shiftleft(F.coalesce("_part", F.lit(0)).cast("bigint"), 32)
-    if crowded is None:
-        return once.withColumn(CHUNK, part).drop("_part")
-    twice = _cut(once, groups, position, crowded, "_sub_part", "_sub_rows")
-    return twice.withColumn(CHUNK, part + F.coalesce("_sub_part", F.lit(0))).drop("_part", "_sub_part", "_sub_rows")
-
-
-def _earlier_chunks(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
-
-def _join_carry(rows: DataFrame, chunks: DataFrame, keys: Sequence[str], carried: Mapping[str, Column]) -> DataFrame:
-    """Attach what earlier chunks hand over; one row per chunk of a hot key, bounded by ``_hot_groups``."""
+def _carried(rows: DataFrame, keys: Sequence[str], parts: Mapping[str, Column], values: Mapping[str, Column]) -> DataFrame:
+    """Attach to the rows of spanning keys what ``values`` say of their chunks' ``parts``."""
+    inside = rows.join(_spanning(rows, keys), same_keys(rows, keys, "_s_"), "left_semi")
+    chunks = inside.groupBy(*keys, CHUNK).agg(*[c.alias(n) for n, c in parts.items()])
     groups = [*keys, CHUNK]
-    carry = chunks.select(*[F.col(g).alias(f"_c_{g}") for g in groups], *[c.alias(n) for n, c in carried.items()])
-    joined = rows.join(F.broadcast(carry), same_keys(rows, groups, "_c_"), "left")
-    return joined.drop(*[f"_c_{g}" for g in groups])
-
-
-def carry_last(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: Mapping[str, Column],
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
-) -> DataFrame:
-    """Per row, the last non-NULL ``value`` strictly before it in the order of its key."""
-    for name, value in values.items():
-        df = df.withColumn(f"_v_{name}", value)
+    table = staged(chunks.select(*[F.col(g).alias(f"_c_{g}") for g in groups], *[c.alias(n) for n, c in values.items()]), "carried")
+    return rows.join(table, same_keys(rows, groups, "_c_"), "left").drop(*[f"_c_{g}" for g in groups])
 
-    def last_before(rows: DataFrame, groups: Sequence[str], prefix: str) -> DataFrame:
-        before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        for name in values:
-            rows = rows.withColumn(f"{prefix}{name}", F.last(f"_v_{name}", ignorenulls=True).over(before))
-        return rows
 
-    scratch = [f"_v_{name}" for name in values]
-    rows = split_hot_keys(df, keys, order, rows_per_chunk)
-    if rows is None:
-        return last_before(df, keys, "").drop(*scratch)
+def _earlier(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
 
+def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Per row, the last non-NULL ``value`` strictly before it in the order of its key."""
+    rows = chunked(df.withColumns({f"_v_{n}": v for n, v in values.items()}), keys, order)
     seq = order_value(order)
-    tails = (
-        rows.where(F.col(_HOT_ROWS).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), seq)).alias(f"_t_{n}") for n in values])
-    )
-    carried = {f"_from_{n}": F.last(f"_t_{n}", ignorenulls=True).over(_earlier_chunks(keys)) for n in values}
-    out = _join_carry(last_before(rows, [*keys, CHUNK], "_in_"), tails, keys, carried)
-    for name in values:
-        out = out.withColumn(name, F.coalesce(f"_in_{name}", f"_from_{name}"))
-        scratch += [f"_in_{name}", f"_from_{name}"]
-    return out.drop(CHUNK, _HOT_ROWS, *scratch)
-
-
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str = "row_no",
-    total: str | None = None,
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
-) -> DataFrame:
+    tails = {f"_t_{n}": F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), seq)) for n in values}
+    carried = {f"_from_{n}": F.last(f"_t_{n}", ignorenulls=True).over(_earlier(keys)) for n in values}
+    out = _carried(rows, keys, tails, carried)
+    before = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(before), F.col(f"_from_{n}")).alias(n) for n in values}
+    return out.select(*df.columns, *found.values())
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no", total: str | None = None) -> DataFrame:
     """1-based row number per key and, on request, the number of rows of the key."""
-    rows = split_hot_keys(df, keys, order, rows_per_chunk)
-    group = Window.partitionBy(*keys) if rows is None else Window.partitionBy(*keys, CHUNK)
-    number, size = F.row_number().over(group.orderBy(*order)).cast("bigint"), F.count(F.lit(1)).over(group)
-    if rows is None:
-        numbered = df.withColumn(out, number)
-        return numbered.withColumn(total, size) if total else numbered
-
-    numbered = rows.withColumn("_n_in", number)
-    if total:
-        # The size of a hot key is known already; an ordinary key is one chunk.
-        numbered = numbered.withColumn(total, F.coalesce(F.col(_HOT_ROWS), size))
-    sizes = rows.where(F.col(_HOT_ROWS).isNotNull()).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    joined = _join_carry(numbered, sizes, keys, {"_n_before": F.sum("_n").over(_earlier_chunks(keys))})
-    row_no = F.col("_n_in") + F.coalesce("_n_before", F.lit(0))
-    return joined.select(*df.columns, row_no.alias(out), *([total] if total else []))
+    rows = chunked(df, keys, order)
+    group = Window.partitionBy(*keys, CHUNK)
+    whole = Window.partitionBy(*keys)
+    values = {"_n_before": F.sum("_n").over(_earlier(keys)), "_n_all": F.sum("_n").over(whole)}
+    joined = _carried(rows, keys, {"_n": F.count(F.lit(1))}, values)
+    row_no = F.row_number().over(group.orderBy(*order)) + F.coalesce("_n_before", F.lit(0))
+    size = F.coalesce("_n_all", F.count(F.lit(1)).over(group))
+    return joined.select(*df.columns, row_no.cast("bigint").alias(out), *([size.alias(total)] if total else []))

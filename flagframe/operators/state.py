@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flagframe.functions import bits
 from flagframe.functions.bits import FlagSet
-from flagframe.operators.ordered import ROWS_PER_CHUNK, carry_last, order_value, same_keys
+from flagframe.operators.ordered import carry_last, order_number, same_keys
 
 # Bits of the guarded machine, from bit 0.
 JOB_FLAGS = FlagSet(
@@ -44,9 +44,9 @@ def job_state(events: DataFrame, key: Sequence[str], order: Sequence[str], op: s
 
     A single aggregation of mergeable parts: partial results form map-side, so a
     hot key is no problem, arrival order does not matter, and the same call works
-    on a stream. One numeric or timestamp order column keeps it a hash aggregation.
+    on a stream. Orders that are a number, or a time and a number, keep it a hash aggregation.
     """
-    code, seq = F.col("_code"), order_value(list(order))
+    code, seq = F.col("_code"), order_number(events, list(order))
     ended = code >= TERMINAL_BITS["complete"]
     parts = (
         events.withColumn("_code", _op_code(F.col(op)))
@@ -88,12 +88,13 @@ def job_history(
 
     With ``previous``, the history before these events, the result covers both.
     """
-    name, seq = F.col(op), order_value(list(order))
+    name, seq = F.col(op), order_number(events, list(order))
     now = events.groupBy(*key).agg(
         F.count(F.when(name.isin(*TERMINAL_BITS), 1)).alias("_ends"),
-        F.max_by(name, F.when(name.isin("start", "retry"), seq)).alias("moved"),
+        F.max_by((name == "start").cast("int"), F.when(name.isin("start", "retry"), seq)).alias("_started"),
     )
-    now = now.select(*key, (F.col("_ends") > 0).alias("ended"), "moved")
+    moved = F.when(F.col("_started") == 1, "start").when(F.col("_started") == 0, "retry")
+    now = now.select(*key, (F.col("_ends") > 0).alias("ended"), moved.alias("moved"))
     if previous is None:
         return now
     # Either side has one row per key; of the texts of moves the later one counts.
@@ -110,7 +111,6 @@ def job_rejections(
     order: Sequence[str],
     op: str = "op",
     previous: DataFrame | None = None,
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """The events that the guarded machine refuses.
 
@@ -126,7 +126,6 @@ def job_rejections(
             "_moved": F.when(name.isin("start", "retry"), name),
             "_ended": F.when(name.isin(*TERMINAL_BITS), F.lit(True)),
         },
-        rows_per_chunk,
     )
     moved, ended = F.col("_moved"), F.col("_ended")
     if previous is not None:
@@ -145,7 +144,6 @@ def job_state_restartable(
     key: Sequence[str],
     order: Sequence[str],
     op: str = "op",
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Final mask per key of the machine whose terminal states may restart.
 
@@ -156,9 +154,9 @@ def job_state_restartable(
     name = F.col(op)
     is_base = name.isin(*RESTARTABLE_BITS)
     log = events.where(is_base | (name == "retry")).select(*dict.fromkeys([*key, *order, op]))
-    seen = carry_last(log, list(key), list(order), {"_base": F.when(is_base, name)}, rows_per_chunk)
+    seen = carry_last(log, list(key), list(order), {"_base": F.when(is_base, name)})
 
-    seq = order_value(list(order))
+    seq = order_number(seen, list(order))
     base_bit = F.lit(0)
     for step, value in RESTARTABLE_BITS.items():
         base_bit = F.when(name == step, F.lit(value)).otherwise(base_bit)

@@ -67,7 +67,8 @@ def token_profile(
 def rebased_path(path: Column, root: str, is_known: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/|/$", "")
     keep = is_known | F.startswith(path, F.lit(root)) | F.contains(path, F.lit("."))
-    return F.when(keep, path).otherwise(F.concat_ws("/", F.lit(root), clean))
+    joined = F.when(clean == "", F.lit(root)).otherwise(F.concat_ws("/", F.lit(root), clean))
+    return F.when(keep, path).otherwise(joined)
 
 
 def rebase_paths(

@@ -89,12 +89,33 @@ def _pseudonyms(level: int) -> str:
         a = f"CAST('0x' || substr({digest}, 1, 2) AS INTEGER) % 8 + 1"
         b = f"CAST('0x' || substr({digest}, 3, 2) AS INTEGER) % 8 + 1"
         token = f"{pre}[{a}] || substr({letters}, 1, 2) || '_' || {suf}[{b}]"
-    return f"""WITH names AS (SELECT c_name AS name FROM customer UNION SELECT c_mktsegment FROM customer),
-      tokens AS (SELECT name, {token} AS token, {digest} AS digest FROM names),
-      final AS (SELECT name, CASE WHEN count(*) OVER (PARTITION BY token) > 1
-        THEN token || '_' || digest ELSE token END AS token FROM tokens)
-      SELECT c_custkey, a.token AS c_name, b.token AS c_mktsegment
-      FROM customer JOIN final a ON a.name = c_name JOIN final b ON b.name = c_mktsegment"""
+    whole = f"{token} || '_' || substr({digest}, 1, 32)"
+    of = {c: whole.replace("name", c) for c in ("c_name", "c_mktsegment")}
+    return f"SELECT c_custkey, {of['c_name']} AS c_name, {of['c_mktsegment']} AS c_mktsegment FROM customer"
+
+
+WIDE = ", ".join(
+    f"bool_or({'false' if i in (62, 63) else f'(l_partkey + l_linenumber + {i * i}) % 11 = 0'}) AS f{i}" for i in range(70)
+)
+# the update toggles flags 0 and 69
+WIDE_NOW = [f"NOT f{i}" if i in (0, 69) else f"f{i}" for i in range(70)]
+WIDE_NAMES = ", ".join(f"CASE WHEN {now} THEN 'f{i}' END" for i, now in enumerate(WIDE_NOW))
+WIDE_ANY = " OR ".join(WIDE_NOW)
+
+TOKEN_TESTS = {
+    "all_caps": r"regexp_matches(t, '\p{L}') AND NOT regexp_matches(t, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]')",
+    "all_lower": r"regexp_matches(t, '\p{L}') AND NOT regexp_matches(t, '[\p{Lu}\p{Lt}\p{Lm}\p{Lo}]')",
+    "constant_like": "true",
+    "identifier": r"regexp_matches(t, '^\p{L}')",
+    "valid_ident": "regexp_matches(t, '^[A-Za-z0-9_$]+$')",
+}
+TOKEN_PROFILE = (
+    r"WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{Nd}_$]+'), lambda t: t <> '') AS ts FROM documents) "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{name}' AS class, CAST(len(list_filter(ts, lambda t: {test})) AS BIGINT) AS tokens FROM tok"
+        for name, test in TOKEN_TESTS.items()
+    )
+)
 
 
 MARKED = f"""policy AS (SELECT d.doc_id, d.source, d.text,
@@ -250,11 +271,11 @@ ORACLE: dict[str, str] = {
     "mask_roundtrip": f"""SELECT conv_id, turn, md5({_masked('text')}) AS masked_md5, md5(text) AS unmasked_md5
         FROM conversations""",
     "literal_report": f"""WITH tok AS (SELECT source AS file, lang,
-          unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda t: t <> '')) AS literal FROM documents)
+          unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{Nd}}_$]+'), lambda t: t <> '')) AS literal FROM documents)
         SELECT file, CASE WHEN lang = 'es' AND regexp_matches(literal, '^[A-Z]') THEN 'import'
           WHEN regexp_matches(literal, '^(https?|www)') THEN 'tag'
-          WHEN regexp_matches(literal, '^[A-Z]+$') THEN 'constant'
-          WHEN length(literal) < 4 THEN 'short' WHEN literal IN {_STOP} THEN 'stop_word' ELSE 'masked' END AS reason,
+          WHEN regexp_matches(literal, '^[A-Z0-9_$]+$') THEN 'constant'
+          WHEN strlen(literal) < 4 THEN 'short' WHEN literal IN {_STOP} THEN 'stop_word' ELSE 'masked' END AS reason,
           count(*) AS literals FROM tok GROUP BY ALL""",
     "pseudonymise": _pseudonyms(1),
     "pseudonymise_medium": _pseudonyms(2),
@@ -271,13 +292,7 @@ ORACLE: dict[str, str] = {
           WHEN contains(lower(text), 'check') THEN 'check' END AS first FROM documents)
         SELECT kw AS keyword, count(*) FILTER (contains(t, kw)) AS rows_with, count(*) FILTER (first = kw) AS rows_first
         FROM k CROSS JOIN (VALUES ('license'), ('the '), ('de '), ('check')) AS v(kw) GROUP BY 1""",
-    "token_profile": """WITH tok AS (SELECT doc_id,
-          list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda t: t <> '') AS ts FROM documents)
-        SELECT doc_id, 'all_caps' AS class, CAST(len(list_filter(ts, lambda t: regexp_matches(t, '^[A-Z]+$'))) AS BIGINT) AS tokens FROM tok
-        UNION ALL
-        SELECT doc_id, 'all_lower', len(list_filter(ts, lambda t: regexp_matches(t, '^[a-z]+$'))) FROM tok
-        UNION ALL
-        SELECT doc_id, c, len(ts) FROM tok CROSS JOIN (VALUES ('constant_like'), ('identifier'), ('valid_ident')) AS v(c)""",
+    "token_profile": TOKEN_PROFILE,
     "rebase_paths": f"""WITH {PAGE_PATHS} SELECT page_id, CASE WHEN string_split(path, '/')[1] IN ('fr', 'de')
           OR starts_with(path, 'site') OR contains(path, '.') THEN path ELSE 'site/' || trim(path, '/') END AS path FROM paths""",
     "first_line": r"""SELECT doc_id, trim(substr(list_filter(list_transform(string_split(text, chr(10)),
@@ -285,11 +300,11 @@ ORACLE: dict[str, str] = {
     "count_lines": """SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)),
           lambda l: contains(l, 'de ') OR contains(l, 'la '))) AS BIGINT) AS lines FROM documents""",
     "check_rows": """WITH e AS (SELECT event_id, event_type AS package,
-          CASE WHEN event_type = 'error' AND value > 50 THEN substr(props, 1, 4) ELSE props END AS props FROM events)
+          CASE WHEN event_type = 'error' AND value > 50 THEN '!' || props ELSE props END AS props FROM events)
         SELECT event_id, package, CASE WHEN json_valid(props) THEN 'ok' ELSE 'error' END AS status,
           CASE WHEN NOT json_valid(props) THEN 'malformed: ' || props END AS error FROM e""",
     "check_summary": """WITH e AS (SELECT event_type AS package, NOT json_valid(
-          CASE WHEN event_type = 'error' AND value > 50 THEN substr(props, 1, 4) ELSE props END) AS bad FROM events)
+          CASE WHEN event_type = 'error' AND value > 50 THEN '!' || props ELSE props END) AS bad FROM events)
         SELECT package, count(*) AS checked, count(*) FILTER (bad) AS failed,
           CASE WHEN count(*) FILTER (bad) > 0 THEN 'failed' ELSE 'ok' END AS status FROM e GROUP BY 1""",
     "candidates": f"WITH {CANDIDATES} SELECT file, struct_name, bool_fields, line FROM cand",
@@ -300,8 +315,8 @@ ORACLE: dict[str, str] = {
             FROM n ASOF JOIN o ON n.file = o.file AND n.line >= o.s WHERE n.line <= o.e)
         SELECT o.file, 'fn_' || o.s AS name, CAST(1 + coalesce(sum(w), 0) AS BIGINT) AS complexity
         FROM o LEFT JOIN placed p ON p.file = o.file AND p.s = o.s GROUP BY ALL""",
-    "chain_lengths": """WITH RECURSIVE l AS (SELECT conv_id * 1000 + turn AS id,
-            CASE WHEN role <> 'system' THEN conv_id * 1000 + turn + 1 END AS nxt FROM conversations),
+    "chain_lengths": """WITH RECURSIVE l AS (SELECT (conv_id << 32) + turn AS id,
+            CASE WHEN role <> 'system' THEN (conv_id << 32) + turn + 1 END AS nxt FROM conversations),
           walk AS (SELECT id, nxt, 1 AS n FROM l
             UNION ALL SELECT w.id, l.nxt, w.n + 1 FROM walk w LEFT JOIN l ON l.id = w.nxt WHERE w.nxt IS NOT NULL)
         SELECT id, CAST(max(n) AS BIGINT) AS length FROM walk GROUP BY 1""",
@@ -376,7 +391,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN parts IS NULL OR len(parts) <> len(best) THEN NULL ELSE parts = best END AS is_latest FROM ranked""",
     "registry_rows": """SELECT event_id, '/run/' || event_type AS ipc_socket, 1024 AS ns_bits, event_id AS cap_mask,
         CAST(json_extract(props, '$.k') AS BIGINT) * event_id AS state, 1 AS declared,
-        CAST(json_extract(props, '$.k') AS INTEGER) AS seq, event_id * 1000000007 // 1000 AS epoch_us FROM events""",
+        CAST(json_extract(props, '$.k') AS INTEGER) AS seq, (1700000000000000999 + event_id * 1000000007) // 1000 AS epoch_us FROM events""",
     "registry_values": """SELECT event_id, user_id AS key_hash, CAST(json_extract(props, '$.k') AS BIGINT) AS value, true AS declared
         FROM events UNION ALL
         SELECT event_id, user_id + 1, event_id + CAST(json_extract(props, '$.k') AS BIGINT), false FROM events""",
@@ -409,6 +424,32 @@ ORACLE: dict[str, str] = {
         done AS (SELECT *, CAST(CASE WHEN s IS NULL THEN flags ELSE (flags & ~1) | s END AS SMALLINT) AS f FROM up)
         SELECT l_orderkey, l_partkey, l_linenumber, f AS flags, f & 1 <> 0 AS returned, f & 8 <> 0 AS taxed, l_linestatus,
           CASE l_returnflag WHEN 'A' THEN 'accept' WHEN 'N' THEN 'note' ELSE 'refund' END AS action FROM done""",
+    "dictionary_saved": f"""WITH {DICTIONARY} SELECT file, CAST(struct_name AS VARCHAR) AS struct_name, field, flag_name, bit,
+        CASE WHEN n <= 8 THEN 8 WHEN n <= 16 THEN 16 WHEN n <= 32 THEN 32 ELSE 64 END AS width FROM dict""",
+    "flags_wide": f"""WITH u AS (SELECT l_orderkey, {WIDE} FROM lineitem GROUP BY 1)
+        SELECT l_orderkey, CASE WHEN {WIDE_ANY} THEN concat_ws('|', {WIDE_NAMES}) ELSE 'none' END AS flag_names,
+          CASE WHEN NOT f69 THEN 'last' WHEN f64 THEN 'second word' WHEN NOT f0 THEN 'first' END AS action FROM u""",
+    "flags_wide_counts": f"""WITH li AS (SELECT l_linenumber, {", ".join(
+            ("false" if i in (62, 63) else f"(l_partkey + l_linenumber + {i * i}) % 11 = 0") + f" AS f{i}" for i in range(70))} FROM lineitem),
+        g AS (SELECT l_linenumber, count(*) AS rows_total, {", ".join(f"count(*) FILTER (f{i}) AS f{i}" for i in range(70))} FROM li GROUP BY 1),
+        t AS (SELECT *, {" + ".join(f"f{i}" for i in range(70))} AS bits_total FROM g)
+        {" UNION ALL ".join(f"SELECT l_linenumber, rows_total, bits_total, 'f{i}' AS flag, f{i} AS rows_set FROM t" for i in range(70))}""",
+    "control_marks": f"""WITH t AS (SELECT conv_id, turn, text || chr(10) || CASE conv_id % 5 WHEN 0 THEN '//flagframe:nobfuscate'
+            WHEN 1 THEN CASE WHEN turn = 1 THEN '// flagframe:force' ELSE '' END
+            WHEN 2 THEN CASE WHEN turn = 0 THEN '// flagframe:nobfuscate' ELSE '//flagframe:force' END
+            WHEN 3 THEN '// flagframe:force flagframe:nobfuscate' ELSE '' END AS text FROM conversations),
+        m AS (SELECT *, CASE WHEN contains(text, 'flagframe:nobfuscate') THEN 1 WHEN contains(text, 'flagframe:force') THEN 0 END AS mark FROM t),
+        p AS (SELECT conv_id, arg_max(mark, turn) FILTER (mark IS NOT NULL) AS mark FROM m GROUP BY 1),
+        q AS (SELECT t.conv_id, turn, text, CASE WHEN p.mark = 1 THEN 'skipped' ELSE 'masked' END AS policy FROM t JOIN p USING (conv_id))
+        SELECT conv_id, turn, policy, md5(CASE WHEN policy = 'skipped' THEN text ELSE {_masked('text')} END) AS text_md5 FROM q""",
+    "report_text": f"""WITH {FINDINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY location, description) AS number,
+          count(*) OVER (PARTITION BY file) AS found_in_file FROM found)
+        SELECT file, number, concat_ws(chr(10), number || ' of ' || found_in_file || ' in ' || file, 'File: ' || file, '  ' || description,
+          '     Type: ' || type, '     Location: ' || location, '     Bytes saved: ' || bytes_saved,
+          '     Speedup: ' || printf('%.2f', speedup) || 'x', '  Security: ' || security_description || ' (' || security_strength || ')') AS lines FROM n""",
+    "stream_checks": """WITH e AS (SELECT event_id, event_type AS package,
+          CASE WHEN event_type = 'error' AND value > 50 THEN '!' || props ELSE props END AS props FROM events)
+        SELECT event_id, package, 'error' AS status, 'malformed: ' || props AS error FROM e WHERE NOT json_valid(props)""",
 }
 
 # The streams give what the tables give.

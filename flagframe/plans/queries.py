@@ -11,8 +11,8 @@ from flagframe.functions.bits import FlagSet
 from flagframe.operators import corpus, dispatch, flags, masking, reports, state, textscan
 from flagframe.plans import tables
 from flagframe.plans.passes import run_passes, standard_passes
-from flagframe.session import scratch_path, spread
-from flagframe.sources import files, registry
+from flagframe.session import scratch_path
+from flagframe.sources import dictionary, files, outputs, registry
 from flagframe.streaming import state as stream_state
 from flagframe.streaming.registers import stream_union_flags
 from flagframe.streaming.sinks import latest_rows, start_batches
@@ -137,6 +137,31 @@ def flag_dictionary(spark, sf_dir):
     return flags.flag_dictionary(tables.struct_fields(spark, sf_dir))
 
 
+@query
+def dictionary_saved(spark, sf_dir):
+    """The flag dictionary written as JSON and read back."""
+    path = scratch_path(spark, "dictionary")
+    dictionary.save_dictionary(flag_dictionary(spark, sf_dir), path)
+    return dictionary.load_dictionary(spark, path).select("file", "struct_name", "field", "flag_name", "bit", "width")
+
+
+@query
+def flags_wide(spark, sf_dir):
+    """Masks of 70 flags: union per order, count per line number, decode, dispatch, update."""
+    lines = tables.wide_lines(spark, sf_dir)
+    union = flags.union_flags(lines, ["l_orderkey"], flags=tables.WIDE_SET)
+    updates = union.select("l_orderkey", F.array(F.lit(1).cast("bigint"), F.lit(32).cast("bigint")).alias("toggle_mask"))
+    changed = flags.update_flags(union, updates, "l_orderkey", flags=tables.WIDE_SET)
+    named = flags.decode_flags(changed, tables.WIDE_SET)
+    cases = ((69, "last"), (64, "second word"), (0, "first"))
+    return flags.dispatch_bits(named, cases).select("l_orderkey", "flag_names", "action")
+
+
+@query
+def flags_wide_counts(spark, sf_dir):
+    return flags.flag_counts(tables.wide_lines(spark, sf_dir), tables.WIDE_SET, by=["l_linenumber"])
+
+
 @query
 def flags_dispatch(spark, sf_dir):
     packed = tables.line_flags(spark, sf_dir).select(*LINE_KEY, "flags")
@@ -199,7 +224,7 @@ def literal_report(spark, sf_dir):
         tables.document_tokens(spark, sf_dir),
         is_import="lang = 'es' and left(literal, 1) between 'A' and 'Z'",
         is_tag="startswith(literal, 'http') or startswith(literal, 'www')",
-        is_constant="literal = upper(literal)",
+        is_constant="literal rlike '^[A-Z0-9_$]+$'",
     )
 
 
@@ -217,10 +242,19 @@ _QUERIES["pseudonymise_high"] = _pseudonyms(3)
 
 
 def _masked_documents(spark, sf_dir):
-    documents = spread(tables.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return masking.mask_by_policy(documents, tables.document_marks(spark, sf_dir), "doc_id", "text")
 
 
+@query
+def control_marks(spark, sf_dir):
+    """Marks parsed out of conversation texts in both spellings, the last one of a conversation deciding."""
+    turns = tables.marked_turns(spark, sf_dir)
+    marks = turns.select("conv_id", F.col("turn").alias("seq"), masking.control_mark(F.col("text"), "flagframe").alias("mark"))
+    masked = masking.mask_by_policy(turns, marks.where(F.col("mark").isNotNull()), "conv_id", "text")
+    return masked.select("conv_id", "turn", "policy", F.md5("text").alias("text_md5"))
+
+
 @query
 def mask_policy(spark, sf_dir):
     masked = _masked_documents(spark, sf_dir)
@@ -245,8 +279,8 @@ def keyword_counts(spark, sf_dir):
 
 @query
 def token_profile(spark, sf_dir):
-    documents = spread(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return textscan.token_profile(documents, ["doc_id"], "text", "[^A-Za-z]+")
+    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return textscan.token_profile(documents, ["doc_id"], "text", tables.TOKEN_SEPARATOR)
 
 
 @query
@@ -270,21 +304,8 @@ def count_lines(spark, sf_dir):
 # --- corpus structure -----------------------------------------------------------------
 
 
-@query
-def scan_files(spark, sf_dir):
-    """The table files themselves."""
-    found = files.scan_files(spark, sf_dir, ".parquet", content=False)
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "length")
-
-
 def _checked_events(spark, sf_dir):
-    """Properties of expensive errors are cut short, so that some rows are malformed."""
-    broken = (F.col("event_type") == "error") & (F.col("value") > 50)
-    events = tables.table(spark, sf_dir, "events").select(
-        "event_id",
-        F.col("event_type").alias("package"),
-        F.when(broken, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("props"),
-    )
+    events = tables.broken_props(tables.table(spark, sf_dir, "events"))
     return files.check_rows(events, "props", "k bigint", ["event_id", "package"])
 
 
@@ -379,6 +400,12 @@ def findings(spark, sf_dir):
     return reports.findings(corpus.flag_candidates(tables.struct_fields(spark, sf_dir)))
 
 
+@query
+def report_text(spark, sf_dir):
+    """The report over ``findings`` as text blocks, numbered within their file."""
+    return outputs.report_lines(findings(spark, sf_dir))
+
+
 @query
 def summary(spark, sf_dir):
     return reports.summarise(findings(spark, sf_dir))
@@ -540,6 +567,15 @@ def stream_job_rejections(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("user_id", "day", "event_id", "op")
 
 
+@query
+def stream_checks(spark, sf_dir):
+    """Rows of the event stream that fail their check, appended to an alert table."""
+    props = tables.broken_props(_stream_events(spark, sf_dir))
+    failures = files.check_rows(props, "props", "k bigint", ["event_id", "package"]).where("status <> 'ok'")
+    alerts = _run_stream(failures, "alerts", "append")
+    return spark.read.schema(failures.schema).parquet(f"{alerts}/*")
+
+
 @query
 def stream_registers(spark, sf_dir):
     """The streaming form of ``registers_tumbling``."""

@@ -9,7 +9,6 @@ from flagframe.functions.bits import FlagSet
 from flagframe.operators.corpus import score_contexts, weighted_complexity
 from flagframe.operators.flags import pack_flags
 from flagframe.operators.ordered import number_rows
-from flagframe.session import spread
 from flagframe.streaming.state import as_job_events
 
 LINE_FLAGS = {
@@ -174,11 +173,15 @@ def priority_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Everything but letters and digits of any script, underscore and dollar.
+TOKEN_SEPARATOR = r"[^\p{L}\p{Nd}_$]+"
+
+
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of every document."""
-    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda t: t != "")
+    words = F.filter(F.split("text", TOKEN_SEPARATOR), lambda t: t != "")
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return spread(documents, "doc_id").select(F.col("source").alias("file"), "lang", F.explode(words).alias("literal"))
+    return documents.select(F.col("source").alias("file"), "lang", F.explode(words).alias("literal"))
 
 
 def document_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +249,7 @@ def owners_and_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 def turn_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns linked to the next one; a system turn ends its chain."""
-    node = F.col("conv_id") * 1000 + F.col("turn")
+    node = F.shiftleft("conv_id", 32) + F.col("turn")
     return table(spark, sf_dir, "conversations").select(
         node.alias("id"), F.when(F.col("role") != "system", node + 1).alias("else_id")
     )
@@ -360,15 +363,46 @@ def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("u64").alias("encoding"),
         ).alias("kv"),
         k.alias("seq"),
-        (F.col("event_id") * 1000000007).alias("epoch_ns"),
+        (F.lit(1_700_000_000_000_000_999) + F.col("event_id") * 1000000007).alias("epoch_ns"),
     )
     body = F.when(
         F.col("event_type").isin("view", "click"), F.to_json(F.struct(control.alias("control")))
     ).otherwise(F.to_json(control))
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
-    return spread(events, "event_id").select("event_id", body.alias("body"))
+    return events.select("event_id", body.alias("body"))
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", event_day(), "ts", "event_id", "event_type")
     return as_job_events(events, JOB_OPS, "event_type")
+
+
+def broken_props(events: DataFrame) -> DataFrame:
+    """Properties of expensive errors get a mark in front, so that some rows are malformed."""
+    broken = (F.col("event_type") == "error") & (F.col("value") > 50)
+    return events.select(
+        "event_id",
+        F.col("event_type").alias("package"),
+        F.when(broken, F.concat(F.lit("!"), "props")).otherwise(F.col("props")).alias("props"),
+    )
+
+
+def marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with control comments in their texts: plain and spaced, some with both marks."""
+    turn = F.col("turn")
+    comment = (
+        F.when(F.col("conv_id") % 5 == 0, "//flagframe:nobfuscate").when((F.col("conv_id") % 5 == 1) & (turn == 1), "// flagframe:force")
+        .when(F.col("conv_id") % 5 == 2, F.when(turn == 0, "// flagframe:nobfuscate").otherwise("//flagframe:force"))
+        .when(F.col("conv_id") % 5 == 3, "// flagframe:force flagframe:nobfuscate").otherwise("")
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return rows.withColumn("text", F.concat("text", F.lit("\n"), F.coalesce(comment, F.lit(""))))
+
+
+WIDE_FLAGS = {f"f{i}": "false" if i in (62, 63) else f"(l_partkey + l_linenumber + {i * i}) % 11 = 0" for i in range(70)}
+WIDE_SET = FlagSet(WIDE_FLAGS)
+
+
+def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with 70 conditions in masks of two words; bits 62 and 63 stay empty."""
+    return pack_flags(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), WIDE_FLAGS)

@@ -49,16 +49,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scanned table over the cores when it has fewer splits than there are cores.
-
-    For work that costs far more per row than moving the row. A table with enough
-    splits, as any large one has, is returned as it is. ``keys`` should be distinct.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the checkpoint folder for a table that is written and read back."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

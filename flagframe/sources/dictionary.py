@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from flagframe.functions.bits import FlagSet
 from flagframe.schemas import ASSIGN_LOG, FLAG_DICTIONARY
 
-MAX_FLAGS_OF_A_STRUCT = 1024
-
 
 def save_dictionary(dictionary: DataFrame, path: str, mode: str = "overwrite") -> None:
     dictionary.write.mode(mode).json(path)
@@ -23,15 +21,12 @@ def load_dictionary(spark: SparkSession, path: str, schema: str = FLAG_DICTIONAR
 def flag_set(dictionary: DataFrame, struct_name: str, file: str | None = None, name: str = "field") -> FlagSet:
     """The flags of one struct in bit order, to query its masks with.
 
-    Read to the driver, as the flags become part of the plan; a struct with more
-    than ``MAX_FLAGS_OF_A_STRUCT`` of them is refused.
+    Read to the driver, as every flag becomes an expression of the plan.
     """
     own = dictionary.where(F.col("struct_name") == struct_name)
     if file is not None:
         own = own.where(F.col("file") == file)
-    rows = own.select("bit", name).orderBy("bit").limit(MAX_FLAGS_OF_A_STRUCT + 1).collect()
-    if len(rows) > MAX_FLAGS_OF_A_STRUCT:
-        raise ValueError(f"struct {struct_name!r} has more than {MAX_FLAGS_OF_A_STRUCT} flags")
+    rows = own.select("bit", name).orderBy("bit").collect()
     if [r["bit"] for r in rows] != list(range(len(rows))):
         raise ValueError(f"the bits of struct {struct_name!r} are not consecutive; name its file")
     return FlagSet(r[name] for r in rows)

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flagframe.operators.ordered import number_rows
+
 FORMATS = ("json", "text")
 
 
 def write_report(found: DataFrame, summary: DataFrame, fmt: str, path: str) -> bool:
     """Write ``<path>/summary`` and ``<path>/results``; False when there is nothing to write.
 
-    Results are one JSON object, or one block of text lines, per finding, in file
+    Results are one JSON object, or one block of text lines, per finding, without a global
     order: a nested list per file would have to fit one row.
     """
     if fmt == "yaml":
         raise NotImplementedError("YAML output is not implemented")
     if fmt not in FORMATS:
         raise ValueError(f"invalid output format: {fmt}")
-    if found.isEmpty():
+    if not summary.where("total_optimizations > 0").count():
         return False
     if fmt == "json":
         nested = found.select(
@@ -31,14 +33,21 @@ def write_report(found: DataFrame, summary: DataFrame, fmt: str, path: str) -> b
                 F.col("security_description").alias("description"), F.col("security_strength").alias("strength")
             ).alias("security_feature"),
         )
-        nested.orderBy("original_file", "optimization.location").write.mode("overwrite").json(f"{path}/results")
+        nested.write.mode("overwrite").json(f"{path}/results")
         summary.write.mode("overwrite").json(f"{path}/summary")
         return True
-    found.orderBy("file", "location").select(_finding_lines()).write.mode("overwrite").text(f"{path}/results")
+    found.select(_finding_lines()).write.mode("overwrite").text(f"{path}/results")
     summary.select(_summary_lines()).write.mode("overwrite").text(f"{path}/summary")
     return True
 
 
+def report_lines(found: DataFrame) -> DataFrame:
+    """Text block of each finding, with its number among the findings of its file."""
+    of_file = number_rows(found, ["file"], ["location", "description"], "number", "found_in_file")
+    head = F.format_string("%d of %d in %s", "number", "found_in_file", "file")
+    return of_file.select("file", F.col("number"), F.concat_ws("\n", head, _finding_lines()).alias("lines"))
+
+
 def converted_name(path: Column) -> Column:
     """Name of the converted file: ``_bitwise`` before the first ``.go``."""
     at = F.locate(".go", path)

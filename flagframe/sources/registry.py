@@ -16,6 +16,12 @@ def _either(field: str) -> Column:
     return F.coalesce(F.col(f"_r.control.{field}"), F.col(f"_r.{field}"))
 
 
+def _micros(nanos: Column) -> Column:
+    """Nanoseconds to microseconds in integers, floored."""
+    whole = nanos - F.pmod(nanos, F.lit(1000))
+    return F.call_function("div", whole, F.lit(1000))
+
+
 def _parsed(df: DataFrame, json_col: str) -> DataFrame:
     return df.withColumn("_r", F.from_json(F.col(json_col), REGISTRY))
 
@@ -37,7 +43,7 @@ def decode_registry(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> Dat
         _either("kv.encoding").alias("encoding"),
         F.coalesce(F.size(_either("kv.declare_hashes")), F.lit(0)).alias("declared"),
         _either("seq").alias("seq"),
-        F.timestamp_micros(F.floor(_either("epoch_ns") / F.lit(1000)).cast("bigint")).alias("epoch"),
+        F.timestamp_micros(_micros(_either("epoch_ns"))).alias("epoch"),
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flagframe.operators.ordered import ROWS_PER_CHUNK
 from flagframe.operators.state import job_history, job_rejections, job_state
 from flagframe.streaming.sinks import BATCH, start_stream
 
@@ -43,7 +42,6 @@ def start_job_rejections(
     once: bool = False,
     interval: str = "10 seconds",
     snapshot_every: int = 20,
-    rows_per_chunk: int | None = ROWS_PER_CHUNK,
 ) -> StreamingQuery:
     """Write the refused events of a stream to ``<path>/rows``, one partition per micro-batch.
 
@@ -60,7 +58,7 @@ def start_job_rejections(
         spark, history = batch.sparkSession, f"{path}/history"
         events = batch.select(*dict.fromkeys([*key, *order, op])).persist()
         previous = _history_before(spark, history, batch_id, key, snapshot_every)
-        refused = job_rejections(events, key, order, op, previous, rows_per_chunk)
+        refused = job_rejections(events, key, order, op, previous)
         refused.write.mode("overwrite").parquet(f"{path}/rows/{BATCH}={batch_id}")
         now = job_history(events, key, order, op, previous)
         if batch_id % snapshot_every:

@@ -73,7 +73,6 @@ def test_owners_in_one_hot_file(spark):
     got = corpus.assign_owners(
         spark.createDataFrame(nodes, "file string, line int, kind string"),
         spark.createDataFrame(owners, "file string, name string, start_line int, end_line int"),
-        rows_per_chunk=20,
     )
     assert {r.line: r.owner for r in got.collect()} == expected and got.count() == 400
 

@@ -137,11 +137,10 @@ def test_dictionary_bits_widths_and_names(spark):
     fields = spark.createDataFrame(
         rows, "file string, struct_name string, pos int, field string, type string, line int, package string"
     )
-    for rows_per_chunk in (10**6, 7):
-        d = flags.flag_dictionary(fields, rows_per_chunk=rows_per_chunk).collect()
-        config = {r.field: (r.flag_name, r.bit, r.width) for r in d if r.struct_name == "Config"}
-        assert config["B1"] == ("FlagConfig_B1", 0, 16) and config["B19"] == ("FlagConfig_B19", 9, 16)
-        assert sorted(r.bit for r in d if r.struct_name == "Big") == list(range(70))
+    d = flags.flag_dictionary(fields).collect()
+    config = {r.field: (r.flag_name, r.bit, r.width) for r in d if r.struct_name == "Config"}
+    assert config["B1"] == ("FlagConfig_B1", 0, 16) and config["B19"] == ("FlagConfig_B19", 9, 16)
+    assert sorted(r.bit for r in d if r.struct_name == "Big") == list(range(70))
     named = flags.flag_dictionary(fields, ["file", "package", "struct_name"], package="package", min_flags=11)
     assert {r.flag_name.rsplit("_", 1)[0] for r in named.collect()} == {"Flagpkg_Big"}
 

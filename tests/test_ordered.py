@@ -1,9 +1,8 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from flagframe.operators.ordered import carry_last, number_rows, split_hot_keys
+from flagframe.operators.ordered import carry_last, chunked, number_rows
 
 
 def skewed_rows(n=600, seed=5):
@@ -16,11 +15,10 @@ def skewed_rows(n=600, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("rows_per_chunk", [None, 10**6, 50, 1])
-def test_carry_last(spark, rows_per_chunk):
+def test_carry_last(spark):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "k int, t int, id int, v string").repartition(7)
-    got = carry_last(df, ["k"], ["t", "id"], {"prev": F.col("v")}, rows_per_chunk)
+    got = carry_last(df, ["k"], ["t", "id"], {"prev": F.col("v")})
     expected, last = {}, {}
     for k, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
         expected[i] = last.get(k)
@@ -29,11 +27,10 @@ def test_carry_last(spark, rows_per_chunk):
     assert {r.id: r.prev for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("rows_per_chunk", [None, 10**6, 50, 1])
-def test_number_rows(spark, rows_per_chunk):
+def test_number_rows(spark):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "k int, t int, id int, v string").repartition(7)
-    got = number_rows(df, ["k"], ["t", "id"], "n", "size", rows_per_chunk)
+    got = number_rows(df, ["k"], ["t", "id"], "n", "size")
     expected, seen = {}, {}
     for k, t, i, _ in sorted(rows, key=lambda r: (r[1], r[2])):
         seen[k] = expected[i] = seen.get(k, 0) + 1
@@ -41,36 +38,29 @@ def test_number_rows(spark, rows_per_chunk):
     assert {r.k: r["size"] for r in got.collect()} == seen
 
 
-def test_text_order_is_not_chunked(spark):
-    df = spark.createDataFrame([("a", "z"), ("a", "b"), ("a", "m")], "k string, s string")
-    got = number_rows(df, ["k"], ["s"], "n", rows_per_chunk=1)
-    assert {r.s: r.n for r in got.collect()} == {"b": 1, "m": 2, "z": 3}
+def test_one_key_of_all_rows_with_a_text_order(spark):
+    names = [f"{i * 7919 % 1000:04d}" for i in range(1000)]
+    df = spark.createDataFrame([("a", n, i) for i, n in enumerate(names)], "k string, s string, id int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one partition
+    try:
+        sizes = [r["count"] for r in chunked(df, ["k"], ["s"]).groupBy("_chunk").count().collect()]
+        got = number_rows(df, ["k"], ["s"], "n", "size").collect()
+        before = {r.s: r.prev for r in carry_last(df, ["k"], ["s"], {"prev": F.col("id")}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 600
+    assert {r.s: r.n for r in got} == {f"{i:04d}": i + 1 for i in range(1000)} and {r["size"] for r in got} == {1000}
+    place = {n: i for i, n in enumerate(names)}
+    assert before == {f"{i:04d}": place[f"{i - 1:04d}"] if i else None for i in range(1000)}
 
 
 def test_one_position_for_all_rows(spark):
     df = spark.createDataFrame([(1, 5, i) for i in range(20)], "k int, t int, id int")
-    got = number_rows(df, ["k"], ["t", "id"], "n", rows_per_chunk=3)
+    got = number_rows(df, ["k"], ["t", "id"], "n")
     assert {r.id: r.n for r in got.collect()} == {i: i + 1 for i in range(20)}
 
 
 def test_null_positions_come_first(spark):
     df = spark.createDataFrame([(1, None if i < 4 else i, i) for i in range(12)], "k int, t int, id int")
-    got = number_rows(df, ["k"], ["t", "id"], "n", rows_per_chunk=2)
+    got = number_rows(df, ["k"], ["t", "id"], "n")
     assert {r.id: r.n for r in got.collect()} == {i: i + 1 for i in range(12)}
-
-
-def test_crowded_stretches_are_cut_again(spark):
-    """A key whose rows lie close together between two far ends."""
-    times = [0, 10**9] + [5 * 10**8 + i for i in range(1000)]
-    df = spark.createDataFrame([(1, t, i) for i, t in enumerate(times)] + [(2, 7, -1)], "k int, t bigint, id int")
-    chunks = split_hot_keys(df, ["k"], ["t"], 50)
-    sizes = [r["count"] for r in chunks.groupBy("k", "_chunk").count().collect()]
-    assert max(sizes) <= 60 and len(sizes) >= 20
-    bounds = chunks.where("k = 1").groupBy("_chunk").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("_chunk").collect()
-    assert all(a.hi < b.lo for a, b in zip(bounds, bounds[1:]))
-    ranked = sorted(times)
-    got = number_rows(df, ["k"], ["t"], "n", "size", rows_per_chunk=50).where("k = 1").collect()
-    assert {r.t: (r.n, r["size"]) for r in got} == {t: (i + 1, 1002) for i, t in enumerate(ranked)}
-    before = carry_last(df, ["k"], ["t"], {"prev": F.col("id")}, 50).where("k = 1").collect()
-    ids = {t: i for i, t in enumerate(times)}
-    assert {r.t: r.prev for r in before} == {t: ids[ranked[i - 1]] if i else None for i, t in enumerate(ranked)}

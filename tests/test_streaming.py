@@ -75,8 +75,7 @@ def test_state_stream_ignores_arrival_order(spark, replay, tmp_path):
     assert seen == {(r.user_id, r.day): r["mask"] for r in job_state(events, KEY, ORDER).collect()}
 
 
-@pytest.mark.parametrize("rows_per_chunk", [10**6, 10])
-def test_rejections_stream_equals_batch_and_survives_restart(spark, replay, tmp_path, rows_per_chunk):
+def test_rejections_stream_equals_batch_and_survives_restart(spark, replay, tmp_path):
     events, path = replay
     out = str(tmp_path / "out")
     parts = sorted(Path(path).glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
@@ -89,7 +88,7 @@ def test_rejections_stream_equals_batch_and_survives_restart(spark, replay, tmp_
         finish(
             start_job_rejections(
                 stream_of(spark, events, str(tmp_path / "in")), ["user_id"], ["event_id"], out, str(tmp_path / "cp"),
-                snapshot_every=3, rows_per_chunk=rows_per_chunk, once=True,
+                snapshot_every=3, once=True,
             )
         )
 
