@@ -103,9 +103,8 @@ def update_flags(
     if _is_wide(df, mask, flags):
         new = bits.apply_wide_update(F.col(mask), bits.n_words(flags), operands)
     else:
-        new = bits.apply_update(F.col(mask), **operands)
-    dtype = df.schema[mask].dataType
-    return joined.select(*[new.cast(dtype).alias(c) if c == mask else F.col(c) for c in df.columns])
+        new = bits.apply_update(F.col(mask), **operands).cast(df.schema[mask].dataType)
+    return joined.select(*[new.alias(c) if c == mask else F.col(c) for c in df.columns])
 
 
 def fold_assignments(

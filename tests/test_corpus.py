@@ -177,3 +177,10 @@ def test_states_with_zero_branches_and_struct_fields(spark):
         ("Config", 0, "Debug", "SetDebug(true)", "Execute_Debug_Logic"),
         ("Config", 1, "Trace", "SetTrace(true)", "Execute_Trace_Logic"),
     }
+
+
+def test_a_context_with_ten_million_branches(spark):
+    contexts = spark.createDataFrame([("f", "switch", 10_000_000), ("f", "switch", 1), ("f", "if_chain", 0)], "file string, type string, complexity int")
+    states = corpus.expand_states(contexts.withColumn("id", F.monotonically_increasing_id()), ["id"])
+    assert states.count() == 10_000_001
+    assert states.where("bit = 65536").select("state").first().state == "case_65536"

@@ -168,3 +168,41 @@ def test_signed_helpers(spark):
     )
     got = [r.v for r in df.select(bits.hex_to_bigint(F.col("h")).alias("v")).collect()]
     assert got == [11, 11802570137488, -1, -(1 << 63), None, None, None]
+
+
+@pytest.mark.parametrize("n", SIZES)
+def test_masks_of_any_width(spark, n):
+    """Update, union, counts, decode and dispatch against plain sets of flags."""
+    names = [f"f{i}" for i in range(n)]
+    known, rows = FlagSet(names), bool_rows(n, 60, 7)
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{x} boolean" for x in names))
+    packed = flags.pack_flags(df, names).withColumn("g", F.col("id") % 4)
+    own = {r[0]: {names[i] for i, v in enumerate(r[1:]) if v} for r in rows}
+    decoded = lambda some: "|".join(x for x in names if x in some) or "none"
+
+    def folded(fold):
+        got = flags.decode_flags(fold(packed, ["g"], flags=known), known).collect()
+        return {r.g: r.flag_names for r in got}
+
+    groups = {g: [own[i] for i in own if i % 4 == g] for g in range(4)}
+    assert folded(flags.union_flags) == {g: decoded(set.union(*s)) for g, s in groups.items()}
+    assert folded(flags.intersect_flags) == {g: decoded(set.intersection(*s)) for g, s in groups.items()}
+    odd = {g: {x for x in names if sum(x in one for one in s) % 2} for g, s in groups.items()}
+    assert folded(flags.parity_flags) == {g: decoded(x) for g, x in odd.items()}
+    counts = {r.flag: (r.rows_set, r.bits_total) for r in flags.flag_counts(packed, known).collect()}
+    assert counts == {x: (sum(x in s for s in own.values()), sum(map(len, own.values()))) for x in names}
+
+    toggled, needed = {names[0], names[-1]}, {names[n // 2]}
+    masks = {k: [bits.pack(known, {x: F.lit(True) for x in some})] for k, some in (("toggle_mask", toggled), ("require_mask", needed))}
+    updates = packed.select("id", *[c[0].alias(k) for k, c in masks.items()])
+    after = flags.decode_flags(flags.update_flags(packed, updates, "id", flags=known), known)
+    cases = [(n - 1, "last"), (0, "first")]
+    got = {r.id: (r.flag_names, r.action) for r in flags.dispatch_bits(after, cases).collect()}
+    expected = {i: (s ^ toggled if needed <= s else s) for i, s in own.items()}
+    assert got == {i: (decoded(s), "last" if names[-1] in s else "first" if names[0] in s else None) for i, s in expected.items()}
+
+
+def test_unknown_bits_of_a_wide_mask(spark):
+    known = FlagSet([f"f{i}" for i in range(70)])
+    df = spark.createDataFrame([([0, 1 << 10],), ([0, 0],), ([1, 1 << 10],)], "flags array<bigint>")
+    assert [r.flag_names for r in flags.decode_flags(df, known).collect()] == ["unknown(0x4000000000000000000)", "none", "f0"]

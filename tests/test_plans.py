@@ -22,6 +22,8 @@ def shuffles(text):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
 def test_no_pairs_and_no_python(spark, sf_dir, name):
     text = plan(spark, sf_dir, name)
+    if name != "versions":  # orders arrays of any length
+        assert "SortAggregate" not in text
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
         assert bad not in text
 
