@@ -1,7 +1,7 @@
 """Operator 6: WARC archives by way of a chunked record table.
 
 Payloads become rows of (record, chunk number, bytes); the digests of a payload are carried
-from chunk to chunk and stand in the row of its last one. Every later step (finding equal
+from chunk to chunk and stand in the rows of its first and last one. Every later step (finding equal
 payloads, writing, reading back) works on chunk rows, so no step after the read of
 the page's cell holds a whole record. In the archive a chunk is a segment of its
 record as the WARC 1.1 standard has it: the first one is the response, the others are
@@ -38,6 +38,7 @@ START = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_BYTES = 1 << 22
+BROADCAST_ROWS = 500_000
 
 CHUNK_SCHEMA = "record long, page_id long, url string, chunk int, last boolean, data binary, payload_bytes long, sha1 string, sha256 string"
 
@@ -90,30 +91,32 @@ def _chunked(chunk_bytes: int):
         for record, page_id, url, payload in _rows(batches):
             payload = payload or b""
             one, two = hashlib.sha1(), hashlib.sha256()
-            for chunk, (start, end) in enumerate(cuts(payload, chunk_bytes)):
-                data = payload[start:end]
-                one.update(data)
-                two.update(data)
-                last = end >= len(payload)
-                digests = (len(payload), base64.b32encode(one.digest()).decode(), two.hexdigest()) if last else (None, None, None)
-                yield record, page_id, url, chunk, last, data, *digests
+            view = memoryview(payload)
+            places = list(cuts(payload, chunk_bytes))
+            for start, end in places:
+                one.update(view[start:end])
+                two.update(view[start:end])
+            ends = len(payload), base64.b32encode(one.digest()).decode()
+            for chunk, (start, end) in enumerate(places):
+                last = chunk == len(places) - 1
+                about = ends if last or not chunk else (None, None)
+                yield record, page_id, url, chunk, last, payload[start:end], *about, two.hexdigest() if last else None
 
     return lambda batches: _batched(rows(batches), _CHUNKS, 5)
 
 
 def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per chunk; the last chunk of a record carries length and digests."""
+    """One row per chunk; the first and the last chunk of a record carry its length and digest."""
     columns = (F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.col("html").cast("string"), "UTF-8").alias("payload"))
     return staged(pages.select(*columns).mapInArrow(_chunked(chunk_bytes), CHUNK_SCHEMA), "warc-chunks")
 
 
-def record_table(chunks: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """One row per record: its response's record number, its own if it is a response."""
-    ends = chunks.where("last").select("record", "page_id", "payload_bytes", "sha1", "sha256")
+def revisit_table(chunks: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """The records that revisit another one: record, response."""
+    ends = chunks.where("last").where(F.col("payload_bytes") >= least_bytes).select("record", "page_id", "payload_bytes", "sha256")
     first = ends.groupBy("sha256", "payload_bytes").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "record"))["record"].alias("first"))
-    joined = ends.join(first, ["sha256", "payload_bytes"])
-    response = F.when(F.col("payload_bytes") >= least_bytes, F.col("first")).otherwise(F.col("record"))
-    return staged(joined.select("record", "sha1", "payload_bytes", response.alias("response")), "warc-records")
+    later = ends.join(first, ["sha256", "payload_bytes"]).where("first <> record")
+    return staged(later.select("record", F.col("first").alias("response")), "warc-revisits")
 
 
 # --- writing -----------------------------------------------------------------------------------
@@ -149,14 +152,16 @@ def _record(row: tuple, date: str) -> bytes:
     return START + "\r\n".join(headers).encode() + b"\r\n\r\n" + block
 
 
-def write_archives(chunks: DataFrame, records: DataFrame, path: str, date: str = DATE) -> None:
+def write_archives(chunks: DataFrame, revisits: DataFrame, path: str, date: str = DATE, compression: str = "gzip") -> None:
     """Write the records as WARC files under ``path``, one file per task."""
     schema = pa.schema([("value", pa.binary())])
-    kept = chunks.join(records, "record").where((F.col("record") == F.col("response")) | (F.col("chunk") == 0))
-    data = F.when(F.col("record") == F.col("response"), F.col("data"))
-    ends = kept.select("record", "page_id", "url", "chunk", "last", data.alias("data"), records["sha1"], records["payload_bytes"], "response")
-    lines = ends.mapInArrow(lambda batches: _batched(((_record(row, date),) for row in _rows(batches)), schema, 0), "value binary")
-    lines.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
+    # pairs of numbers: broadcast up to a size, shuffled beyond
+    again = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
+    known = chunks.join(again, "record", "left").where(F.col("response").isNull() | (F.col("chunk") == 0))
+    data, response = F.when(F.col("response").isNull(), F.col("data")), F.coalesce("response", "record")
+    rows = known.select("record", "page_id", "url", "chunk", "last", data.alias("data"), "sha1", "payload_bytes", response.alias("response"))
+    lines = rows.mapInArrow(lambda batches: _batched(((_record(row, date),) for row in _rows(batches)), schema, 0), "value binary")
+    lines.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 # --- reading -----------------------------------------------------------------------------------
@@ -240,12 +245,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def round_trip(
+    pages: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES, least_bytes: int = LEAST_BYTES, compression: str = "gzip"
+) -> DataFrame:
     """Write ``pages`` as WARC archives under ``path`` (a scratch folder by default) and read them back."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     chunks = chunk_table(pages, chunk_bytes)
-    write_archives(chunks, record_table(chunks, least_bytes), path)
+    write_archives(chunks, revisit_table(chunks, least_bytes), path, compression=compression)
     return read_archives(spark, path).drop("id")
 
 

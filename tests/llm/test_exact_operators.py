@@ -82,17 +82,17 @@ def test_archives_round_trip(spark, tmp_path):
     big, tricky = "é" * 70_001 + "x\r\n\r\n", "a WARC/1.1\r\nWARC-Type: x\r\n\r\n" * 40 + "WARC/1.1"
     pages = [(1, "http://x", big), (2, None, None), (3, "u\r\nv WARC/1.1", ""), (4, "u", big), (0, "u", tricky), (5, "u", tricky), (5, "u", tricky), (None, "u", "only"), (None, "u", big)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, payload_bytes string")
-    rows = warc.round_trip(df, str(tmp_path / "warc"), chunk_bytes=1000).collect()
+    rows = warc.round_trip(df, str(tmp_path / "warc"), chunk_bytes=1000, compression="none").collect()
     expected = Counter()
     for page_id, _, html in pages:
         same = [p for p, _, h in pages if (h or "") == (html or "") and p is not None]
         first = min(same) if same else None
         data = (html or "").encode()
-        revisit = page_id != first or (page_id, html) in [(5, tricky)] and False
+        revisit = page_id != first
         expected[page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", first if revisit else None] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == expected
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "warc").glob("part*")))
-    assert raw.count(b"WARC/1.1\r\n") == raw.count(b"Content-Length") > 200 and raw.endswith(b"\r\n\r\n")
+    assert raw.count(b"WARC/1.1\r\n") == raw.count(b"Content-Length") > 150 and raw.endswith(b"\r\n\r\n")
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
