@@ -17,6 +17,7 @@ where nothing could be learned; ties between languages go to the first in order
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,8 @@ GRAMS = 20_000
 SIZES = (1, 2, 3)
 PENALTY = 12.0
 LEAST_SHARE = 0.005
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+TEXTS_AT_ONCE = 256
 NO_CANDIDATE = -1e3
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -94,23 +96,29 @@ class Model:
         base = len(self.known)
         while base + len(words) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        coded = [[self.rows.get(g, 0) for g in grams(w)] for w in words]
-        starts = np.cumsum([0] + [len(c) for c in coded[:-1]])
-        sums = np.add.reduceat(self.table[np.concatenate([np.array(c) for c in coded])], starts)
+        rows = self.rows.get
+        coded = [[rows(g, 0) for g in grams(w)] for w in words]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter(itertools.chain.from_iterable(coded), np.int64, int(lengths.sum()))
+        sums = np.add.reduceat(self.table[flat], np.cumsum(lengths) - lengths)
         none = np.zeros(len(self.langs))
         self.scores[base : base + len(words)] = sums + np.array([self.masks.get(script(w), none) for w in words])
         self.known.update(zip(words, range(base, base + len(words))))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORDS.findall((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) > CACHED_WORDS:
-                self._start()
-                new = list(set(words))
-            self.learn(new)
+    def predict_all(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """(language, share of letters) of each text; new words are scored for many texts at once."""
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            split = [WORDS.findall((text or "").lower()) for text in texts[start : start + TEXTS_AT_ONCE]]
+            if self.langs:
+                distinct = set().union(*split)
+                if len(self.known) > CACHED_WORDS:
+                    self._start()
+                if new := list(distinct.difference(self.known)):
+                    self.learn(new)
+            for words in split:
+                yield self._label(words) if words and self.langs else ("und", 0.0)
+
+    def _label(self, words: list[str]) -> tuple[str, float]:
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         path = viterbi(self.scores[at].astype(np.float64), self.penalty)
         letters = np.bincount(path, np.fromiter(map(len, words), np.float64, len(words)), len(self.langs))
@@ -176,7 +184,7 @@ def languages(docs: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = PENALT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t) for t in batch.column(1).to_pylist()]
+            found = list(model.predict_all(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema=schema)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
