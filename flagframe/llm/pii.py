@@ -35,7 +35,7 @@ BATCH = 1_024
 ANCHOR = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")  # from the start of a run of digits only, so linear
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 AT = re.compile(r"@|[(\[{ ]at[)\]} ]", re.I)
@@ -77,8 +77,8 @@ def emails(text: str) -> Iterator[Span]:
 def addresses(text: str) -> Iterator[Span]:
     for chain in DOTTED.finditer(text):
         parts, at = chain.group().split("."), chain.start()
-        while len(parts) >= 4:
-            four, parts = parts[:4], parts[4:]
+        for first in range(0, len(parts) - 3, 4):
+            four = parts[first : first + 4]
             end = at + sum(map(len, four)) + 3
             if small_parts(four):
                 yield "ip", at, end
