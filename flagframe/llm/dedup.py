@@ -109,12 +109,19 @@ def _messages(owners: int, width: int):
     return run
 
 
+def members(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are among the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _answers(group: pd.DataFrame) -> pd.DataFrame:
     """An owner's bitmaps: for each sender, which of its fingerprints another sender has too."""
     lists = [rice_decode(code) for code in group.code]
     values, counts = np.unique(np.concatenate(lists), return_counts=True)
     shared = values[counts > 1]
-    bits = [np.packbits(np.isin(one, shared, assume_unique=True)).tobytes() for one in lists]
+    bits = [np.packbits(members(one, shared)).tobytes() for one in lists]
     return pd.DataFrame({"sender": group.sender, "owner": group.owner, "bits": bits})
 
 

@@ -42,14 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flagframe.llm.dedup import rice_decode, rice_encode
+from flagframe.llm.dedup import members, rice_decode, rice_encode
 from flagframe.session import discard, staged
 
 WORDS = 5
 BLOCK_TOKENS = 1 << 18
-OWNER_TOKENS = 1 << 22
+OWNER_TOKENS = 1 << 20
 TOKEN_BITS = 48
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 BROADCAST_ROWS = 500_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -158,7 +158,8 @@ def _asked(width: int, column: str):
 def _answered(group: pd.DataFrame) -> pd.DataFrame:
     lists = [rice_decode(code) for code in group.code]
     values, counts = np.unique(np.concatenate(lists), return_counts=True)
-    bits = [np.packbits(np.isin(one, values[counts > 1], assume_unique=True)).tobytes() for one in lists]
+    shared = values[counts > 1]
+    bits = [np.packbits(members(one, shared)).tobytes() for one in lists]
     return pd.DataFrame({"block": group.block, "owner": group.owner, "bits": bits, "n": [len(one) for one in lists]})
 
 

@@ -36,7 +36,7 @@ LEAST_SUPPORT = 4
 LEAST_WEIGHT = 2.0
 STEMS = (4, 5)
 WINDOW = 4
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 LEET = str.maketrans("013457@$!", "oieastasi")
 EDGES = "\"'`.,;:!?()[]{}<>|*_~-«»„“”‚‘’…¡¿"
 QUOTES = "\"«»„“”"
