@@ -20,6 +20,7 @@ the largest counts; null labels count as missing; a null doc_id hashes as the em
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,47 +71,52 @@ class Automaton:
         for node in range(len(self.children) - 1, -1, -1):  # children have larger numbers
             own = self.edits(self.term[node]) if self.term[node] else 0
             self.allowed[node] = max([own, *(self.allowed[c] for c in self.children[node].values())])
-        self.states: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
+        # a state is a set of 3 * node + edits made, kept as sorted 32-bit numbers
+        self.states: dict[bytes, int] = {}
+        self.sets: list[bytes] = []
         self.moves: list[dict[str, int]] = []
         self.ends: list[str | None] = []
-        self.start = self._state(self._closed({(0, 0)}))
+        self.start = self._state(self._closed({0}))
 
     @staticmethod
     def edits(term: str) -> int:
         return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
-    def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
+    def _closed(self, pairs: set[int]) -> set[int]:
         todo = list(pairs)
         while todo:  # letters of the term that the word lacks
-            node, made = todo.pop()
+            node, made = divmod(todo.pop(), 3)
             for child in self.children[node].values():
-                if made < self.allowed[child] and (child, made + 1) not in pairs:
-                    pairs.add((child, made + 1))
-                    todo.append((child, made + 1))
-        return frozenset(pairs)
+                pair = 3 * child + made + 1
+                if made < self.allowed[child] and pair not in pairs:
+                    pairs.add(pair)
+                    todo.append(pair)
+        return pairs
 
-    def _state(self, pairs: frozenset) -> int:
+    def _state(self, pairs: set[int]) -> int:
         if not pairs:
             return -1
-        if pairs not in self.states:
-            self.states[pairs] = len(self.sets)
-            self.sets.append(pairs)
+        key = array("I", sorted(pairs)).tobytes()
+        if key not in self.states:
+            self.states[key] = len(self.sets)
+            self.sets.append(key)
             self.moves.append({})
-            found = [(made, self.term[n]) for n, made in pairs if self.term[n] and made <= self.edits(self.term[n])]
+            ends = [(pair % 3, self.term[pair // 3]) for pair in pairs if self.term[pair // 3]]
+            found = [end for end in ends if end[0] <= self.edits(end[1])]
             self.ends.append(min(found)[1] if found else None)
-        return self.states[pairs]
+        return self.states[key]
 
     def _move(self, state: int, letter: str) -> int:
         after = set()
-        for node, made in self.sets[state]:
+        for pair in array("I", self.sets[state]):
+            node, made = divmod(pair, 3)
             for symbol, child in self.children[node].items():
                 if symbol == letter:
-                    after.add((child, made))
+                    after.add(3 * child + made)
                 elif made < self.allowed[child]:
-                    after.add((child, made + 1))
+                    after.add(3 * child + made + 1)
             if made < self.allowed[node]:
-                after.add((node, made + 1))
+                after.add(3 * node + made + 1)
         target = self.moves[state][letter] = self._state(self._closed(after))
         return target
 
