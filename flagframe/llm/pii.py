@@ -3,11 +3,15 @@
 Base spans (email, ip, card, phone) come from fixed patterns. A bidirectional LSTM over
 characters with a CRF on top is trained in numpy on windows around base spans of a bounded
 sample, part of them rewritten in other notations of the same kind, and on windows with digits
-that are none. It adds spans that the patterns miss. A span holds a digit or an
-``@``, so the model reads every stretch of text around such a character and no other: stretches
-that touch are one region, cut into overlapping windows, whose scores are blended by the distance
-from the window's edges and decoded by one Viterbi pass over the region. Added spans
-must be plausible (digits, parts, check digit) and are kept only where no base span is.
+or the word "at" that are none. It adds spans that the patterns miss. Overlapping windows cover the whole
+text; their scores are blended by the distance from the window's edges and decoded by Viterbi.
+Added spans must be plausible (digits, parts, check digit, an ``@`` or "at" between signs or blanks)
+and are kept only where no base span is.
+
+Plausible spans hold a digit, an ``@`` or such an "at". From each of these the windows are read
+outwards until, on both sides, a place is met at which every best path over the whole text is
+outside of spans (``sure_outside``). What lies between is decoded with these ends, which
+gives the spans of the whole text without reading all of it, however long they are.
 
 Defined cases: a null text counts as empty and has no spans; without training windows only base
 spans are found. Offsets are code points, ends exclusive.
@@ -32,7 +36,11 @@ HIDDEN = 16
 WINDOW, STRIDE, REACH = 96, 48, 40
 BATCH = 1_024
 
+GROUP = 1 << 20  # places of texts that are read at once
+PLACES = 1 << 18  # places that are decoded at once
+
 ANCHOR = re.compile(r"[0-9@]")
+MARK = re.compile(r"[0-9@]|(?<=[(\[{ ])a(?=t[)\]} ])", re.I)  # every plausible span holds one
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")  # from the start of a run of digits only, so linear
@@ -275,7 +283,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text within REACH of a digit or ``@``, merged where they touch."""
+    """Stretches of text within REACH of a digit or ``@``, merged where they touch; training windows are taken from them."""
     found: list[list[int]] = []
     for m in ANCHOR.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -301,8 +309,10 @@ def other_notation(kind: str, value: str, rng: np.random.Generator) -> str:
     digits = re.sub("[^0-9]", "", value)
     if kind == "email":
         name, _, host = value.partition("@")
-        at = (" at ", "(at)", " [at] ", "@ ")[rng.integers(4)]
-        return name + at + (host if rng.integers(2) else host.replace(".", (" dot ", "[.]")[rng.integers(2)]))
+        if rng.integers(2):  # names without digits as well
+            name, host = (re.sub("[0-9]+", "", part).strip(".-") or part for part in (name, host))
+        at = (" at ", " at ", "(at)", " [at] ", "@ ")[rng.integers(5)]  # the form most like prose more often
+        return name + at + (host if rng.integers(3) == 0 else host.replace(".", (" dot ", "[.]")[rng.integers(2)]))
     if kind == "ip":
         return value.replace(".", ("[.]", " . ", ",")[rng.integers(3)])
     if kind == "card":
@@ -312,8 +322,16 @@ def other_notation(kind: str, value: str, rng: np.random.Generator) -> str:
 
 
 def examples(text: str, rng: np.random.Generator) -> Iterator[tuple[str, list[Span]]]:
-    """Windows for training: (characters, spans within). Half of the spans change their notation."""
+    """Windows for training: (characters, spans within). Half of the spans change their notation, and emails once more."""
     spans = base_spans(text)
+    words = [m.start() for m in MARK.finditer(text) if not ANCHOR.match(m.group())]
+    if words and rng.integers(4) == 0:
+        start = max(0, words[rng.integers(len(words))] - WINDOW // 2)
+        yield text[start : start + WINDOW], [(k, x - start, y - start) for k, x, y in spans]
+    for kind, x, y in spans:
+        if kind == "email":
+            new = other_notation(kind, text[x:y], rng)
+            yield (text[max(0, x - 36) : x] + new + text[y : y + 36])[:WINDOW], [(kind, min(x, 36), min(x, 36) + len(new))]
     for a, b in regions(text):
         inside = [s for s in spans if a <= s[1] and s[2] <= b]
         if inside and rng.integers(2):
@@ -333,7 +351,7 @@ def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS, fit_windows: int = FIT_WIND
         for batch in batches:
             out: list[list] = [[], [], []]
             for text in batch.column(0).to_pylist():
-                if ANCHOR.search(text):
+                if MARK.search(text):
                     seed = int.from_bytes(hashlib.sha256(text.encode()).digest()[:7], "little")
                     rng = np.random.default_rng(seed)
                     for window, spans in list(examples(text, rng))[:8]:
@@ -358,38 +376,123 @@ def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS, fit_windows: int = FIT_WIND
     return tagger
 
 
+def sure_outside(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Whether the middle of each stretch of scores ``e`` (stretch, place, label) is outside of spans in every best path.
+
+    The best ways from each first label to each label of the middle, and from there to each last label, are
+    compared: whatever lies around the stretch, the best way between its ends must be outside in the middle.
+    """
+    step, middle = (trans + allowed()).astype(np.float32), e.shape[1] // 2
+    e = e.astype(np.float32)
+
+    def ways(places: list[int], moves: np.ndarray) -> np.ndarray:
+        """(stretch, end label, middle label), without the scores of the middle itself."""
+        value = np.where(np.eye(LABELS, dtype=bool), e[:, places[0], :, None], np.float32(FORBIDDEN * 10))
+        for t in places[1:]:
+            value = (value[:, :, :, None] + moves).max(2) + e[:, t, None, :]
+        return (value[:, :, :, None] + moves).max(2)
+
+    left = ways(list(range(middle)), step)
+    right = ways(list(range(e.shape[1] - 1, middle, -1)), step.T)
+    both = left[:, :, None, :] + right[:, None, :, :] + e[:, middle, None, None, :]
+    return (both[..., 0] > both[..., 1:].max(3) + 1e-2).all((1, 2))
+
+
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans of the model in each text that touch no base span."""
-    where = [(i, a, b) for i, text in enumerate(texts) for a, b in regions(text)]
-    windows = [(r, s) for r, (_, a, b) in enumerate(where) for s in range(a, max(a + 1, b - STRIDE), STRIDE)]
-    blank = codes(" ")[0]
-    scores = {r: np.zeros((b - a, LABELS)) for r, (_, a, b) in enumerate(where)}
-    weights = {r: np.zeros(b - a) for r, (_, a, b) in enumerate(where)}
-    centre = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-    for at in range(0, len(windows), BATCH):
-        part = windows[at : at + BATCH]
-        x = np.full((len(part), WINDOW), blank, np.int64)
-        for row, (r, s) in zip(x, part):
-            piece = texts[where[r][0]][s : s + WINDOW]
-            row[: len(piece)] = codes(piece)
-        e = tagger.emissions(x.T)
-        for j, (r, s) in enumerate(part):
-            a, b = where[r][1:]
-            n = min(WINDOW, b - s)
-            scores[r][s - a : s - a + n] += e[:n, j] * centre[:n, None]
-            weights[r][s - a : s - a + n] += centre[:n]
+    out: list[list[Span]] = []
+    start = size = 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= GROUP or end == len(texts):
+            out.extend(_added(tagger, texts[start:end], base[start:end]))
+            start, size = end, 0
+    return out
+
+
+def _added(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
+    # texts lie one after another in cells of STRIDE places, an empty cell around each; cell c and the next make window c
+    marks, first, cells = [], np.zeros(len(texts), np.int64), 1
+    for i, (text, own) in enumerate(zip(texts, base)):
+        inside = np.zeros(len(text) + 1, np.int8)
+        for _, a, b in own:
+            inside[a:b] = 1  # what holds these places touches a base span
+        found = [m.start() for m in MARK.finditer(text) if not inside[m.start()]]
+        first[i] = cells
+        if found:
+            marks.extend((i, p) for p in found)
+            cells += -(-len(text) // STRIDE) + 1
+    if not marks:
+        return [[] for _ in texts]
+    owner = np.array([i for i, _ in marks])
+    place = first[owner] * STRIDE + np.array([p for _, p in marks])
+    sizes = np.array([len(text) for text in texts])
+    count = -(-sizes // STRIDE)
+    cell_text = np.full(cells, -1)
+    for i in np.unique(owner):
+        cell_text[first[i] : first[i] + count[i]] = i
+    trans = tagger.p["trans"].astype(np.float64)
+    row = np.full(cells, -1)  # a cell's row in e
+    row[cell_text < 0] = 0
+    e, used, step = np.zeros((len(marks) + 2, STRIDE, LABELS)), 1, 1
+    windows: dict[int, np.ndarray] = {}
+    state = np.zeros((cells, STRIDE), np.int8)  # 0 not known, 1 surely outside, 2 perhaps in a span
+    state[cell_text < 0] = 1
+    for i in np.unique(owner):
+        state[first[i] : first[i] + count[i]].reshape(-1)[len(texts[i]) :] = 1
+    low, high = first[owner] * STRIDE, first[owner] * STRIDE + sizes[owner]
+    wanted = np.unique(np.concatenate([np.maximum(low, place - STRIDE), np.minimum(high - 1, place + STRIDE), place]) // STRIDE)
+    runs: set[tuple[int, int, int]] = set()
+    waiting = np.arange(len(place))
+    while len(waiting):
+        new = wanted[row[wanted] < 0]
+        while used + len(new) > len(e):
+            e = np.concatenate([e, np.zeros_like(e)])
+        row[new] = np.arange(used, used + len(new))
+        e[row[new]] = _cells(tagger, texts, new, cell_text, first, count, windows)
+        used += len(new)
+        for at in range(0, len(new), BATCH):
+            part = new[at : at + BATCH]
+            state[part] = np.where(state[part] == 1, 1, 2)
+            sure = sure_outside(e[row[part]], trans) & ((part - first[cell_text[part]] + 1) * STRIDE <= sizes[cell_text[part]])
+            state[part[sure], STRIDE // 2] = 1
+        flat = state.reshape(-1)
+        stops = np.flatnonzero(flat != 2)
+        right = stops[np.searchsorted(stops, place[waiting])]
+        left = stops[np.searchsorted(stops, place[waiting], "right") - 1]
+        closed = (flat[left] == 1) & (flat[right] == 1)
+        for m, a, b in zip(waiting[closed].tolist(), left[closed].tolist(), right[closed].tolist()):
+            if b > a:  # else the mark itself is outside
+                runs.add((int(owner[m]), a + 1, b))
+        # read on, ever further at once
+        before, after = left[flat[left] == 0] // STRIDE, right[flat[right] == 0] // STRIDE
+        spread = np.arange(step)
+        wanted = np.unique(np.concatenate([c[:, None] + way * spread for c, way in ((before, -1), (after, 1))], None))
+        wanted = wanted[(wanted > 0) & (wanted < cells)]
+        wanted = wanted[cell_text[wanted] >= 0]
+        step *= 2
+        waiting = waiting[~closed]
     found: list[list[Span]] = [[] for _ in texts]
-    order = sorted(range(len(where)), key=lambda r: len(weights[r]))
-    for at in range(0, len(order), BATCH):
-        part = order[at : at + BATCH]
-        lengths = np.array([len(weights[r]) for r in part])
-        e = np.zeros((lengths.max(), len(part), LABELS))
-        for j, r in enumerate(part):
-            e[: lengths[j], j] = scores[r] / weights[r][:, None]
-        path = tagger.decode(e, lengths)
+    todo = sorted(runs, key=lambda r: r[2] - r[1])
+    while todo:
+        longest = todo[-1][2] - todo[-1][1] + 2
+        part = todo[-max(1, min(BATCH, PLACES // longest)) :]
+        del todo[-len(part) :]
+        scores = np.zeros((longest, len(part), LABELS))
+        lengths, starts = np.zeros(len(part), np.int64), []
+        for j, (i, a, b) in enumerate(part):
+            # the places beside a run are outside, unless the text begins or ends there
+            a, b = max(a - 1, first[i] * STRIDE), min(b + 1, first[i] * STRIDE + len(texts[i]))
+            at = np.arange(a, b)
+            scores[: b - a, j] = e[row[at // STRIDE], at % STRIDE]
+            for edge in (a, b - 1):
+                if flat[edge] == 1:
+                    scores[edge - a, j, 1:] += FORBIDDEN
+            lengths[j] = b - a
+            starts.append(a - first[i] * STRIDE)
+        path = tagger.decode(scores, lengths)
         for j in np.flatnonzero(path.any(0)):
-            i, a, _ = where[part[j]]
-            found[i].extend(_spans_of(path[:, j], a))
+            found[part[j][0]].extend(_spans_of(path[:, j], starts[j]))
     out = []
     for text, spans, own in zip(texts, found, base):
         taken = sorted((a, b) for _, a, b in own)
@@ -397,12 +500,41 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> lis
         for kind, a, b in sorted(spans, key=lambda s: s[1]):
             value = text[a:b]
             a, b = a + len(value) - len(value.lstrip()), b - len(value) + len(value.rstrip())
-            if plausible(kind, text[a:b]) and ANCHOR.search(text, a, b) and not any(x < b and a < y for x, y in taken):
-                keep.append((kind, a, b))
+            if plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken):
+                keep.append((kind, int(a), int(b)))
         out.append(keep)
     return out
 
 
+def _cells(tagger: Tagger, texts: list[str], new: np.ndarray, cell_text: np.ndarray, first: np.ndarray, count: np.ndarray, windows: dict) -> np.ndarray:
+    """Scores of the cells ``new``: those of the windows over them, blended by the distance from the windows' edges."""
+    over = {}
+    for c in new.tolist():
+        i = cell_text[c]
+        over[c] = [w for w in (c - 1, c) if first[i] <= w <= first[i] + max(0, count[i] - 2)]
+    missing = sorted({w for ws in over.values() for w in ws}.difference(windows))
+    blank = codes(" ")[0]
+    for at in range(0, len(missing), BATCH):
+        part = missing[at : at + BATCH]
+        x = np.full((len(part), WINDOW), blank, np.int64)
+        for line, w in zip(x, part):
+            i = cell_text[w]
+            piece = texts[i][(w - first[i]) * STRIDE : (w - first[i]) * STRIDE + WINDOW]
+            line[: len(piece)] = codes(piece)
+        e = tagger.emissions(x.T)
+        windows.update((w, e[:, j]) for j, w in enumerate(part))
+    centre = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
+    out = np.zeros((len(new), STRIDE, LABELS))
+    for k, c in enumerate(new.tolist()):
+        weight = np.zeros((STRIDE, 1))
+        for w in over[c]:
+            half = slice(0, STRIDE) if w == c else slice(STRIDE, WINDOW)
+            out[k] += windows[w][half] * centre[half, None]
+            weight += centre[half, None]
+        out[k] /= weight
+    return out
+
+
 def _spans_of(path: np.ndarray, base: int) -> Iterator[Span]:
     start = 0
     for t in np.flatnonzero(path):

@@ -135,6 +135,42 @@ def test_model_adds_other_notations(spark, sf_dir):
     assert base > 200 and sum(r.n_added for r in rows) < 0.2 * base
 
 
+def test_model_adds_emails_without_digits(spark, sf_dir):
+    tagger = pii.fit(spark.read.parquet(f"{sf_dir.replace('0.01', '0.1')}/documents.parquet"))
+    hidden = [f"{'the of and ' * 12}write to {mail} as they were" for mail in ("anna.smith at example dot com", "anna.smith(at)mail.example.com", "anna.s [at] mail[.]example[.]com")]
+    found = pii.added_spans(tagger, hidden, [[] for _ in hidden])
+    assert sum(any(k == "email" and "at" in t[a:b] and b - a > 12 for k, a, b in f) for t, f in zip(hidden, found)) == 3, found
+
+
+def test_model_reads_as_if_over_whole_texts():
+    """Spans of decoding all windows of a text, of any length and far from the mark."""
+    rng, pieces = np.random.default_rng(4), ["a", " at ", "7", "@", "word", " ", ".", "(at)", "12.3.4.5"]
+    ended = 0
+    for seed in range(6):
+        tagger = pii.Tagger(seed)
+        tagger.p["out"] *= 8
+        tagger.p["bias"][0] += 1.5
+        texts = ["".join(rng.choice(pieces, rng.integers(1, 300))) for _ in range(8)] + ["", "@", "x" * 48, "at " * 32]
+        for text, got in zip(texts, pii.added_spans(tagger, texts, [[] for _ in texts])):
+            n, e, weight = len(text), np.zeros((len(text), pii.LABELS)), np.zeros((len(text), 1))
+            for s in range(0, max(1, n - pii.STRIDE), pii.STRIDE) if n else ():
+                x = np.full((pii.WINDOW, 1), ord(" "))
+                piece = pii.codes(text[s : s + pii.WINDOW])
+                x[: len(piece), 0] = piece
+                centre = (1.0 + np.minimum(np.arange(pii.WINDOW), np.arange(pii.WINDOW)[::-1]))[: len(piece), None]
+                e[s : s + len(piece)] += tagger.emissions(x)[: len(piece), 0] * centre
+                weight[s : s + len(piece)] += centre
+            path = tagger.decode((e / weight)[:, None], np.array([n]))[:, 0] if n else np.zeros(0, int)
+            spans = []
+            for kind, a, b in pii._spans_of(path, 0):
+                a, b = a + len(text[a:b]) - len(text[a:b].lstrip()), b - len(text[a:b]) + len(text[a:b].rstrip())
+                if pii.plausible(kind, text[a:b]):
+                    spans.append((kind, a, b))
+            assert got == spans
+            ended += len(spans)
+    assert ended > 20
+
+
 def test_personal_data_edges(docs_of):
     rows = [(1, None), (2, ""), (3, "mail a@b.cd"), (3, "mail a@b.cd"), (None, "1.2.3.4"), (5, "9" * 50_000)]
     found = {r.doc_id: r for r in pii.personal_data(docs_of(rows)).collect()}
