@@ -6,8 +6,8 @@ from labelled texts. Viterbi with a penalty for each switch then labels spans of
 the language with the most letters is the text's, and its share of the letters the score.
 
 A path that never switches is best if no stretch of words gains more than the penalty in
-another language. That is checked with running sums over whole texts at once, and only texts where
-a stretch does gain more take the step-by-step way.
+another language, and none at an end of the text more than half of it. That is checked with running sums over
+whole texts at once, and only texts where a stretch does gain more take the step-by-step way.
 
 Fitting uses at most about ``fit_rows`` labelled texts, chosen by a hash of the id; prediction reads
 every whole text. Defined cases: ``und`` and score 0 for a null text or one without letters, and
@@ -132,7 +132,8 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     best = int(scores.sum(0).argmax())
     gains = np.cumsum(scores - scores[:, [best]], 0)
     low = np.minimum(np.minimum.accumulate(gains, 0), 0)
-    if (gains[0] <= penalty).all() and (n == 1 or (gains[1:] - low[:-1]).max() <= penalty):
+    # half a switch is paid on either side: a stretch at one end of the text pays one half, others pay two
+    if max(gains.max(), (gains[-1] - gains).max()) <= penalty / 2 and (n == 1 or (gains[1:] - low[:-1]).max() <= penalty):
         return np.full(n, best)
     back = np.zeros((n, k), np.int64)
     value, stay = scores[0].copy(), np.arange(k)

@@ -82,6 +82,16 @@ def test_viterbi_is_optimal():
         assert value == pytest.approx(full_viterbi(scores.tolist(), 1.5))
 
 
+def test_viterbi_finds_two_halves_beside_the_best_whole():
+    assert language.viterbi(np.array([[0.0, -30, -10], [-30, 0, -10]]), 12.0).tolist() == [0, 1]
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = rng.integers(1, 5, 2)
+        scores = np.where(np.repeat([[1, 0, 0], [0, 1, 0]], n, 0), 0.0, -3.0) - [0, 0, -2] + rng.normal(size=(n.sum(), 3)) * 0.5
+        path = language.viterbi(scores, 4.0)
+        assert scores[np.arange(len(path)), path].sum() - 4 * (path[1:] != path[:-1]).sum() == pytest.approx(full_viterbi(scores.tolist(), 4.0))
+
+
 def test_language_edges(docs_of):
     rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100 + i, "привет как дела", "ru") for i in range(30)]
     rows += [(200, None, "en"), (201, "", None), (202, "123 !!", "en"), (203, "привет", None), (204, "the dog", None), (204, "the dog", None), (None, "cat", "en")]
