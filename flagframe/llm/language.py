@@ -3,14 +3,15 @@
 Each word's script, told by letter ranges, narrows its candidate languages to those
 that were seen to use the script. Candidates score by the log probabilities of the word's letter n-grams, learned
 from labelled texts. Viterbi with a penalty for each switch then labels spans of words;
-the language with the most letters is the text's, and its share of the letters the score.
+the language with the most letters is the text's, and its share of the letters the score. The spans are
+returned as well, each from its first word's start to its last word's end (``language_spans``).
 
 A path that never switches is best if no stretch of words gains more than the penalty in
 another language, and none at an end of the text more than half of it. That is checked with running sums over
 whole texts at once, and only texts where a stretch does gain more take the step-by-step way.
 
 Fitting uses at most about ``fit_rows`` labelled texts, chosen by a hash of the id; prediction reads
-every whole text. Defined cases: ``und`` and score 0 for a null text or one without letters, and
+every whole text. Defined cases: ``und``, score 0 and no spans for a null text or one without letters, and
 where nothing could be learned; ties between languages go to the first in order of code points.
 """
 
@@ -105,8 +106,8 @@ class Model:
         self.scores[base : base + len(words)] = sums + np.array([self.masks.get(script(w), none) for w in words])
         self.known.update(zip(words, range(base, base + len(words))))
 
-    def predict_all(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        """(language, share of letters) of each text; new words are scored for many texts at once."""
+    def predict_all(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, share of letters, spans) of each text; new words are scored for many texts at once."""
         for start in range(0, len(texts), TEXTS_AT_ONCE):
             split = [WORDS.findall((text or "").lower()) for text in texts[start : start + TEXTS_AT_ONCE]]
             if self.langs:
@@ -115,15 +116,32 @@ class Model:
                     self._start()
                 if new := list(distinct.difference(self.known)):
                     self.learn(new)
-            for words in split:
-                yield self._label(words) if words and self.langs else ("und", 0.0)
+            for words, text in zip(split, texts[start : start + TEXTS_AT_ONCE]):
+                yield self._label(words, text) if words and self.langs else ("und", 0.0, [])
 
-    def _label(self, words: list[str]) -> tuple[str, float]:
+    def _label(self, words: list[str], text: str) -> tuple[str, float, list[tuple[int, int, str]]]:
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         path = viterbi(self.scores[at].astype(np.float64), self.penalty)
         letters = np.bincount(path, np.fromiter(map(len, words), np.float64, len(words)), len(self.langs))
         best = int(letters.argmax())
-        return self.langs[best], float(letters[best] / letters.sum())
+        spans = [(a, b, self.langs[path[i]]) for i, a, b in stretches(path, words, text)]
+        return self.langs[best], float(letters[best] / letters.sum()), spans
+
+
+def stretches(path: np.ndarray, words: list[str], text: str) -> list[tuple[int, int, int]]:
+    """(first word, start, end) of each stretch of ``path``, from its first word's start to its last word's end in ``text``."""
+    low = text.lower()
+    starts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()]
+    if len(starts) == 1:
+        found = [(0, WORDS.search(low).start(), low.rindex(words[-1]) + len(words[-1]))]
+    else:
+        at = [m.span() for m in WORDS.finditer(low)]
+        found = [(i, at[i][0], at[j - 1][1]) for i, j in zip(starts, [*starts[1:], len(words)])]
+    if len(low) == len(text):
+        return found
+    # some letters are two in lower case
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(i, origin[a], origin[b - 1] + 1) for i, a, b in found]
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -178,16 +196,26 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = PENALTY) ->
     return Model(found["g"], found["s"], penalty)
 
 
-def languages(docs: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = PENALTY) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score."""
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+
+
+def language_spans(docs: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = PENALTY) -> DataFrame:
+    """Per document: doc_id, lang_pred, score and spans, the stretches of one language in order (code points, ends exclusive)."""
     model = fit(docs, fit_rows, penalty)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", _SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(model.predict_all(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema=schema)
+            spans = [[dict(zip(("start", "end", "lang"), s)) for s in f[2]] for f in found]
+            columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    predicted = texts.mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return texts.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+
+
+def languages(docs: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = PENALTY) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score, spans."""
+    predicted = language_spans(docs, fit_rows, penalty)
+    return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")

@@ -92,6 +92,17 @@ def test_viterbi_finds_two_halves_beside_the_best_whole():
         assert scores[np.arange(len(path)), path].sum() - 4 * (path[1:] != path[:-1]).sum() == pytest.approx(full_viterbi(scores.tolist(), 4.0))
 
 
+def test_language_spans(docs_of):
+    rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100 + i, "привет как дела", "ru") for i in range(30)]
+    rows += [(200, "1. the cat and the dog, привет как дела! the dog and the cat.", None), (201, "İ the İİ cat (привет как дела)", None), (202, "12", None), (203, None, None)]
+    found = {r.doc_id: r for r in language.languages(docs_of(rows)).collect()}
+    text = {r[0]: r[1] for r in rows}
+    cut = {k: [(s.lang, text[k][s.start : s.end]) for s in r.spans] for k, r in found.items()}
+    assert cut[200] == [("en", "the cat and the dog"), ("ru", "привет как дела"), ("en", "the dog and the cat")] and found[200].lang_pred == "en"
+    assert cut[201] == [("en", "İ the İİ cat"), ("ru", "привет как дела")] and cut[0] == [("en", "the cat and the dog")]
+    assert found[202].spans == found[203].spans == []
+
+
 def test_language_edges(docs_of):
     rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100 + i, "привет как дела", "ru") for i in range(30)]
     rows += [(200, None, "en"), (201, "", None), (202, "123 !!", "en"), (203, "привет", None), (204, "the dog", None), (204, "the dog", None), (None, "cat", "en")]
