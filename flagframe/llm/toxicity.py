@@ -1,8 +1,9 @@
 """Operator 2: toxicity by Levenshtein automata over a learned lexicon, weighed in context.
 
 The lexicon is learned from labelled rows: words and word beginnings that are far more frequent in
-toxic than in clean texts, with their log odds as weights. Its longer words form a trie.
-The Levenshtein automata of all its terms are run as one: a state is the set of (trie node, edits
+toxic than in clean texts, with their log odds as weights. All its words of five letters or more form a trie
+(one edit, two from nine letters on; shorter words are matched exactly).
+The Levenshtein automata of all these are run as one: a state is the set of (trie node, edits
 made) that a word's letters can reach, and states are made when first met, so a word
 costs one lookup per letter and most words end after a few. Around each hit a window
 of words is searched for quotation marks and reporting words, and quoted hits
@@ -32,12 +33,13 @@ from flagframe.session import staged
 
 FIT_ROWS = 12_000
 TERMS = 4_000
-FUZZY_TERMS = 256
 LEAST_SUPPORT = 4
 LEAST_WEIGHT = 2.0
 STEMS = (4, 5)
 WINDOW = 4
 CACHED_WORDS = 150_000
+CACHED_PAIRS = 2_000_000  # of all states of an automaton, which then starts anew
+STATE_PAIRS = 100  # what a state takes besides, in pairs
 LEET = str.maketrans("013457@$!", "oieastasi")
 EDGES = "\"'`.,;:!?()[]{}<>|*_~-«»„“”‚‘’…¡¿"
 QUOTES = "\"«»„“”"
@@ -72,10 +74,14 @@ class Automaton:
             own = self.edits(self.term[node]) if self.term[node] else 0
             self.allowed[node] = max([own, *(self.allowed[c] for c in self.children[node].values())])
         # a state is a set of 3 * node + edits made, kept as sorted 32-bit numbers
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: dict[bytes, int] = {}
         self.sets: list[bytes] = []
         self.moves: list[dict[str, int]] = []
         self.ends: list[str | None] = []
+        self.pairs = 0
         self.start = self._state(self._closed({0}))
 
     @staticmethod
@@ -100,6 +106,7 @@ class Automaton:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
+            self.pairs += len(pairs) + STATE_PAIRS
             self.moves.append({})
             ends = [(pair % 3, self.term[pair // 3]) for pair in pairs if self.term[pair // 3]]
             found = [end for end in ends if end[0] <= self.edits(end[1])]
@@ -122,6 +129,8 @@ class Automaton:
 
     def match(self, word: str) -> str | None:
         """The term nearest to ``word`` within the edits that its length allows."""
+        if self.pairs > CACHED_PAIRS:
+            self._begin()
         state = self.start
         for letter in word:
             state = self.moves[state].get(letter) if letter in self.moves[state] else self._move(state, letter)
@@ -138,8 +147,7 @@ class Scorer:
         self._ready = False
 
     def _prepare(self) -> None:
-        words = sorted((w for w in self.lexicon if w[0] != "^"), key=lambda w: -self.lexicon[w])
-        self.automaton = Automaton([w for w in words if len(w) >= 5][:FUZZY_TERMS])
+        self.automaton = Automaton(sorted(w for w in self.lexicon if w[0] != "^" and Automaton.edits(w)))
         self.known: dict[str, tuple | None] = {}
         self._ready = True
 

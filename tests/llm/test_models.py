@@ -40,6 +40,17 @@ def test_automaton_is_the_edit_distance():
         assert (automaton.match(word) in near) if near else automaton.match(word) is None
 
 
+def test_every_long_word_may_be_misspelt(monkeypatch):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(5, 12))) for _ in range(600)})
+    scorer = toxicity.Scorer({w: 2.0 + i / 1000 for i, w in enumerate(words)})
+    assert all(scorer.features(f"so {w}x")[6] > 0 for w in words)
+    assert not scorer.features("abc zzzzzzz").any()
+    monkeypatch.setattr(toxicity, "CACHED_PAIRS", 1000)
+    anew = toxicity.Scorer(scorer.lexicon)
+    assert all((anew.features(f"so {w}x") == scorer.features(f"so {w}x")).all() for w in words[::20])
+
+
 def test_quotation_counts_apart():
     scorer = toxicity.Scorer({"stupid": 3.0, "^vequ": 2.0})
     plain, quoted, misspelt, leet, stem = (scorer.features(t) for t in ("you are stupid now", 'he wrote "stupid" there', "so stupidd", "so stup1d", "a vequta"))
