@@ -5,9 +5,9 @@ toxic than in clean texts, with their log odds as weights. All its words of five
 (one edit, two from nine letters on; shorter words are matched exactly).
 The Levenshtein automata of all these are run as one: a state is the set of (trie node, edits
 made) that a word's letters can reach, and states are made when first met, so a word
-costs one lookup per letter and most words end after a few. Around each hit a window
-of words is searched for quotation marks and reporting words, and quoted hits
-are counted apart from abuse. A logistic model over these counts gives the score.
+costs one lookup per letter and most words end after a few. A window
+of words around each hit is searched for reporting words, and quotation marks are paired over the whole text;
+hits beside such words or inside quotations are counted apart from abuse. A logistic model over these counts gives the score.
 
 Fitting uses at most ``fit_rows`` labelled rows with distinct texts, chosen by a hash of the id: one half
 for the lexicon, the other half for the logistic model, so that the latter sees the
@@ -20,6 +20,7 @@ the largest counts; null labels count as missing; a null doc_id hashes as the em
 
 from __future__ import annotations
 
+import bisect
 import math
 from array import array
 from collections.abc import Iterator
@@ -42,7 +43,8 @@ CACHED_PAIRS = 2_000_000  # of all states of an automaton, which then starts ane
 STATE_PAIRS = 100  # what a state takes besides, in pairs
 LEET = str.maketrans("013457@$!", "oieastasi")
 EDGES = "\"'`.,;:!?()[]{}<>|*_~-«»„“”‚‘’…¡¿"
-QUOTES = "\"«»„“”"
+MARK_KINDS = {'"': 0, "«": 1, "»": 1, "„": 2, "“": 2, "”": 2}
+MARKS = frozenset(MARK_KINDS)
 REPORTING = frozenset("said says wrote called quote quoted quotes word term insult disait dit appelé sagte nannte wort dijo llamó palabra".split())
 FEATURES = 8
 
@@ -139,6 +141,43 @@ class Automaton:
         return self.ends[state]
 
 
+def quotations(words: list[str]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """(opening, closing) marks, each as (word, letter), of the quotations in a text, in order and without overlaps.
+
+    A mark before a word's letters opens, one after them closes; the others do what their form says.
+    Kinds of marks are paired apart; a mark that opens again stands for the one before,
+    which was not closed.
+    """
+    found, opened = [], {}
+    for i, word in enumerate(words):
+        if MARKS.isdisjoint(word):
+            continue
+        core = [j for j, c in enumerate(word) if c.isalnum()]
+        for j, mark in enumerate(word):
+            if mark not in MARKS:
+                continue
+            kind = MARK_KINDS[mark]
+            if core and (j < core[0] or j > core[-1]):
+                opens = j < core[0]
+            elif mark == '"':
+                opens = kind not in opened
+            elif mark == "“":
+                opens = kind not in opened or words[opened[kind][0]][opened[kind][1]] != "„"
+            else:
+                opens = mark in "«„"
+            if opens:
+                opened[kind] = (i, j)
+            elif kind in opened:
+                found.append((opened.pop(kind), (i, j)))
+    merged: list = []
+    for start, end in sorted(found):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
+
+
 class Scorer:
     """Features and scores of texts; ``weights`` None means features only."""
 
@@ -181,12 +220,15 @@ class Scorer:
         if not hits:
             return out
         abuse, quoted, terms, stems, fuzzy = [], 0.0, set(), [], 0.0
+        spoken = quotations(words) if not MARKS.isdisjoint(text) else []
         for i, token in enumerate(words):
             if token not in hits:
                 continue
             kind, weight, term = self.known[token]
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-            if any(w.strip(EDGES) in REPORTING for w in near) or (token[0] in QUOTES and token.rstrip(".,;:!?")[-1] in QUOTES):
+            place = (i, len(token) - len(token.lstrip(EDGES)))
+            before = bisect.bisect(spoken, (place, place)) - 1
+            if any(w.strip(EDGES) in REPORTING for w in near) or (before >= 0 and place < spoken[before][1]):
                 quoted += weight
             elif kind == "exact":
                 abuse.append(weight)

@@ -58,6 +58,20 @@ def test_quotation_counts_apart():
     assert misspelt[6] > 0 and leet[0] == 3.0 and stem[4] == 2.0 and not scorer.features(None).any() and not scorer.features("").any()
 
 
+def test_quotations_of_several_words():
+    scorer = toxicity.Scorer({"stupid": 3.0, "fool": 3.0})
+    for text in (
+        'the sign read "you stupid fool" in red', "„du stupid fool da“ in rot", "« un stupid fool ici » en rouge", "»so stupid fool hier«, ja",
+        "“a stupid fool”, it had", '" stupid fool "', '5" tall, a "very, very long line with a stupid and at last a fool of no use at all". End', '("stupid"), "fool".',
+        "“he had «so stupid» of a fool” then",
+    ):
+        out = scorer.features(text)
+        assert out[0] == 0 and out[3] == pytest.approx(np.log1p(6)), text
+    for text in ('you "stupid fool', 'stupid fool" you', '"he" stupid fool "you"', "»so« stupid fool »du«", "stupid fool"):
+        out = scorer.features(text)
+        assert out[0] == 3 and out[3] == 0, text
+
+
 def test_toxicity_edges(spark, docs_of):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     docs = docs_of([(1, "idiot"), (2, None), (3, ""), (3, ""), (None, "x"), (4, "word " * 60_000)])
