@@ -5,7 +5,8 @@ toxic than in clean texts, with their log odds as weights. All its words of five
 (one edit, two from nine letters on; shorter words are matched exactly).
 The Levenshtein automata of all these are run as one: a state is the set of (trie node, edits
 made) that a word's letters can reach, and states are made when first met, so a word
-costs one lookup per letter and most words end after a few. A window
+costs one lookup per letter and most words end after a few. Words joined by signs or digits are
+looked up one by one as well. A window
 of words around each hit is searched for reporting words, and quotation marks are paired over the whole text;
 hits beside such words or inside quotations are counted apart from abuse. A logistic model over these counts gives the score.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -47,6 +49,8 @@ MARK_KINDS = {'"': 0, "«": 1, "»": 1, "„": 2, "“": 2, "”": 2}
 MARKS = frozenset(MARK_KINDS)
 REPORTING = frozenset("said says wrote called quote quoted quotes word term insult disait dit appelé sagte nannte wort dijo llamó palabra".split())
 FEATURES = 8
+KINDS = ("exact", "stem", "fuzzy")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,19 +197,39 @@ class Scorer:
     def __getstate__(self):
         return {"lexicon": self.lexicon, "weights": self.weights, "constant": self.constant, "_ready": False}
 
-    def classify(self, token: str) -> tuple[str, float, str] | None:
-        """(kind, weight, term) of a lower-case token, kinds: exact, stem, fuzzy."""
-        core = token.strip(EDGES)
-        for word in dict.fromkeys((core, core.translate(LEET).strip(EDGES))):
-            if word in self.lexicon:
-                return "exact", self.lexicon[word], word
+    def classify(self, word: str) -> tuple[str, float, str] | None:
+        """(kind, weight, term) of a lower-case word, kinds: exact, stem, fuzzy."""
+        for one in dict.fromkeys((word, word.translate(LEET).strip(EDGES))):
+            if one in self.lexicon:
+                return "exact", self.lexicon[one], one
         for size in STEMS:
-            stem = "^" + core[:size]
-            if len(core) > size and stem in self.lexicon:
+            stem = "^" + word[:size]
+            if len(word) > size and stem in self.lexicon:
                 return "stem", self.lexicon[stem], stem
-        term = self.automaton.match(core) if len(core) >= 4 else None
+        term = self.automaton.match(word) if len(word) >= 4 else None
         return ("fuzzy", self.lexicon[term], term) if term else None
 
+    def hits(self, token: str) -> tuple[tuple[int, str, float, str], ...] | None:
+        """(place, kind, weight, term) of the hits in a lower-case token, in order.
+
+        A token with signs or digits inside is looked up as a whole, and so are its runs of letters, read as they
+        are and after LEET. Of readings that overlap the surer kind counts, then the longer.
+        """
+        core = token.strip(EDGES)
+        start = len(token) - len(token.lstrip(EDGES))
+        if core.isalpha() or not core:
+            hit = self.classify(core)
+            return ((start, *hit),) if hit else None
+        pieces = {(0, len(core)): core}
+        for reading in (core.translate(LEET), core):
+            pieces |= {m.span(): m.group() for m in LETTERS.finditer(reading)}
+        found = [(KINDS.index(hit[0]), a - b, a, b, hit) for (a, b), piece in pieces.items() if (hit := self.classify(piece))]
+        kept: list = []
+        for _, _, a, b, hit in sorted(found):
+            if all(b <= c or d <= a for c, d, _ in kept):
+                kept.append((a, b, hit))
+        return tuple((start + a, *hit) for a, _, hit in sorted(kept)) or None
+
     def features(self, text: str | None) -> np.ndarray:
         if not self._ready:
             self._prepare()
@@ -214,7 +238,7 @@ class Scorer:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         for token in distinct.difference(self.known):
-            self.known[token] = self.classify(token)
+            self.known[token] = self.hits(token)
         hits = {w for w in distinct if self.known[w]}
         out = np.zeros(FEATURES)
         if not hits:
@@ -224,19 +248,19 @@ class Scorer:
         for i, token in enumerate(words):
             if token not in hits:
                 continue
-            kind, weight, term = self.known[token]
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-            place = (i, len(token) - len(token.lstrip(EDGES)))
-            before = bisect.bisect(spoken, (place, place)) - 1
-            if any(w.strip(EDGES) in REPORTING for w in near) or (before >= 0 and place < spoken[before][1]):
-                quoted += weight
-            elif kind == "exact":
-                abuse.append(weight)
-                terms.add(term)
-            elif kind == "stem":
-                stems.append(weight)
-            else:
-                fuzzy += weight
+            reported = any(w.strip(EDGES) in REPORTING for w in near)
+            for at, kind, weight, term in self.known[token]:
+                before = bisect.bisect(spoken, ((i, at), (i, at))) - 1
+                if reported or (before >= 0 and (i, at) < spoken[before][1]):
+                    quoted += weight
+                elif kind == "exact":
+                    abuse.append(weight)
+                    terms.add(term)
+                elif kind == "stem":
+                    stems.append(weight)
+                else:
+                    fuzzy += weight
         out[:] = (
             max(abuse, default=0.0), math.log1p(sum(abuse)), math.log1p(len(terms)), math.log1p(quoted),
             max(stems, default=0.0), math.log1p(sum(stems)), math.log1p(fuzzy), math.log1p(100 * (len(abuse) + len(stems)) / len(words)),

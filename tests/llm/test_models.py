@@ -72,6 +72,17 @@ def test_quotations_of_several_words():
         assert out[0] == 3 and out[3] == 0, text
 
 
+def test_joined_words():
+    scorer = toxicity.Scorer({"idiot": 3.0, "^vequ": 2.0})
+    for text in ("you/idiot", "well...idiot", "so-called-idiot", "word—idiot—word", "him,idiot", "you/1diot", "him!idiot", "x/id1ot!", "7idiot7"):
+        out = scorer.features(text)
+        assert out[0] == 3 and out[1] == pytest.approx(np.log1p(3)) and out[6] == 0, text
+    both = scorer.features("idiot/idiot,vequta")
+    assert both[1] == pytest.approx(np.log1p(6)) and both[4] == 2
+    assert scorer.features("you/idiott")[6] > 0 and not scorer.features("you/and—we, 10-20 a.b").any()
+    assert scorer.features('he,"idiot",she')[3] > 0
+
+
 def test_toxicity_edges(spark, docs_of):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     docs = docs_of([(1, "idiot"), (2, None), (3, ""), (3, ""), (None, "x"), (4, "word " * 60_000)])
