@@ -371,9 +371,12 @@ def links_of(sets: DataFrame, lists: DataFrame) -> DataFrame:
     return first.unionAll(staged(more, "jaccard-rest"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, and key1, key2, the digest of its set."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): documents with their digests, and of each set that others equal or link to its component.
+
+    component is the smallest doc_id, which components may share if ids are repeated; head1, head2
+    is the smallest digest of the component, which no other has.
+    """
     blocks = staged(texts.mapInArrow(_blocks, BLOCK_SCHEMA), "jaccard-blocks")
     nodes = staged(sharing_nodes(blocks), "jaccard-nodes")
     sets = staged(node_sets(texts, nodes), "jaccard-sets")
@@ -384,18 +387,52 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal = rows.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     named = sets.select("key1", "key2", "node").join(roots, "node").select("key1", "key2", "root")
     grouped = staged(equal.join(named, ["key1", "key2"], "left").where("copies > 1 OR root IS NOT NULL"), "jaccard-classes")
-    by_root = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"))
-    classes = grouped.join(by_root, "root", "left").select("key1", "key2", F.coalesce("component", "least").alias("component"))
-    found = rows.join(staged(classes, "jaccard-components"), ["key1", "key2"], "left")
+    own = F.struct("key1", "key2")
+    by_root = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"), F.min(own).alias("head"))
+    head = F.coalesce("head", own)
+    classes = grouped.join(by_root, "root", "left").select(
+        "key1", "key2", F.coalesce("component", "least").alias("component"), head["key1"].alias("head1"), head["key2"].alias("head2")
+    )
+    return rows, staged(classes, "jaccard-components")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, and key1, key2, the digest of its set."""
+    rows, classes = _classes(_texts(docs))
+    found = rows.join(classes.drop("head1", "head2"), ["key1", "key2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "key1", "key2")
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles = Shingler()
+    for batch in batches:
+        keys = [digest(shingles(text)) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], ["rid", "doc_id", "key1", "key2"])
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one stays per component, that of the smallest doc_id.
+    """The rows of ``docs``, all columns, of which exactly one stays per component.
 
-    Rows alike in id and text count as one document.
+    That is the row of the smallest doc_id, nulls last, then the first row as staged. Rows without words all stay.
     """
-    decided = near_duplicates(docs)
-    dropped = staged(decided.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "jaccard-dropped")
-    kept = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
-    return kept
+    rows, classes = _classes(_texts(docs))
+    ids = staged(rows.join(classes, ["key1", "key2"], "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "jaccard-suspects")
+    nulls = ids.where("_id IS NULL").limit(1).count() > 0  # kept out of the joins, where they would be one hot key
+    own = docs["doc_id"].cast("long")
+    same, some = own == F.col("_id"), docs.join(ids, own == F.col("_id"), "left_semi")
+    rest = docs.join(ids, same, "left_anti")
+    if nulls:
+        some, rest = some.unionAll(docs.where(own.isNull())), rest.where(own.isNotNull())
+    # rows whose id is in a component get a number, which belongs to the same row for every later reader
+    numbered = staged(some.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[some[c] for c in docs.columns]).alias("row")), "jaccard-suspect-rows")
+    keyed = numbered.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    keyed = keyed.mapInArrow(_digests, "rid long, doc_id long, key1 long, key2 long").join(classes, ["key1", "key2"])
+    keyed = staged(keyed.select("rid", "doc_id", "head1", "head2"), "jaccard-suspect-keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))["rid"]
+    best = keyed.groupBy("head1", "head2").agg(first.alias("rid")).select("rid")
+    dropped = staged(keyed.select("rid").join(best, "rid", "left_anti"), "jaccard-dropped")
+    return rest.unionAll(numbered.join(dropped, "rid", "left_anti").select("row.*"))

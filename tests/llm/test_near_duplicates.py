@@ -51,3 +51,16 @@ def test_one_of_each_keeps_the_smallest_id(docs_of):
     text = " ".join(f"b{i}" for i in range(60))
     kept = jaccard.one_of_each(docs_of([(5, text), (3, text + " more"), (9, "other words"), (10, None), (11, None)]))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 9, 10, 11] and kept.columns[-1] == "score"
+
+
+def test_one_of_each_with_repeated_and_null_ids(docs_of):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "bcd")
+    rows = [
+        (5, one), (5, two), (3, one + " more"), (3, three), (7, three + " more"), (7, "words of its own here"),  # one id, two texts
+        (8, "equal rows stay but once in all"), (8, "equal rows stay but once in all"), (None, two + " more"), (None, "one two three four five six"),
+        (None, "one two three  four five six"), (None, None), (None, ""), (9, None), (9, None),
+    ]
+    kept = jaccard.one_of_each(docs_of(rows)).collect()
+    assert sorted(((r.doc_id or 0), (r.text or "")[:13]) for r in kept) == sorted(
+        [(5, two[:13]), (3, one[:13]), (3, three[:13]), (7, "words of its "), (8, "equal rows st"), (0, "one two three"), (0, ""), (0, ""), (9, ""), (9, "")]
+    )
