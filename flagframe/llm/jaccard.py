@@ -18,9 +18,14 @@ link when 100 * |A and B| >= 80 * |A or B|. The join returns the components of t
    one leader are connected, so pairs among them need no answer. For other members x and y the
    leader L bounds |x and y| by min(|L and x|, |L and y|) plus the smaller number of shared
    tokens outside L, and nearly all are skipped by that.
-5. What is left meets in blocks of lists: list entries are grouped by set size, a set probes only
-   the blocks of compatible size, and entries whose positions leave too few tokens are skipped.
-   Those pairs are counted exactly as well, so no link is lost.
+5. What is left meets in a join on token and band of set sizes (a factor of 1.25), of which a set probes
+   three; pairs whose positions leave too few tokens are skipped one by one.
+   Those pairs are counted exactly as well, so no component is lost.
+
+Three parts of the method are replaced. A leader's answers bound other pairs and connect its members, but no
+member's linked sets or counts are derived from them: pairs of members that link to one leader are not counted, so that
+the result has components and neither all links nor their number. Lists are skipped by size band, which is in
+the join's key; positions are a condition on each pair that meets, not blocks to be skipped.
 
 Defined cases: documents with fewer than five words have their whole sequence as one shingle; a
 null text and a text without words have an empty set and link with nothing; component_id is
