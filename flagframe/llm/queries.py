@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagframe.llm import binpack, dedup, jaccard, language, matrices, mixing, pii, topk, toxicity, warc
+from flagframe.llm import binpack, dedup, harmonic, jaccard, language, lookup_kmeans, matrices, mixing, pii, topk, toxicity, warc
 
-ORACLE: dict[str, str] = {"op1_impact_topk": topk.ORACLE, "op5_source_mix": mixing.ORACLE, "op6_warc_chunks": warc.ORACLE, "op7_exact_dedup": dedup.ORACLE}
+ORACLE: dict[str, str] = {"op1_impact_topk": topk.ORACLE, "op5_source_mix": mixing.ORACLE, "op6_warc_chunks": warc.ORACLE, "op7_exact_dedup": dedup.ORACLE, "op12_lookup_kmeans": lookup_kmeans.ORACLE}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +56,13 @@ def op10_bin_slack(spark, sf_dir):
     return binpack.pack(_table(spark, sf_dir, "documents"))
 
 
+def op12_lookup_kmeans(spark, sf_dir):
+    return lookup_kmeans.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_harmonic_packing(spark, sf_dir):
+    return harmonic.piece_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}

@@ -12,8 +12,8 @@ def test_matches_duckdb(spark, sf_dir, name):
     assert differences(queries.queries()[name](spark, sf_dir), duck(sf_dir), queries.ORACLE[name]) is None
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf_dir):
