@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flagframe.llm import binpack, dedup, harmonic, jaccard, language, lookup_kmeans, matrices, mixing, pii, topk, toxicity, warc
+from flagframe.llm import binpack, dedup, harmonic, jaccard, language, lookup_kmeans, matrices, mixing, pii, topk, toxicity, turns, warc
 
-ORACLE: dict[str, str] = {"op1_impact_topk": topk.ORACLE, "op5_source_mix": mixing.ORACLE, "op6_warc_chunks": warc.ORACLE, "op7_exact_dedup": dedup.ORACLE, "op12_lookup_kmeans": lookup_kmeans.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_impact_topk": topk.ORACLE, "op5_source_mix": mixing.ORACLE, "op6_warc_chunks": warc.ORACLE,
+    "op7_exact_dedup": dedup.ORACLE, "op11_turn_repair": turns.ORACLE, "op12_lookup_kmeans": lookup_kmeans.ORACLE,
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,10 @@ def op10_bin_slack(spark, sf_dir):
     return binpack.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark, sf_dir):
+    return turns.damaged_structure(_table(spark, sf_dir, "conversations"))
+
+
 def op12_lookup_kmeans(spark, sf_dir):
     return lookup_kmeans.clustered(_table(spark, sf_dir, "embeddings"))
 
