@@ -35,7 +35,7 @@ from flagframe.llm.tokens import END_ID, worker_tokenizer
 
 CAPACITY = 2048
 WASTE = 0.03
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1024
 PIECES_AT_ONCE = 4096
 PART_BITS = 32
 

@@ -1,24 +1,35 @@
 """Token ids of whole texts with a public tokenizer, cached by word.
 
 The tokenizer splits at white space and drops it, so the ids of a text are those of its
-words in order. Words are looked up in a bounded cache of their coded ids. Unknown words of letters,
-with or without closing punctuation, reach the tokenizer joined to one text: each
-makes one or two pieces, and every piece ends with a token that ends a word, which shows where the
-words' ids end. Other unknown words are coded one by one.
+words in order. It also lowers the case, so A-Z are lowered before words are told apart. Words are looked
+up in a bounded cache of their coded ids. A word of letters with closing punctuation is its letters' ids
+and the punctuation's. Unknown words of letters reach the tokenizer joined to one text: each makes one
+piece, and every piece ends with a token that ends a word, which shows where the words' ids
+end. Other unknown words are coded one by one.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 CACHED_WORDS = 800_000
-TEXTS_AT_ONCE = 512
-CLOSING = ".,;:!?"
+CHARS_AT_ONCE = 2_000_000
+CLOSING = b".,;:!?"
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
+def _letters(word: bytes) -> bool:
+    """Whether the tokenizer sees letters only: normalised and lowered, some letters are not."""
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode()
+    return is_normalized("NFC", text) and text.lower().isalpha()
 
 
 class WordTokenizer:
@@ -40,27 +51,30 @@ class WordTokenizer:
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        plain, pieces, other = [], [], []
-        for coded in words.difference(self.known):
-            word = coded.decode()
-            core = word.rstrip(CLOSING)
-            if core.isalpha():
-                plain.append(coded)
-                pieces.append(1 if len(core) == len(word) else 2)
-            else:
-                other.append(coded)
-        if plain and not self._learn_joined(plain, np.array(pieces)):
-            other += plain
+        known, closed, plain, other = self.known, [], set(), set()
+        for coded in words.difference(known):
+            core = coded.rstrip(CLOSING)
+            if not _letters(core):
+                other.add(coded)
+                continue
+            if core not in known:
+                plain.add(core)
+            if len(core) < len(coded):
+                closed.append((coded, core, coded[len(core) :]))
+        if plain and not self._learn_joined(list(plain)):
+            other |= plain
+        other.update(closing for _, _, closing in closed if closing not in known)
         for coded, one in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
-            self.known[coded] = np.array(one.ids, "<u4").tobytes()
+            known[coded] = np.array(one.ids, "<u4").tobytes()
+        for coded, core, closing in closed:
+            known[coded] = known[core] + known[closing]
 
-    def _learn_joined(self, words: list[bytes], pieces: np.ndarray) -> bool:
-        """Code words of letters in one go; False if the number of pieces is not the expected one."""
+    def _learn_joined(self, words: list[bytes]) -> bool:
+        """Code words of letters in one go; False if they do not make one piece each."""
         ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != pieces.sum():
+        stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        if len(stops) != len(words):
             return False
-        stops = (4 * ends[np.cumsum(pieces) - 1]).tolist()
         data, start = ids.tobytes(), 0
         for word, stop in zip(words, stops):
             self.known[word] = data[start:stop]
@@ -68,11 +82,17 @@ class WordTokenizer:
         return True
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            split = [(text or "").encode().split() for text in texts[at : at + TEXTS_AT_ONCE]]
+        """Ids per text. Texts of ``CHARS_AT_ONCE`` characters together look up what is new to them at once."""
+        start, chars = 0, 0
+        for stop, text in enumerate(texts, 1):
+            chars += len(text or "")
+            if chars < CHARS_AT_ONCE and stop < len(texts):
+                continue
+            split = [(text or "").encode().translate(LOWER).split() for text in texts[start:stop]]
             self.learn(set().union(*split))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
+            start, chars = stop, 0
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
