@@ -109,11 +109,17 @@ def full_viterbi(scores, penalty):
     return max(v for v, _ in best)
 
 
+def best_path(scores, penalty):
+    """Viterbi's path as an array; one language for all words comes as its number."""
+    path = language.viterbi(scores, penalty)
+    return np.full(len(scores), path) if isinstance(path, int) else path
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(5)
     for _ in range(300):
         scores = rng.normal(size=(rng.integers(1, 12), 3)) * rng.choice([0.3, 2])
-        path = language.viterbi(scores, 1.5)
+        path = best_path(scores, 1.5)
         value = scores[np.arange(len(path)), path].sum() - 1.5 * (path[1:] != path[:-1]).sum()
         assert value == pytest.approx(full_viterbi(scores.tolist(), 1.5))
 
@@ -124,10 +130,29 @@ def test_viterbi_finds_two_halves_beside_the_best_whole():
     for _ in range(300):
         n = rng.integers(1, 5, 2)
         scores = np.where(np.repeat([[1, 0, 0], [0, 1, 0]], n, 0), 0.0, -3.0) - [0, 0, -2] + rng.normal(size=(n.sum(), 3)) * 0.5
-        path = language.viterbi(scores, 4.0)
+        path = best_path(scores, 4.0)
         assert scores[np.arange(len(path)), path].sum() - 4 * (path[1:] != path[:-1]).sum() == pytest.approx(full_viterbi(scores.tolist(), 4.0))
 
 
+def test_words_score_as_their_grams():
+    rng = random.Random(8)
+    counts = {lang: {"".join(rng.choices("abñж^$", k=rng.randint(1, 3))): rng.randint(1, 9) for _ in range(60)} for lang in ("x", "y")}
+    model = language.Model(counts, {"x": {"Latin": 5}, "y": {"Latin": 5, "Cyrillic": 5}})
+    words = list({"".join(rng.choices("abñжz漢", k=rng.randint(1, 9))) for _ in range(200)})
+    model.learn(words)
+    for word in words:
+        row = sum(model.table[model.rows.get(gram, 0)] for gram in language.grams(word)) + model.masks.get(language.script(word), 0.0)
+        assert model.scores[model.known[word]] == pytest.approx(row, rel=1e-5)
+        assert model.lengths[model.known[word]] == len(word)
+
+
+def test_numbers_are_no_letters(docs_of):
+    rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100, "½ ²", None), (101, "① Ⅷ 12", None), (102, "½cat² the", None), (103, "dog " * 30_000, None)]
+    found = {r.doc_id: (r.lang_pred, r.score, [tuple(s) for s in r.spans]) for r in language.languages(docs_of(rows)).collect()}
+    assert found[100] == found[101] == ("und", 0.0, [])
+    assert found[102] == ("en", 1.0, [(1, 9, "en")]) and found[103] == ("en", 1.0, [(0, 119_999, "en")])
+
+
 def test_language_spans(docs_of):
     rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100 + i, "привет как дела", "ru") for i in range(30)]
     rows += [(200, "1. the cat and the dog, привет как дела! the dog and the cat.", None), (201, "İ the İİ cat (привет как дела)", None), (202, "12", None), (203, None, None)]
