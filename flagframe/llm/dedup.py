@@ -43,7 +43,7 @@ def normalised(text: Column) -> Column:
 
 
 def rice_encode(values: np.ndarray, span: int) -> bytes:
-    """Code strictly ascending integers in [0, span): a header, the unary quotients, the remainders."""
+    """Code strictly ascending integers in [0, span): a header, the unary quotients, the remainders bit by bit."""
     if not len(values):
         return b""
     gaps = np.diff(values.astype(np.int64), prepend=-1) - 1
@@ -51,8 +51,8 @@ def rice_encode(values: np.ndarray, span: int) -> bytes:
     stops = np.cumsum((gaps >> k) + 1) - 1
     unary = np.zeros(int(stops[-1]) + 1, np.uint8)
     unary[stops] = 1
-    rest = ((gaps[:, None] >> np.arange(k)) & 1).astype(np.uint8)
-    return bytes([k]) + np.int64([len(values), len(unary)]).tobytes() + np.packbits(unary).tobytes() + np.packbits(rest).tobytes()
+    planes = [np.packbits((gaps >> bit & 1).astype(np.uint8)).tobytes() for bit in range(k)]
+    return b"".join([bytes([k]), np.int64([len(values), len(unary)]).tobytes(), np.packbits(unary).tobytes(), *planes])
 
 
 def rice_decode(data: bytes) -> np.ndarray:
@@ -61,13 +61,14 @@ def rice_decode(data: bytes) -> np.ndarray:
     k = data[0]
     n, length = np.frombuffer(data, np.int64, 2, 1)
     body = np.frombuffer(data, np.uint8, offset=17)
-    cut = (length + 7) // 8
-    stops = np.flatnonzero(np.unpackbits(body[:cut], count=length))
-    gaps = (np.diff(stops, prepend=-1) - 1) << k
-    if k:
-        rest = np.unpackbits(body[cut:], count=n * k).reshape(n, k).astype(np.int64)
-        gaps = gaps + (rest << np.arange(k)).sum(1)
-    return np.cumsum(gaps + 1) - 1
+    cut, plane = (length + 7) // 8, (n + 7) // 8
+    values = (np.diff(np.flatnonzero(np.unpackbits(body[:cut], count=length)), prepend=-1) - 1) << k
+    for bit in range(k):  # one bit of all remainders at a time
+        own = np.unpackbits(body[cut + bit * plane : cut + (bit + 1) * plane], count=n).astype(np.int64)
+        own <<= bit
+        values += own
+    values += 1
+    return np.cumsum(values, out=values) - 1
 
 
 # --- the exchange -------------------------------------------------------------------------

@@ -47,6 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flagframe.llm.batches import lean, sliced
 from flagframe.llm.dedup import members, rice_decode, rice_encode
 from flagframe.session import discard, staged
 
@@ -145,7 +146,7 @@ def _asked(width: int, column: str):
     """Messages to owners: a block's distinct tokens in each owner's range, coded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out: dict[str, list] = {"block": [], "owner": [], "code": []}
             for block, data in zip(batch.column("block").to_pylist(), batch.column(column).to_pylist()):
                 values = np.unique(_short(data) if column == "wide" else _tokens(data))
@@ -178,7 +179,7 @@ def _shared(tokens: np.ndarray, answers: list[dict] | None) -> np.ndarray:
 
 def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a block that share enough of the tokens asked for."""
-    for batch in batches:
+    for batch in sliced(batches, 1):
         out: list[list] = [[], [], []]
         for ids, sizes, one, two, data, answers in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "sizes", "keys1", "keys2", "tokens", "answers"))):
             sizes = np.array(sizes, np.int64)
@@ -204,7 +205,7 @@ def _short(data: bytes) -> np.ndarray:
 def _answers(blocks: DataFrame, column: str, total: int) -> DataFrame:
     """Blocks with the owners' answers to the tokens in ``column``, one per owner."""
     width = -(-(1 << TOKEN_BITS) // max(1, total // OWNER_TOKENS))
-    asked = blocks.select("block", column).mapInArrow(_asked(width, column), "block long, owner long, code binary")
+    asked = blocks.select("block", column).mapInArrow(lean(_asked(width, column)), "block long, owner long, code binary")
     answers = asked.groupBy("owner").applyInPandas(_answered, "block long, owner long, bits binary, n int")
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "bits", "n")).alias("answers"))
     return blocks.join(gathered, "block", "left").select(*blocks.columns, "answers")
@@ -220,7 +221,7 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 def sharing_nodes(blocks: DataFrame) -> DataFrame:
     """Distinct sets that may link to another or have copies: key1, key2 and a document that has the set."""
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + F.shiftright(n + 1, 1)))).first()[0] or 0
-    passed = _answers(blocks, "tokens", total).mapInArrow(_passed, "doc_id long, key1 long, key2 long")
+    passed = _answers(blocks, "tokens", total).mapInArrow(lean(_passed), "doc_id long, key1 long, key2 long")
     return passed.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"))
 
 
@@ -240,7 +241,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # numbers only: broadcast up to a size, shuffled beyond
     named = F.broadcast(named) if nodes.count() <= BROADCAST_ROWS else named
     wanted = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
-    sets = wanted.mapInArrow(_sets, "key1 long, key2 long, tokens array<long>").dropDuplicates(["key1", "key2"])
+    sets = wanted.mapInArrow(lean(_sets), "key1 long, key2 long, tokens array<long>").dropDuplicates(["key1", "key2"])
     return sets.select("key1", "key2", "tokens", F.size("tokens").cast("long").alias("n"), F.monotonically_increasing_id().alias("node"))
 
 
@@ -269,7 +270,7 @@ def _set_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shared tokens of the sets that share enough of them."""
-    for batch in batches:
+    for batch in sliced(batches, 1):
         out: list[list] = [[], [], []]
         for nodes, sizes, data, answers in zip(*(batch.column(c).to_pylist() for c in ("nodes", "sizes", "wide", "answers"))):
             tokens, shared, end = np.frombuffer(data, np.int64), _shared(_short(data), answers), 0
@@ -284,9 +285,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
     """Of the distinct sets those that share enough tokens with other sets, with these tokens: node, n, tokens."""
-    blocks = staged(sets.select("node", "tokens").mapInArrow(_set_blocks, "block long, nodes array<long>, sizes array<long>, wide binary"), "jaccard-set-blocks")
+    blocks = staged(sets.select("node", "tokens").mapInArrow(lean(_set_blocks), "block long, nodes array<long>, sizes array<long>, wide binary"), "jaccard-set-blocks")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    return _answers(blocks, "wide", total).mapInArrow(_kept, "node long, n long, tokens array<long>")
+    return _answers(blocks, "wide", total).mapInArrow(lean(_kept), "node long, n long, tokens array<long>")
 
 
 # --- lists -----------------------------------------------------------------------------------------
@@ -382,7 +383,7 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     component is the smallest doc_id, which components may share if ids are repeated; head1, head2
     is the smallest digest of the component, which no other has.
     """
-    blocks = staged(texts.mapInArrow(_blocks, BLOCK_SCHEMA), "jaccard-blocks")
+    blocks = staged(texts.mapInArrow(lean(_blocks), BLOCK_SCHEMA), "jaccard-blocks")
     nodes = staged(sharing_nodes(blocks), "jaccard-nodes")
     sets = staged(node_sets(texts, nodes), "jaccard-sets")
     shared = staged(shared_tokens(sets), "jaccard-shared")
@@ -435,7 +436,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # rows whose id is in a component get a number, which belongs to the same row for every later reader
     numbered = staged(some.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[some[c] for c in docs.columns]).alias("row")), "jaccard-suspect-rows")
     keyed = numbered.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    keyed = keyed.mapInArrow(_digests, "rid long, doc_id long, key1 long, key2 long").join(classes, ["key1", "key2"])
+    keyed = keyed.mapInArrow(lean(_digests), "rid long, doc_id long, key1 long, key2 long").join(classes, ["key1", "key2"])
     keyed = staged(keyed.select("rid", "doc_id", "head1", "head2"), "jaccard-suspect-keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))["rid"]
     best = keyed.groupBy("head1", "head2").agg(first.alias("rid")).select("rid")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flagframe.llm.batches import lean
 from flagframe.llm.toxicity import held_out
 
 FIT_ROWS = 8_000
@@ -242,12 +243,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.clear()
 
     for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-            some = batch.slice(at, TEXTS_AT_ONCE)
-            for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            if sum(map(len, words.values())) > CACHED_WORDS:
-                spell()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+        if sum(map(len, words.values())) > CACHED_WORDS:
+            spell()
     spell()
     rows = [(lang, "s", item, n) for (lang, item), n in letters.items()]
     rows += [(lang, "g", item, n) for lang, own in found.items() for item, n in own.items()]
@@ -261,7 +260,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = PENALTY) ->
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
     share = min(1.0, fit_rows / max(1, rows.count()))
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counted = some.select("lang", "text").mapInArrow(_counted, "lang string, kind string, item string, n long")
+    counted = some.select("lang", "text").mapInArrow(lean(_counted), "lang string, kind string, item string, n long")
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
     top = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= GRAMS)
     found: dict[str, dict[str, dict[str, int]]] = {"g": {}, "s": {}}
@@ -280,15 +279,14 @@ def language_spans(docs: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                some = batch.slice(at, TEXTS_AT_ONCE)
-                found = list(model.predict_all(some.column(1).to_pylist()))
-                spans = [[dict(zip(("start", "end", "lang"), s)) for s in f[2]] for f in found]
-                columns = [some.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, _SPANS)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            found = list(model.predict_all(batch.column(1).to_pylist()))
+            spans = [[dict(zip(("start", "end", "lang"), s)) for s in f[2]] for f in found]
+            columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        model._start()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    return texts.mapInArrow(lean(run), "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
 
 
 def languages(docs: DataFrame, fit_rows: int = FIT_ROWS, penalty: float = PENALTY) -> DataFrame:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flagframe.llm.batches import lean
 from flagframe.session import staged
 
 FIT_ROWS = 12_000
@@ -194,6 +195,10 @@ class Scorer:
         self.known: dict[str, tuple | None] = {}
         self._ready = True
 
+    def forget(self) -> None:
+        """Drop what was gathered for matching; it is gathered anew when needed."""
+        self.automaton, self.known, self._ready = None, {}, False
+
     def __getstate__(self):
         return {"lexicon": self.lexicon, "weights": self.weights, "constant": self.constant, "_ready": False}
 
@@ -334,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
             values = [plain.features(t).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"x": pa.array(values, pa.list_(pa.float64())), "toxic": batch.column(1)})
 
-    seen = rows.where("half = 1").select("text", "toxic").mapInArrow(featured, "x array<double>, toxic int").collect()  # fit_rows at most
+    seen = rows.where("half = 1").select("text", "toxic").mapInArrow(lean(featured), "x array<double>, toxic int").collect()  # fit_rows at most
     y = np.array([r["toxic"] for r in seen], float)
     if len(set(y)) < 2:
         return Scorer(lexicon, None, float(y.mean()) if len(y) else 0.0)
@@ -348,6 +353,7 @@ def _scored(scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())], schema=schema)
+        scorer.forget()
 
     return run
 
@@ -355,7 +361,7 @@ def _scored(scorer: Scorer):
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(_scored(fit(docs, labels, fit_rows)), "doc_id long, score double")
+    scored = texts.mapInArrow(lean(_scored(fit(docs, labels, fit_rows))), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -366,5 +372,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
+        scorer.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
