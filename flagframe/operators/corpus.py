@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flagframe.functions import text as T
-from flagframe.operators.ordered import carry_last
+from flagframe.operators.ordered import carry_last, carry_sum
 from flagframe.session import discard, staged
 
 # Complexity per node kind and of a bare function.
@@ -104,22 +104,44 @@ def assign_owners(nodes: DataFrame, owners: DataFrame) -> DataFrame:
     )
 
 
-def chain_lengths(links: DataFrame, id_col: str = "id", else_col: str = "else_id") -> DataFrame:
-    """Nodes from each one to the end of its else chain; a plain final else counts 1.
+def nested_complexity(
+    nodes: DataFrame, owners: DataFrame, weights: Mapping[str, int] = NODE_WEIGHTS, base: int = BASE_COMPLEXITY
+) -> DataFrame:
+    """``base`` plus the weights of all nodes within an owner's lines, those of owners inside it included.
+
+    ``nodes(file, line, kind)`` count for every one of the ``owners(file, name, start_line,
+    end_line)`` that holds them, however these nest or overlap. Nodes and the two ends of each owner are merged in line
+    order and weights are summed along it: an owner's share is the sum at its end less the sum
+    before its start. No pairs are formed, and a hot file is summed in many chunks. An owner given
+    more than once is one row; owners without lines, or that end before they start, hold nothing.
+    """
+    ends = F.array(F.struct(F.col("start_line").alias("line"), F.lit(0).alias("_rank")), F.struct(F.col("end_line").alias("line"), F.lit(2).alias("_rank")))
+    bounds = owners.select("file", "name", "start_line", "end_line", F.explode(ends).alias("_at"))
+    bounds = bounds.select("file", "_at.line", "_at._rank", "name", "start_line", "end_line")
+    weighed = nodes.select("file", "line", F.lit(1).alias("_rank"), node_weight(F.col("kind"), weights).alias("_weight"))
+    merged = bounds.unionByName(weighed, allowMissingColumns=True)
+    summed = carry_sum(merged, ["file"], ["line", "_rank"], {"_sum": F.col("_weight")}).where(F.col("_rank") != 1)
+    inside = F.max(F.when(F.col("_rank") == 2, F.col("_sum"))) - F.max(F.when(F.col("_rank") == 0, F.col("_sum")))
+    per_owner = summed.groupBy("file", "name", "start_line", "end_line").agg(inside.alias("_inside"))
+    held = F.when(F.col("end_line") >= F.col("start_line"), F.col("_inside")).otherwise(F.lit(0))
+    return per_owner.select("file", "name", "start_line", "end_line", (held + base).cast("bigint").alias("complexity"))
+
+
+def chain_status(links: DataFrame, id_col: str = "id", else_col: str = "else_id") -> DataFrame:
+    """Per node: ``id``, ``length`` to the end of its else chain (a plain final else counts 1) and ``status``.
 
     Pointer doubling: every round joins the open chains with the table of pointers
     and doubles their reach, so a chain of n links takes about log2(n) rounds. A round writes the
     chains that were open; those that end in it are kept, the open ones of the round
-    before are removed. A cyclic chain is an error.
+    before are removed. After more than log2 of all nodes rounds every chain that ends has ended: what is
+    still open lies on a cycle or leads to one. Such nodes have status ``cyclic`` and no length, others ``ended``.
     """
     start = links.select(F.col(id_col).alias("id"), F.col(else_col).alias("_next"), F.lit(1).cast("bigint").alias("length"))
     current = staged(start, "chains")
     ended, still_open = F.col("_next").isNull(), F.col("_next").isNotNull()
     finished = staged(current.where(ended), "chains-ended")
     rounds_left = max(current.count(), 1).bit_length() + 1
-    while not current.where(still_open).isEmpty():
-        if rounds_left == 0:
-            raise ValueError("the links contain a cycle")
+    while rounds_left and not current.where(still_open).isEmpty():
         rounds_left -= 1
         hop = finished.unionByName(current.where(still_open)).select(
             F.col("id").alias("_id"), F.col("_next").alias("_after"), F.col("length").alias("_more")
@@ -133,7 +155,16 @@ def chain_lengths(links: DataFrame, id_col: str = "id", else_col: str = "else_id
         finished = finished.unionByName(staged(moved.where(ended), "chains-ended"))
         discard(current)
         current = moved
-    return finished.select("id", "length")
+    cyclic = current.where(still_open).select("id", F.lit(None).cast("bigint").alias("length"), F.lit("cyclic").alias("status"))
+    return finished.select("id", "length", F.lit("ended").alias("status")).unionByName(cyclic)
+
+
+def chain_lengths(links: DataFrame, id_col: str = "id", else_col: str = "else_id") -> DataFrame:
+    """``chain_status`` where every chain must end: ``id`` and ``length``. A cyclic chain is an error."""
+    found = chain_status(links, id_col, else_col)
+    if not found.where("status = 'cyclic'").isEmpty():
+        raise ValueError("the links contain a cycle")
+    return found.where("status = 'ended'").select("id", "length")
 
 
 def branch_counts(parents: DataFrame, children: DataFrame, id_col: str, parent_col: str) -> DataFrame:

@@ -84,6 +84,17 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     return out.select(*df.columns, *found.values())
 
 
+def carry_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Per row, the sum of each value over the rows of its key up to and with it; rows of equal order come in any order."""
+    rows = chunked(df.withColumns({f"_v_{n}": F.coalesce(v, F.lit(0)).cast("bigint") for n, v in values.items()}), keys, order)
+    sums = {f"_t_{n}": F.sum(f"_v_{n}") for n in values}
+    carried = {f"_from_{n}": F.sum(f"_t_{n}").over(_earlier(keys)) for n in values}
+    out = _carried(rows, keys, sums, carried)
+    to_here = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = [(F.sum(f"_v_{n}").over(to_here) + F.coalesce(f"_from_{n}", F.lit(0))).alias(n) for n in values]
+    return out.select(*df.columns, *found)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no", total: str | None = None) -> DataFrame:
     """1-based row number per key and, on request, the number of rows of the key."""
     rows = chunked(df, keys, order)

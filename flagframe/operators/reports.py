@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from flagframe.functions import text as T
 from flagframe.operators.corpus import is_simple
@@ -170,6 +171,24 @@ def preserved_annotations(routed: DataFrame, contexts: DataFrame, path: str = "f
     )
 
 
+def _compared_columns(baseline: DataFrame, keys: Sequence[str], columns: Sequence[str] | None) -> list[str]:
+    return [c for c in (columns if columns is not None else baseline.columns) if c not in keys]
+
+
+def _counted_rows(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """How often each row occurs in the baseline (``_b``) and in the candidate (``_c``)."""
+
+    def comparable(df: DataFrame) -> list[Column]:
+        is_map = {c: isinstance(df.schema[c].dataType, T_.MapType) for c in values}
+        return [F.array_sort(F.map_entries(c)).alias(c) if is_map[c] else F.col(c) for c in values]
+
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = baseline.select(*keys, *comparable(baseline), one.alias("_b"), none.alias("_c")).unionByName(
+        candidate.select(*keys, *comparable(candidate), none.alias("_b"), one.alias("_c"))
+    )
+    return both.groupBy(*keys, *values).agg(F.sum("_b").alias("_b"), F.sum("_c").alias("_c"))
+
+
 def compare_datasets(
     baseline: DataFrame, candidate: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
@@ -177,15 +196,11 @@ def compare_datasets(
 
     Both sides are counted per (key, values) rather than joined: copies of a row
     collapse map-side, repeated keys form no pairs, and each side is shuffled once.
-    The second aggregation carries only keys and counts.
+    The second aggregation carries only keys and counts. A MAP is compared as its sorted entries.
     """
     keys = list(keys)
-    values = [c for c in (columns if columns is not None else baseline.columns) if c not in keys]
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    both = baseline.select(*keys, *values, one.alias("_b"), none.alias("_c")).unionByName(
-        candidate.select(*keys, *values, none.alias("_b"), one.alias("_c"))
-    )
-    counted = both.groupBy(*keys, *values).agg(F.sum("_b").alias("_b"), F.sum("_c").alias("_c"))
+    values = _compared_columns(baseline, keys, columns)
+    counted = _counted_rows(baseline, candidate, keys, values)
     zero = F.lit(0).cast("bigint")
     per_key = counted.groupBy(*keys).agg(
         F.sum(F.least("_b", "_c")).alias("matched"),
@@ -207,6 +222,62 @@ def compare_datasets(
     )
 
 
+def compare_columns(
+    baseline: DataFrame, candidate: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Per key and column, in how many of the key's changed rows the column differs: keys, ``column``, ``differing``.
+
+    Equal rows cancel first, as they are counted and not joined. What is left of a key on
+    both sides are its changed rows; in each column their values are matched as multisets, NULL equal to NULL, and what
+    finds no equal counts. So copies and repeated keys form no pairs, and only changed rows
+    are taken apart into columns. Rows of keys on one side only are missing or extra rows and in no column.
+    """
+    keys = list(keys)
+    values = _compared_columns(baseline, keys, columns)
+    counted = _counted_rows(baseline, candidate, keys, values)
+    zero = F.lit(0).cast("bigint")
+    left = counted.where(F.col("_b") != F.col("_c")).withColumns(
+        {"_b": F.greatest(F.col("_b") - F.col("_c"), zero), "_c": F.greatest(F.col("_c") - F.col("_b"), zero)}
+    )
+
+    def text(c: str) -> Column:
+        kind = counted.schema[c].dataType
+        value = F.col(c) + F.lit(0.0).cast(kind) if isinstance(kind, (T_.DoubleType, T_.FloatType)) else F.col(c)  # one zero
+        return F.to_json(F.struct(value.alias("v")))
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in values])
+    apart = left.select(*keys, "_b", "_c", F.explode(cells).alias("_cell"))
+    per_value = apart.groupBy(*keys, F.col("_cell.column").alias("column"), F.col("_cell.value").alias("_value")).agg(
+        F.sum("_b").alias("_b"), F.sum("_c").alias("_c")
+    )
+    per_column = per_value.groupBy(*keys, "column").agg(
+        F.sum(F.least("_b", "_c")).alias("_same"), F.least(F.sum("_b"), F.sum("_c")).alias("_changed")
+    )
+    differing = F.col("_changed") - F.least("_same", "_changed")
+    return per_column.select(*keys, "column", differing.alias("differing")).where("differing > 0")
+
+
+def changed_columns(compared: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Of ``compare_columns``: per key a ``mask`` with bit i for the i-th of ``columns`` that differs, and their names."""
+    bit = F.lit(0).cast("bigint")
+    for i, c in enumerate(columns):
+        bit = F.when(F.col("column") == c, F.lit(1 << i).cast("bigint")).otherwise(bit)
+    masks = compared.groupBy(*keys).agg(F.bit_or(bit).alias("mask"))
+    names = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(c)) for i, c in enumerate(columns)]
+    return masks.withColumn("changed_columns", F.concat_ws(",", *names))
+
+
+def column_summary(compared: DataFrame) -> DataFrame:
+    """Of ``compare_columns``: per column that differs, its keys and rows."""
+    return compared.groupBy("column").agg(F.count(F.lit(1)).alias("keys"), F.sum("differing").alias("rows"))
+
+
+def passed_and_failed(compared: DataFrame) -> DataFrame:
+    """The keys of ``compare_datasets`` with ``outcome``: passed, failed, or extra, which counts for neither."""
+    outcome = F.when(F.col("status") == "matched", "passed").when(F.col("status") == "extra", "extra").otherwise("failed")
+    return compared.withColumn("outcome", outcome)
+
+
 def comparison_summary(compared: DataFrame) -> DataFrame:
     """Totals over a comparison and the share of baseline rows that match."""
     sums = compared.agg(

@@ -169,6 +169,20 @@ COMPARED = """base AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpr
         AND b.o_orderpriority IS NOT DISTINCT FROM c.o_orderpriority THEN 'matched' ELSE 'changed' END AS status
     FROM base b FULL OUTER JOIN cand c ON b.o_orderkey = c.o_orderkey)"""
 
+COLUMN_COMPARED = COMPARED + """,
+  sides AS (
+    SELECT trunc(o_orderkey / 8)::BIGINT AS key, o_orderstatus, o_totalprice, o_orderpriority, 'b' AS side FROM base UNION ALL
+    SELECT trunc(o_orderkey / 8)::BIGINT, o_orderstatus, o_totalprice, o_orderpriority, 'c' FROM cand),
+  counted AS (SELECT key, o_orderstatus, o_totalprice, o_orderpriority, count(*) FILTER (side = 'b') AS nb, count(*) FILTER (side = 'c') AS nc
+    FROM sides GROUP BY ALL),
+  rest AS (SELECT *, greatest(nb - nc, 0) AS rb, greatest(nc - nb, 0) AS rc FROM counted WHERE nb <> nc),
+  cells AS (
+    SELECT key, rb, rc, unnest(['o_orderstatus', 'o_totalprice', 'o_orderpriority']) AS "column",
+      unnest([o_orderstatus, o_totalprice::VARCHAR, o_orderpriority]) AS value FROM rest),
+  vals AS (SELECT key, "column", value, sum(rb) AS rb, sum(rc) AS rc FROM cells GROUP BY ALL),
+  differs AS (SELECT key, "column", CAST(least(sum(rb), sum(rc)) - least(sum(least(rb, rc)), least(sum(rb), sum(rc))) AS BIGINT) AS differing
+    FROM vals GROUP BY ALL HAVING differing > 0)"""
+
 VERSIONS = r"""vers AS (SELECT p_partkey, p_brand, CASE WHEN p_size = 50 THEN '1.x' WHEN p_size = 49 THEN '1.2'
     WHEN p_size >= 40 THEN 'v1.' || p_size || '.0' WHEN p_size >= 30 THEN '1.' || p_size || '.2-rc1'
     ELSE '0.' || p_size || '.' || p_size END AS version FROM part),
@@ -320,6 +334,18 @@ ORACLE: dict[str, str] = {
           walk AS (SELECT id, nxt, 1 AS n FROM l
             UNION ALL SELECT w.id, l.nxt, w.n + 1 FROM walk w LEFT JOIN l ON l.id = w.nxt WHERE w.nxt IS NOT NULL)
         SELECT id, CAST(max(n) AS BIGINT) AS length FROM walk GROUP BY 1""",
+    "owner_complexity_nested": """WITH o AS (SELECT user_id AS file, 'fn_' || event_id AS name, event_id AS s, event_id + 400 + event_id % 7 * 900 AS e
+            FROM events WHERE event_type = 'purchase'),
+          n AS (SELECT user_id AS file, event_id AS line, CASE event_type WHEN 'error' THEN 3 WHEN 'view' THEN 1 ELSE 2 END AS w
+            FROM events WHERE event_type <> 'purchase')
+        SELECT o.file, name, s AS start_line, e AS end_line, CAST(1 + coalesce(sum(w), 0) AS BIGINT) AS complexity
+        FROM o LEFT JOIN n ON n.file = o.file AND n.line BETWEEN s AND e GROUP BY ALL""",
+    "chain_status": """WITH RECURSIVE t AS (SELECT conv_id, turn, role, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+          l AS (SELECT (conv_id << 32) + turn AS id, CASE WHEN turn = last AND conv_id % 3 = 0 THEN (conv_id << 32) + 1
+            WHEN role <> 'system' THEN (conv_id << 32) + turn + 1 END AS nxt FROM t),
+          walk AS (SELECT id, id AS at FROM l UNION SELECT w.id, l.nxt FROM walk w JOIN l ON l.id = w.at WHERE l.nxt IS NOT NULL),
+          ends AS (SELECT w.id, count(*) AS n, bool_or(l.nxt IS NULL) AS ended FROM walk w LEFT JOIN l ON l.id = w.at GROUP BY 1)
+        SELECT id, CASE WHEN ended THEN n END AS length, CASE WHEN ended THEN 'ended' ELSE 'cyclic' END AS status FROM ends""",
     "branch_counts": f"WITH {ORDER_LINES} SELECT o_orderkey, branches FROM counts",
     "score_contexts": f"WITH {CONTEXTS} SELECT file, type, name, complexity, start_line, end_line, eligible FROM ctx",
     "select_contexts": f"WITH {CONTEXTS} SELECT file, type, name, complexity FROM ctx WHERE eligible AND {SIMPLE}",
@@ -374,6 +400,13 @@ ORACLE: dict[str, str] = {
         'Optimization opportunity: ' || type || ' (' || name || ') at lines ' || start_line || '-' || end_line AS note
         FROM ctx WHERE eligible AND {SIMPLE} AND file LIKE '%1'""",
     "compare": f"WITH {COMPARED} SELECT o_orderkey, status FROM cmp",
+    "compare_columns": f"WITH {COLUMN_COMPARED} SELECT * FROM differs",
+    "changed_columns": f"""WITH {COLUMN_COMPARED} SELECT key, CAST(sum(CASE "column" WHEN 'o_orderstatus' THEN 1 WHEN 'o_totalprice' THEN 2 ELSE 4 END) AS BIGINT) AS mask,
+        string_agg("column", ',' ORDER BY CASE "column" WHEN 'o_orderstatus' THEN 1 WHEN 'o_totalprice' THEN 2 ELSE 4 END) AS changed_columns
+        FROM differs GROUP BY key""",
+    "column_summary": f"""WITH {COLUMN_COMPARED} SELECT "column", count(*) AS keys, CAST(sum(differing) AS BIGINT) AS rows FROM differs GROUP BY 1""",
+    "compare_outcome": f"""WITH {COMPARED} SELECT o_orderkey,
+        CASE status WHEN 'matched' THEN 'passed' WHEN 'extra' THEN 'extra' ELSE 'failed' END AS outcome FROM cmp""",
     "compare_summary": f"""WITH {COMPARED}, s AS (SELECT count(*) FILTER (status <> 'extra') AS total,
           count(*) FILTER (status = 'matched') AS passed, count(*) FILTER (status IN ('changed', 'missing')) AS failed,
           count(*) FILTER (status = 'extra') AS extra FROM cmp)
@@ -447,6 +480,17 @@ ORACLE: dict[str, str] = {
         SELECT file, number, concat_ws(chr(10), number || ' of ' || found_in_file || ' in ' || file, 'File: ' || file, '  ' || description,
           '     Type: ' || type, '     Location: ' || location, '     Bytes saved: ' || bytes_saved,
           '     Speedup: ' || printf('%.2f', speedup) || 'x', '  Security: ' || security_description || ' (' || security_strength || ')') AS lines FROM n""",
+    "report_document": f"""WITH {FINDINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY location, description) AS number,
+          count(*) OVER (PARTITION BY file) AS n, min(file) OVER () AS first FROM found),
+        j AS (SELECT *, '{{"type":"' || type || '","description":"' || description || '","location":"' || location || '","bytes_saved":' || bytes_saved
+            || ',"speedup_factor":2.5}}' AS item, '{{"description":"' || security_description || '","strength":"Medium"}}' AS feature FROM n),
+        s AS (SELECT '{{"summary":{{"files_analyzed":' || count(DISTINCT file) || ',"total_optimizations":' || count(*) || ',"estimated_bytes_saved":'
+            || sum(bytes_saved) || ',"average_speedup_factor":2.5,"security_features":' || count(*) || '}},"results":[' AS head FROM found)
+        SELECT 0 AS part, NULL::VARCHAR AS file, 0 AS section, 0::BIGINT AS number, head AS value FROM s UNION ALL SELECT 2, NULL, 0, 0, ']}}' UNION ALL
+        SELECT 1, file, 0, number, CASE WHEN number > 1 THEN ',' ELSE CASE WHEN file = first THEN '' ELSE ',' END || '{{"original_file":"' || file
+          || '","transpiled_file":"' || file || '","findings":' || n || ',"optimizations":[' END || item
+          || CASE WHEN number = n THEN '],"security_features":[' ELSE '' END FROM j UNION ALL
+        SELECT 1, file, 1, number, CASE WHEN number > 1 THEN ',' ELSE '' END || feature || CASE WHEN number = n THEN ']}}' ELSE '' END FROM j""",
     "stream_checks": """WITH e AS (SELECT event_id, event_type AS package,
           CASE WHEN event_type = 'error' AND value > 50 THEN '!' || props ELSE props END AS props FROM events)
         SELECT event_id, package, 'error' AS status, 'malformed: ' || props AS error FROM e WHERE NOT json_valid(props)""",

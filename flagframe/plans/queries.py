@@ -339,11 +339,24 @@ def owner_complexity(spark, sf_dir):
     return corpus.weighted_complexity(keyed, ["file", "name"], owners)
 
 
+@query
+def owner_complexity_nested(spark, sf_dir):
+    """Intervals that nest and overlap; a node counts for each one that holds it."""
+    owners, nodes = tables.nested_owners_and_nodes(spark, sf_dir)
+    return corpus.nested_complexity(nodes, owners)
+
+
 @query
 def chain_lengths(spark, sf_dir):
     return corpus.chain_lengths(tables.turn_links(spark, sf_dir))
 
 
+@query
+def chain_status(spark, sf_dir):
+    """Chains of which some lead into a cycle."""
+    return corpus.chain_status(tables.looped_turn_links(spark, sf_dir))
+
+
 @query
 def branch_counts(spark, sf_dir):
     orders = tables.table(spark, sf_dir, "orders")
@@ -406,6 +419,13 @@ def report_text(spark, sf_dir):
     return outputs.report_lines(findings(spark, sf_dir))
 
 
+@query
+def report_document(spark, sf_dir):
+    """The lines of the report over ``findings`` as one JSON document."""
+    found = findings(spark, sf_dir)
+    return outputs.document_lines(found, reports.summarise(found))
+
+
 @query
 def summary(spark, sf_dir):
     return reports.summarise(findings(spark, sf_dir))
@@ -456,9 +476,43 @@ def preserved_annotations(spark, sf_dir):
     return reports.preserved_annotations(routed, contexts)
 
 
+ORDER_COLUMNS = ("o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+def _baseline_orders(spark, sf_dir):
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", *ORDER_COLUMNS)
+
+
 def _compared(spark, sf_dir):
-    baseline = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return reports.compare_datasets(baseline, tables.candidate_orders(spark, sf_dir), ["o_orderkey"])
+    return reports.compare_datasets(_baseline_orders(spark, sf_dir), tables.candidate_orders(spark, sf_dir), ["o_orderkey"])
+
+
+def _compared_columns(spark, sf_dir):
+    """Without the last digits of keys, so that a key has many rows on both sides."""
+    key = (F.col("o_orderkey") / 8).cast("bigint").alias("key")
+    sides = [df.select(key, *ORDER_COLUMNS) for df in (_baseline_orders(spark, sf_dir), tables.candidate_orders(spark, sf_dir))]
+    return reports.compare_columns(*sides, ["key"])
+
+
+@query
+def compare_columns(spark, sf_dir):
+    return _compared_columns(spark, sf_dir)
+
+
+@query
+def changed_columns(spark, sf_dir):
+    return reports.changed_columns(_compared_columns(spark, sf_dir), ["key"], ORDER_COLUMNS)
+
+
+@query
+def column_summary(spark, sf_dir):
+    return reports.column_summary(_compared_columns(spark, sf_dir))
+
+
+@query
+def compare_outcome(spark, sf_dir):
+    """Which keys passed and which failed."""
+    return reports.passed_and_failed(_compared(spark, sf_dir)).select("o_orderkey", "outcome")
 
 
 @query

@@ -247,6 +247,14 @@ def owners_and_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return owners, nodes
 
 
+def nested_owners_and_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same events with intervals of many lengths, which nest and overlap."""
+    owners, nodes = owners_and_nodes(spark, sf_dir)
+    longer = F.col("end_line") + F.col("start_line") % 7 * 900
+    kind = F.when(F.col("kind") == "error", "for").when(F.col("kind") == "view", "call").otherwise("if")
+    return owners.withColumn("end_line", longer), nodes.withColumn("kind", kind)
+
+
 def turn_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns linked to the next one; a system turn ends its chain."""
     node = F.shiftleft("conv_id", 32) + F.col("turn")
@@ -255,6 +263,15 @@ def turn_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def looped_turn_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns linked to the next one; in every third conversation the last turn leads back to the second."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    base = F.shiftleft("conv_id", 32)
+    goes = F.when((F.col("turn") == F.col("last")) & (F.col("conv_id") % 3 == 0), base + 1).when(F.col("role") != "system", base + F.col("turn") + 1)
+    return turns.join(last, "conv_id").select((base + F.col("turn")).alias("id"), goes.alias("else_id"))
+
+
 def region_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per region: nations as functions, some of them handlers, and suppliers as structs."""
     nation = table(spark, sf_dir, "nation")

@@ -20,7 +20,7 @@ def write_report(found: DataFrame, summary: DataFrame, fmt: str, path: str) -> b
         raise NotImplementedError("YAML output is not implemented")
     if fmt not in FORMATS:
         raise ValueError(f"invalid output format: {fmt}")
-    if not summary.where("total_optimizations > 0").count():
+    if found.isEmpty():
         return False
     if fmt == "json":
         nested = found.select(
@@ -41,6 +41,48 @@ def write_report(found: DataFrame, summary: DataFrame, fmt: str, path: str) -> b
     return True
 
 
+def document_lines(found: DataFrame, summary: DataFrame) -> DataFrame:
+    """The report as the lines of one JSON document: ``part``, ``file``, ``section``, ``number``, ``value``.
+
+    Read in the order of these columns the lines are ``{"summary": ..., "results": [...]}`` with an object per file
+    that holds its findings and security features as lists. A finding is a line, and what opens, separates and closes lists
+    follows from its number among the findings of its file, so no list is ever gathered into a row.
+    """
+    of_file = number_rows(found, ["file"], ["location", "description"], "number", "found_in_file")
+    first = found.agg(F.min("file")).first()[0]
+    text = F.to_json(F.struct(F.col("file").alias("f")))  # quotes and escapes as JSON wants them
+    name = F.substr(text, F.lit(6), F.length(text) - 6)
+    other = F.to_json(F.struct(converted_name(F.col("file")).alias("f")))
+    converted = F.substr(other, F.lit(6), F.length(other) - 6)
+    begin = F.when(F.col("file") == F.lit(first), "").otherwise(",")
+    opening = F.concat(begin, F.lit('{"original_file":'), name, F.lit(',"transpiled_file":'), converted, F.lit(',"findings":'), F.col("found_in_file").cast("string"), F.lit(',"optimizations":['))
+    item = F.to_json(F.struct("type", "description", "location", "bytes_saved", F.col("speedup").alias("speedup_factor")))
+    feature = F.to_json(F.struct(F.col("security_description").alias("description"), F.col("security_strength").alias("strength")))
+    is_first, is_last = F.col("number") == 1, F.col("number") == F.col("found_in_file")
+    optimization = F.concat(F.when(is_first, opening).otherwise(","), item, F.when(is_last, '],"security_features":[').otherwise(""))
+    security = F.concat(F.when(is_first, "").otherwise(","), feature, F.when(is_last, "]}").otherwise(""))
+    sections = F.array(F.struct(F.lit(0).alias("section"), optimization.alias("value")), F.struct(F.lit(1).alias("section"), security.alias("value")))
+    rows = of_file.select(F.lit(1).alias("part"), "file", "number", F.explode(sections).alias("s"))
+    rows = rows.select("part", "file", "s.section", "number", "s.value")
+    head = F.concat(F.lit('{"summary":'), F.to_json(F.struct(*summary.columns)), F.lit(',"results":['))
+    edge = [F.lit(None).cast("string").alias("file"), F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("number")]
+    ends = summary.select(F.explode(F.array(F.struct(F.lit(0).alias("part"), head.alias("value")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value")))).alias("s"))
+    return rows.unionByName(ends.select("s.part", *edge, "s.value"))
+
+
+def write_document(found: DataFrame, summary: DataFrame, path: str) -> bool:
+    """Write the report as one JSON document, cut into text parts; False when there is nothing to write.
+
+    The parts' names sort as the document goes: joined in that order, they are valid JSON.
+    """
+    if found.isEmpty():
+        return False
+    order = ["part", "file", "section", "number"]
+    lines = document_lines(found, summary).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("value").write.mode("overwrite").text(path)
+    return True
+
+
 def report_lines(found: DataFrame) -> DataFrame:
     """Text block of each finding, with its number among the findings of its file."""
     of_file = number_rows(found, ["file"], ["location", "description"], "number", "found_in_file")

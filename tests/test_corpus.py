@@ -104,6 +104,40 @@ def test_cyclic_chain_is_an_error(spark):
         corpus.chain_lengths(df)
 
 
+def test_cyclic_chains_as_rows(spark):
+    links = [(1, 2), (2, 3), (3, 1), (4, 5), (5, 2), (6, 6), (7, 8), (8, 9), (9, None), (10, 99)] + [(i, i + 1) for i in range(100, 200)] + [(200, 150)]
+    found = {r.id: (r.length, r.status) for r in corpus.chain_status(spark.createDataFrame(links, "id int, else_id int")).collect()}
+    cyclic = [*range(1, 7), *range(100, 201)]
+    assert found == {i: (None, "cyclic") for i in cyclic} | {7: (3, "ended"), 8: (2, "ended"), 9: (1, "ended"), 10: (2, "ended")}
+
+
+def _nested_by_pairs(nodes, owners):
+    weight = corpus.NODE_WEIGHTS
+    return sorted(
+        (f, n, a, b, 1 + sum(weight.get(k, 0) for g, x, k in nodes if g == f and x is not None and a is not None and b is not None and a <= x <= b))
+        for f, n, a, b in set(owners)
+    )
+
+
+def test_nested_and_overlapping_owners(spark):
+    rng = random.Random(6)
+    owners = [("hot", f"f{i}", a, a + rng.choice([0, 5, 400, 3000])) for i, a in enumerate(rng.choices(range(3000), k=120))]
+    owners += [("hot", "f0", 10, 10), ("hot", "f0", 10, 10), ("other", "empty", 7, 3), ("none", "alone", 1, 9)]
+    nodes = [("hot", rng.randrange(3200), rng.choice(["if", "for", "call", "other"])) for _ in range(900)] + [("other", 5, "if"), ("lost", 1, "if"), ("hot", 10, "if"), ("hot", 10, "for")]
+    found = corpus.nested_complexity(
+        spark.createDataFrame(nodes, "file string, line int, kind string"),
+        spark.createDataFrame(owners, "file string, name string, start_line int, end_line int"),
+    )
+    assert sorted(map(tuple, found.collect())) == _nested_by_pairs(nodes, owners)
+
+
+def test_nested_owners_of_empty_tables(spark):
+    nodes = spark.createDataFrame([], "file string, line int, kind string")
+    owners = spark.createDataFrame([("f", "n", 1, 2)], "file string, name string, start_line int, end_line int")
+    assert [tuple(r) for r in corpus.nested_complexity(nodes, owners).collect()] == [("f", "n", 1, 2, 1)]
+    assert corpus.nested_complexity(nodes, owners.limit(0)).count() == 0
+
+
 def test_branch_counts_keep_empty_parents(spark):
     parents = spark.createDataFrame([(1,), (2,)], "id int")
     children = spark.createDataFrame([(1,), (1,), (7,)], "parent int")

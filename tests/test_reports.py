@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,52 @@ def test_latest_versions(spark):
         ("a", "1.2"): ("1.10.0", "mismatch", None, None),
         ("b", "bad"): (None, "invalid", None, None),
     }
+
+
+def _differing(baseline, candidate, names):
+    """Changed rows per (key, column) by cancelling equal rows and then equal values."""
+    out = {}
+    for key in {r[0] for r in baseline + candidate}:
+        b, c = ([repr(r[1:]) for r in side if r[0] == key] for side in (baseline, candidate))
+        rest_b, rest_c = Counter(b) - Counter(c), Counter(c) - Counter(b)
+        changed = min(rest_b.total(), rest_c.total())
+        for i, name in enumerate(names):
+            values = [Counter(), Counter()]
+            for side, rest in enumerate((rest_b, rest_c)):
+                for row, n in rest.items():
+                    values[side][repr(eval(row)[i])] += n  # noqa: S307
+            same = (values[0] & values[1]).total()
+            if changed > same:
+                out[key, name] = changed - same
+    return out
+
+
+def test_columns_that_differ(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), rng.choice(["x", "y", None]), rng.randrange(3), rng.choice([{"a": 1, "b": 2}, {"a": 1}, None])) for _ in range(200)]
+    other = [(k, a if rng.random() < 0.8 else "z", n if rng.random() < 0.9 else None, m) for k, a, n, m in rows if rng.random() < 0.95]
+    other += [(100, "x", 1, None), (0, "x", 0, {"b": 2, "a": 1})]
+    schema = "k int, a string, n int, m map<string,int>"
+    left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    found = reports.compare_columns(left, right, ["k"])
+    got = {(r.k, r.column): r.differing for r in found.collect()}
+    sort = [[(k, a, n, m and sorted(m.items())) for k, a, n, m in side] for side in (rows, other)]
+    assert got == _differing(*sort, ["a", "n", "m"]) and got
+    masks = {r.k: (r["mask"], r.changed_columns) for r in reports.changed_columns(found, ["k"], ["a", "n", "m"]).collect()}
+    for key, (mask, names) in masks.items():
+        own = [c for c in ("a", "n", "m") if (key, c) in got]
+        assert names == ",".join(own) and mask == sum(1 << "anm".index(c) for c in own)
+    totals = {r.column: (r["keys"], r["rows"]) for r in reports.column_summary(found).collect()}
+    assert totals == {c: (sum(1 for k, x in got if x == c), sum(v for (_, x), v in got.items() if x == c)) for c in {x for _, x in got}}
+    assert reports.compare_columns(left, left, ["k"]).count() == 0
+
+
+def test_maps_compare_by_entries(spark):
+    schema = "k int, m map<string,int>, d double"
+    left = spark.createDataFrame([(1, {"a": 1, "b": 2}, 0.0), (2, {"a": 1}, float("nan")), (3, None, None)], schema)
+    right = spark.createDataFrame([(1, {"b": 2, "a": 1}, -0.0), (2, {"a": 2}, float("nan")), (3, None, None)], schema)
+    status = {r.k: r.status for r in reports.compare_datasets(left, right, ["k"]).collect()}
+    assert status == {1: "matched", 2: "changed", 3: "matched"}
+    assert [(r.k, r.column, r.differing) for r in reports.compare_columns(left, right, ["k"]).collect()] == [(2, "m", 1)]
+    outcome = reports.passed_and_failed(reports.compare_datasets(left, right.where("k < 3"), ["k"])).collect()
+    assert {r.k: r.outcome for r in outcome} == {1: "passed", 2: "failed", 3: "failed"}

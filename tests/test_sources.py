@@ -104,6 +104,25 @@ def test_reports(spark, tmp_path):
         outputs.write_report(found, summary, "yaml", str(tmp_path / "x"))
 
 
+def test_report_as_one_document(spark, tmp_path):
+    rows = [("b.go", "C", 2, 1), ('a"x\\.go', "Config", 6, 5), ("b.go", "D", 4, 40), ("b.go", "E", 1, 7)] + [("hot.go", f"S{i}", 1 + i % 5, i) for i in range(400)]
+    candidates = spark.createDataFrame(rows, "file string, struct_name string, bool_fields bigint, line int")
+    found = reports.findings(candidates)
+    assert outputs.write_document(found, reports.summarise(found), str(tmp_path / "doc"))
+    parts = sorted((tmp_path / "doc").glob("part-*"))
+    document = json.loads("".join(p.read_text() for p in parts))
+    assert document["summary"]["total_optimizations"] == len(rows)
+    by_file = {r["original_file"]: r for r in document["results"]}
+    assert list(by_file) == sorted({r[0] for r in rows}) and len(by_file) == len(document["results"])
+    for file, one in by_file.items():
+        mine = [r for r in rows if r[0] == file]
+        assert one["findings"] == len(one["optimizations"]) == len(one["security_features"]) == len(mine)
+        assert sorted(o["bytes_saved"] for o in one["optimizations"]) == sorted(7 * r[2] for r in mine)
+        assert one["transpiled_file"] == file.replace(".go", "_bitwise.go")
+    assert not outputs.write_document(found.limit(0), reports.summarise(found.limit(0)), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
 def test_converted_names(spark):
     df = spark.createDataFrame([("a/b.go",), ("x.golden/y.go",), ("none.txt",)], "p string")
     got = [r.n for r in df.select(outputs.converted_name(F.col("p")).alias("n")).collect()]
