@@ -499,4 +499,5 @@ ORACLE: dict[str, str] = {
 # The streams give what the tables give.
 ORACLE["stream_job_state"] = ORACLE["job_state"].replace(f", {_decoded('mask', JOB_BITS)} AS state", "")
 ORACLE["stream_job_rejections"] = ORACLE["job_rejections"]
+ORACLE["stream_rejections_keyed"] = ORACLE["stream_rejections_ordered"] = ORACLE["job_rejections"]
 ORACLE["stream_registers"] = ORACLE["registers_tumbling"]

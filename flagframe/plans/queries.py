@@ -13,6 +13,7 @@ from flagframe.plans import tables
 from flagframe.plans.passes import run_passes, standard_passes
 from flagframe.session import scratch_path
 from flagframe.sources import dictionary, files, outputs, registry
+from flagframe.streaming import keyed
 from flagframe.streaming import state as stream_state
 from flagframe.streaming.registers import stream_union_flags
 from flagframe.streaming.sinks import latest_rows, start_batches
@@ -621,6 +622,43 @@ def stream_job_rejections(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("user_id", "day", "event_id", "op")
 
 
+def _arrivals(events: DataFrame, batches: list[DataFrame]) -> tuple[DataFrame, str]:
+    """A file stream that takes ``batches`` one at a time, in this order, and a scratch path for its results."""
+    out = scratch_path(events.sparkSession, "arrivals")
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return events.sparkSession.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in"), out
+
+
+def _timed_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.job_events(spark, sf_dir).select("user_id", "day", F.col("ts").cast("timestamp").alias("ts"), "event_id", "op")
+
+
+@query
+def stream_rejections_keyed(spark, sf_dir):
+    """Events arrive by time in four micro-batches and are judged at once; each key's history is in the state store."""
+    events = _timed_job_events(spark, sf_dir)
+    first, last = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    quarter = F.floor((F.unix_seconds("ts") - first) * 4 / (last - first + 1))
+    stream, out = _arrivals(events, [events.where(quarter == i) for i in range(4)])
+    keyed.start_keyed_rejections(stream, ["user_id", "day"], "ts", f"{out}/rows", f"{out}/checkpoint", ["event_id"], once=True).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("user_id", "day", "event_id", "op")
+
+
+@query
+def stream_rejections_ordered(spark, sf_dir):
+    """Events arrive out of order in three micro-batches and are judged as the watermark, moved by a last event, passes them."""
+    events = _timed_job_events(spark, sf_dir)
+    deal = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    closing = spark.createDataFrame([(-1, "2200-01-01", -1, "cancel")], "user_id long, day string, event_id long, op string")
+    closing = closing.select("user_id", "day", F.col("day").cast("timestamp").alias("ts"), "event_id", "op")
+    stream, out = _arrivals(events, [*[events.where(deal == i) for i in range(3)], closing])
+    keyed.start_keyed_rejections(
+        stream, ["user_id", "day"], "ts", f"{out}/rows", f"{out}/checkpoint", ["event_id"], watermark="1000 days", once=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("user_id", "day", "event_id", "op")
+
+
 @query
 def stream_checks(spark, sf_dir):
     """Rows of the event stream that fail their check, appended to an alert table."""
