@@ -227,6 +227,12 @@ def _text(ts: str) -> str:
     return f"strftime({ts}, '%Y-%m-%d %H:%M:%S')"
 
 
+LATE = f"""{VALUE_FLAGS},
+  ends AS (SELECT floor(epoch(min(ts))) AS first, floor(epoch(max(ts))) AS last FROM vf),
+  arrived AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN 3 ELSE floor((floor(epoch(ts)) - first) * 4 / (last - first + 1)) END AS arrival FROM vf, ends),
+  marks AS (SELECT b, (SELECT max(ts) - INTERVAL 1 HOUR FROM arrived WHERE arrival < b) AS mark FROM range(4) t(b)),
+  judged AS (SELECT a.*, coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark, false) AS late FROM arrived a JOIN marks ON b = arrival)"""
+
 ORACLE: dict[str, str] = {
     "order_flags": f"""WITH {LINES}, reg AS (SELECT l_orderkey, bit_or(flags) AS flags FROM li GROUP BY 1)
         SELECT l_orderkey, flags, {_decoded('flags', NAMES)} AS flag_names,
@@ -451,6 +457,9 @@ ORACLE: dict[str, str] = {
           WINDOW p AS (PARTITION BY user_id ORDER BY ts)),
         n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
         SELECT {_text("min(ts)")} AS window_start, user_id, bit_or(flags) AS flags FROM n GROUP BY user_id, session""",
+    "late_rows": f"WITH {LATE} SELECT event_id, event_type, CAST(arrival AS INTEGER) AS batch_id FROM judged WHERE late",
+    "kept_registers": f"""WITH {LATE} SELECT {_text("date_trunc('hour', ts)")} AS window_start,
+        {_text("date_trunc('hour', ts) + INTERVAL 1 HOUR")} AS window_end, event_type, bit_or(flags) AS flags FROM judged WHERE NOT late GROUP BY ALL""",
     "passes_run": f"""WITH {LINES}, kept AS (SELECT * FROM li WHERE l_returnflag = 'R' OR l_quantity >= 30),
         up AS (SELECT k.*, CASE o_orderpriority WHEN '1-URGENT' THEN 32 WHEN '2-HIGH' THEN 64 WHEN '3-MEDIUM' THEN 0
             WHEN '5-LOW' THEN 8 END AS s FROM kept k LEFT JOIN orders ON o_orderkey = l_orderkey),
@@ -500,4 +509,5 @@ ORACLE: dict[str, str] = {
 ORACLE["stream_job_state"] = ORACLE["job_state"].replace(f", {_decoded('mask', JOB_BITS)} AS state", "")
 ORACLE["stream_job_rejections"] = ORACLE["job_rejections"]
 ORACLE["stream_rejections_keyed"] = ORACLE["stream_rejections_ordered"] = ORACLE["job_rejections"]
+ORACLE["registers_session_stitched"] = ORACLE["stream_sessions"] = ORACLE["registers_session"]
 ORACLE["stream_registers"] = ORACLE["registers_tumbling"]

@@ -13,7 +13,7 @@ from flagframe.plans import tables
 from flagframe.plans.passes import run_passes, standard_passes
 from flagframe.session import scratch_path
 from flagframe.sources import dictionary, files, outputs, registry
-from flagframe.streaming import keyed
+from flagframe.streaming import keyed, sessions
 from flagframe.streaming import state as stream_state
 from flagframe.streaming.registers import stream_union_flags
 from flagframe.streaming.sinks import latest_rows, start_batches
@@ -703,6 +703,45 @@ def registers_session(spark, sf_dir):
     return _window_text(sessions).drop("window_end")
 
 
+@query
+def registers_session_stitched(spark, sf_dir):
+    """Sessions folded per bucket of time and stitched, so that no user is one task's work."""
+    found = sessions.session_flags(tables.value_flags(spark, sf_dir), ["user_id"], "flags", "ts", "2 hours")
+    return _window_text(found).drop("window_end")
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """The buckets kept by a stream, stitched from what it wrote."""
+    events = tables.pack_value_flags(_stream_events(spark, sf_dir))
+    buckets = sessions.session_buckets(events, ["user_id"], "flags", "ts", "2 hours", watermark="1 hour")
+    rows = latest_rows(spark, _run_stream(buckets, "sessions", "update"), ["user_id", "bucket"])
+    return _window_text(sessions.stitch_sessions(rows, ["user_id"], "2 hours")).drop("window_end")
+
+
+def _late_stream(spark: SparkSession, sf_dir: str) -> str:
+    """Events arrive by time in four micro-batches, but every seventh in the last; returns where the registers are."""
+    events = tables.value_flags(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "flags")
+    first, last = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    quarter = F.floor((F.unix_seconds("ts") - first) * 4 / (last - first + 1))
+    arrival = F.when(F.col("event_id") % 7 == 0, 3).otherwise(quarter)
+    stream, out = _arrivals(events, [events.where(arrival == i) for i in range(4)])
+    sessions.start_kept_registers(stream, ["event_type"], "flags", "ts", "1 hour", "1 hour", f"{out}/kept", f"{out}/checkpoint", once=True).awaitTermination()
+    return f"{out}/kept"
+
+
+@query
+def late_rows(spark, sf_dir):
+    """The rows of a stream that came behind the watermark."""
+    return sessions.late_rows(spark, _late_stream(spark, sf_dir)).select("event_id", "event_type", F.col("batch_id").cast("int").alias("batch_id"))
+
+
+@query
+def kept_registers(spark, sf_dir):
+    """The registers of the rows that came in time."""
+    return _window_text(sessions.kept_registers(spark, _late_stream(spark, sf_dir), ["event_type"]))
+
+
 # --- passes ---------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """Rejections and sessions on streams, with state per key."""
 
+import random
 import shutil
 from pathlib import Path
 
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 
 from flagframe.operators.state import job_rejections
 from flagframe.plans import tables
+from flagframe.operators.ordered import chunked
 from flagframe.streaming.keyed import STORE, start_keyed_rejections
+from flagframe.streaming.registers import stream_union_flags
+from flagframe.streaming.sessions import kept_registers, late_rows, session_buckets, session_flags, start_kept_registers
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +91,44 @@ def test_buffered_events_wait_for_the_watermark(spark, tmp_path):
     assert run(df) == []
     add([(3, 130, 5, "start")])
     assert run(df) == [(1, 3, "start"), (1, 4, "retry")]
+
+
+# --- sessions and late rows ------------------------------------------------------------------
+
+
+def test_sessions_of_one_user_are_many_tasks_work(spark):
+    rng = random.Random(7)
+    rows = [(1, rng.randrange(400_000), 1 << rng.randrange(6)) for _ in range(3000)] + [(2, 5, 1), (2, 64, 2), (2, 125, 4), (None, 9, 8), (2, 185, 1), (2, 185, 2)]
+    base = spark.createDataFrame(rows, "k int, s bigint, flags int").select("k", F.timestamp_seconds("s").alias("ts"), "flags")
+    found = session_flags(base, ["k"], "flags", "ts", "1 minute")
+    expected = stream_union_flags(base, ["k"], "flags", "ts", "1 minute", "1 minute", session=True)
+    columns = ["k", "window_start", "window_end", "flags"]
+    assert sorted(map(tuple, found.select(columns).collect()), key=repr) == sorted(map(tuple, expected.select(columns).collect()), key=repr)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        buckets = session_buckets(base, ["k"], "flags", "ts", "1 minute")
+        assert chunked(buckets, ["k"], ["first"]).where("k = 1").select("_chunk").distinct().count() > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_late_rows_are_kept_and_counted(spark, tmp_path):
+    schema = "s bigint, k int, flags int"
+    for rows in ([(10, 1, 1), (70, 1, 2)], [(10_000, 1, 1)], [(20, 1, 4), (9_990, 1, 8), (None, 1, 16)]):
+        df = spark.createDataFrame(rows, schema).select(F.timestamp_seconds("s").alias("ts"), "k", "flags")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = stream_of(spark, df, str(tmp_path / "in"))
+        finish(start_kept_registers(stream, ["k"], "flags", "ts", "1 minute", "1 minute", str(tmp_path / "out"), str(tmp_path / "cp"), once=True))
+
+    run()
+    out = str(tmp_path / "out")
+    assert sorted((r.flags, r.batch_id) for r in late_rows(spark, out).collect()) == [(4, 2), (16, 2)]
+    assert sorted((r.window_start.timestamp() % 86400 // 60, r.flags) for r in kept_registers(spark, out, ["k"]).collect()) == [(0, 1), (1, 2), (166, 9)]
+    progress = {r.batch_id: (r.on_time, r.late) for r in spark.read.parquet(f"{out}/progress").collect()}
+    assert progress == {0: (2, 0), 1: (1, 0), 2: (1, 2)}
+    df.limit(1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert sorted((r.flags, r.batch_id) for r in late_rows(spark, out).collect()) == [(4, 2), (4, 3), (16, 2)]
