@@ -429,8 +429,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     ids = staged(rows.join(classes, ["key1", "key2"], "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "jaccard-suspects")
     nulls = ids.where("_id IS NULL").limit(1).count() > 0  # kept out of the joins, where they would be one hot key
     own = docs["doc_id"].cast("long")
-    same, some = own == F.col("_id"), docs.join(ids, own == F.col("_id"), "left_semi")
-    rest = docs.join(ids, same, "left_anti")
+    same = own == ids["_id"]  # by its table, as the rows may have a column of that name
+    some, rest = docs.join(ids, same, "left_semi"), docs.join(ids, same, "left_anti")
     if nulls:
         some, rest = some.unionAll(docs.where(own.isNull())), rest.where(own.isNotNull())
     # rows whose id is in a component get a number, which belongs to the same row for every later reader

@@ -64,3 +64,12 @@ def test_one_of_each_with_repeated_and_null_ids(docs_of):
     assert sorted(((r.doc_id or 0), (r.text or "")[:13]) for r in kept) == sorted(
         [(5, two[:13]), (3, one[:13]), (3, three[:13]), (7, "words of its "), (8, "equal rows st"), (0, "one two three"), (0, ""), (0, ""), (9, ""), (9, "")]
     )
+
+
+def test_rows_may_have_columns_named_as_the_operators_own(docs_of):
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, "alone"), (None, " ".join(words))]
+    docs = docs_of(rows).withColumnRenamed("size", "_id").withColumnRenamed("score", "rid")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
