@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flagframe.llm.batches import lean, sliced
+from flagframe.llm.batches import bounded, lean, sliced
 from flagframe.llm.dedup import members, rice_decode, rice_encode
 from flagframe.session import discard, staged
 
@@ -57,6 +57,7 @@ OWNER_TOKENS = 1 << 20
 TOKEN_BITS = 48
 CACHED_WORDS = 200_000
 BROADCAST_ROWS = 500_000
+PARTNERS = 1_024
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -308,10 +309,20 @@ def index_lists(shared: DataFrame) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact number of common tokens of each pair (a, b)."""
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_ta"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_tb"))
-    return pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("_ta", "_tb")).cast("long")).drop("_ta", "_tb")
+    """Exact number of common tokens of each pair (a, b).
+
+    Every pair takes the tokens of b and then meets those of a, of which there is one copy
+    for every ``PARTNERS`` pairs: a leader of many members is as many keys as it needs.
+    """
+    pairs = staged(pairs, "jaccard-pairs")  # numbers: Spark broadcasts them while their files are small
+    per = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "jaccard-parts")
+    several = per.where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))
+    spread = pairs.join(several, "a", "left").select("a", "b", part.alias("part"))
+    two = spread.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("_tb")), "b")
+    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_ta")).join(per, "a")
+    one = one.select("a", "_ta", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return two.join(one, ["a", "part"]).select("a", "b", F.size(F.array_intersect("_ta", "_tb")).cast("long").alias("both"))
 
 
 def linked(both: Column, n: Column, m: Column) -> Column:
@@ -340,7 +351,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def links_of(sets: DataFrame, lists: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all links."""
+    """Links (a, b) whose components are those of all links; ``sets`` hold the tokens that another set may hold."""
     leaders = lists.groupBy("token").agg(F.max(F.struct("centre", "node"))["node"].alias("leader"))
     led = staged(lists.join(leaders, "token"), "jaccard-led")
     stars = led.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -387,7 +398,7 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = staged(sharing_nodes(blocks), "jaccard-nodes")
     sets = staged(node_sets(texts, nodes), "jaccard-sets")
     shared = staged(shared_tokens(sets), "jaccard-shared")
-    roots = components(links_of(sets, staged(index_lists(shared), "jaccard-lists")))
+    roots = components(links_of(shared, staged(index_lists(shared), "jaccard-lists")))
     rows = documents_of(blocks)
     # groups of equal sets and of linked sets; every other document is alone
     equal = rows.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
@@ -403,7 +414,7 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

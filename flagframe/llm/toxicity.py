@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flagframe.llm.batches import lean
+from flagframe.llm.batches import bounded, lean
 from flagframe.session import staged
 
 FIT_ROWS = 12_000
@@ -290,7 +290,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFram
     )
     share = min(1.0, fit_rows / max(1, marks.count()))
     spot = F.pmod(F.xxhash64("_id"), F.lit(1 << 20))
-    marks = marks.where((spot < int(share * (1 << 20))) & ~held_out(F.col("_id")))
+    # written first: their measured size decides that they are broadcast and no text is shuffled for them
+    marks = staged(marks.where((spot < int(share * (1 << 20))) & ~held_out(F.col("_id"))), "toxicity-marks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(marks, F.col("doc_id") == F.col("_id")).where("text IS NOT NULL")
     return staged(
@@ -330,7 +331,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
-    rows = training_rows(docs, labels, fit_rows)
+    rows = training_rows(bounded(docs), labels, fit_rows)
     lexicon = learn_lexicon(rows.where("half = 0"))
     plain = Scorer(lexicon)
 

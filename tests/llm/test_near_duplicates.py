@@ -73,3 +73,14 @@ def test_rows_may_have_columns_named_as_the_operators_own(docs_of):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_pairs_of_a_leader_with_many_members_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PARTNERS", 7)
+    rng = random.Random(3)
+    sets = {node: sorted(rng.sample(range(80), rng.randrange(1, 60))) for node in range(120)}
+    pairs = [(0, b) for b in range(1, 120)] + [(a, a + 1) for a in range(1, 20)] + [(5, 9)]
+    table = spark.createDataFrame([(n, t) for n, t in sets.items()], "node long, tokens array<long>")
+    found = jaccard.overlaps(spark.createDataFrame(pairs, "a long, b long"), table).collect()
+    assert sorted((r.a, r.b, r.both) for r in found) == sorted((a, b, len(set(sets[a]) & set(sets[b]))) for a, b in pairs)
+    assert jaccard.overlaps(spark.createDataFrame([], "a long, b long"), table).count() == 0
