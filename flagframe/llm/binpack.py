@@ -9,8 +9,9 @@ combination found is removed as often as the counts allow, so the number of step
 the lengths and not the documents.
 
 Pieces are numbered within their length (per partition while they are written, then by the
-partitions' totals), and the number tells sequence and offset from the plan. No text and
-no group of pieces is shuffled or collected.
+partitions' totals), and the number tells sequence and offset from the plan. No text is
+shuffled; the pieces' numbers meet the totals of their own partition, grouped by it, so that
+nothing that grows with the input is broadcast or collected.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed
 as often as they occur; an empty table has no pieces. Sequence numbers depend on how the
@@ -144,11 +145,12 @@ class Places:
         return self.base[row] + inside // self.k[row], self.offset[row] + inside % self.k[row] * length
 
 
-def _placed(places: Places, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            sequence, offset = places.find(frame.length.to_numpy(), frame["rank"].to_numpy())
-            yield frame.assign(sequence_id=sequence, offset=offset)[names]
+def _placed(places: Places, names: list[str], capacity: int):
+    def run(part: pd.DataFrame, bases: pd.DataFrame) -> pd.DataFrame:
+        first = np.zeros(capacity + 1, np.int64)
+        first[bases.length.to_numpy()] = bases.base.to_numpy()
+        sequence, offset = places.find(part.length.to_numpy(), first[part.length.to_numpy()] + part.turn.to_numpy())
+        return part.assign(sequence_id=sequence, offset=offset)[names]
 
     return run
 
@@ -169,6 +171,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    ranked = cut_.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("turn")).drop("part", "turn", "base")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInPandas(_placed(places, names), schema)
+    # a group holds the pieces that one task cut, as bounded as its split of the input, and at most a row per length beside them
+    return cut_.groupBy("part").cogroup(base.groupBy("part")).applyInPandas(_placed(places, names, capacity), schema)
