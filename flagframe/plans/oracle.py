@@ -244,6 +244,8 @@ ORACLE: dict[str, str] = {
         WHERE l_returnflag = 'R' AND (l_discount > 0 OR l_tax > 0) AND NOT l_quantity >= 30""",
     "flags_filter_mask": f"""WITH {LINES} SELECT l_orderkey, l_partkey, l_linenumber, flags FROM li
         WHERE l_returnflag = 'R' AND (l_discount > 0 OR l_tax > 0) AND NOT l_quantity >= 30""",
+    "flags_filter_files": f"""WITH {LINES} SELECT l_orderkey, l_partkey, l_linenumber, flags FROM li
+        WHERE l_returnflag = 'R' AND (l_discount > 0 OR l_tax > 0) AND NOT l_quantity >= 30""",
     "flags_update": f"""WITH {ORDERS}, up AS (SELECT *, CASE o_orderpriority
           WHEN '1-URGENT' THEN [32, 2, 0, 0] WHEN '2-HIGH' THEN [64, 0, 8, 8] WHEN '3-MEDIUM' THEN [0, 24, 16, 2]
           WHEN '5-LOW' THEN [8, 1, 0, 1] ELSE [0, 0, 0, 0] END AS m FROM ord)
@@ -251,6 +253,8 @@ ORACLE: dict[str, str] = {
           AS SMALLINT) AS flags FROM up""",
     "flags_fold": f"""WITH last AS (SELECT user_id, event_type, arg_max(value > 10, event_id) AS v FROM events GROUP BY ALL)
         SELECT user_id, CAST(bit_or(CASE WHEN v THEN {EVENT_BIT} ELSE 0 END) AS SMALLINT) AS flags FROM last GROUP BY 1""",
+    "flags_fold_runs": f"""WITH last AS (SELECT user_id, event_type, arg_max(value > 10, event_id) AS v FROM events GROUP BY ALL)
+        SELECT user_id, CAST(bit_or(CASE WHEN v THEN {EVENT_BIT} ELSE 0 END) AS SMALLINT) AS flags FROM last GROUP BY 1""",
     "flags_counts": f"""WITH {LINES}, g AS (SELECT l_linestatus, l_linenumber, count(*) AS rows_total,
           CAST(sum(bit_count(flags)) AS BIGINT) AS bits_total, {", ".join(
               f"count(*) FILTER (flags & {1 << i} <> 0) AS {n}" for i, n in enumerate(NAMES))}

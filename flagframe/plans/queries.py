@@ -12,7 +12,7 @@ from flagframe.operators import corpus, dispatch, flags, masking, reports, state
 from flagframe.plans import tables
 from flagframe.plans.passes import run_passes, standard_passes
 from flagframe.session import scratch_path
-from flagframe.sources import dictionary, files, outputs, registry
+from flagframe.sources import dictionary, files, folds, masked, outputs, registry
 from flagframe.streaming import keyed, sessions
 from flagframe.streaming import state as stream_state
 from flagframe.streaming.registers import stream_union_flags
@@ -86,6 +86,14 @@ def flags_filter_mask(spark, sf_dir):
     return kept.select(*LINE_KEY, "flags")
 
 
+@query
+def flags_filter_files(spark, sf_dir):
+    """The same condition on a written table, of which only files that can match are opened."""
+    path = scratch_path(spark, "masked-lines")
+    masked.write_masked(tables.line_flags(spark, sf_dir).select(*LINE_KEY, "flags"), path, tables.LINE_SET)
+    return masked.read_masked(spark, path, tables.LINE_SET, all_of=["returned"], any_of=["discounted", "taxed"], none_of=["bulk"])
+
+
 @query
 def flags_update(spark, sf_dir):
     packed = tables.order_flags(spark, sf_dir).select("o_orderkey", "flags")
@@ -97,6 +105,20 @@ def flags_fold(spark, sf_dir):
     return flags.fold_assignments(tables.assign_log(spark, sf_dir), tables.EVENT_SET, "user_id")
 
 
+@query
+def flags_fold_runs(spark, sf_dir):
+    """The same log in three runs out of order, one of them twice, merged before the last."""
+    path, keys = scratch_path(spark, "fold-runs"), ["user_id"]
+    log = tables.assign_log(spark, sf_dir)
+    errors, purchases = F.col("field") == "error", F.col("field") == "purchase"
+    folds.save_fold(folds.fold_log(log.where(errors), keys), path, "errors")
+    folds.save_fold(folds.fold_log(log.where(~errors & ~purchases & ~F.col("value")), keys), path, "cleared")
+    folds.save_fold(folds.fold_log(log.where(errors), keys), path, "errors")
+    folds.compact_folds(spark, path, keys)
+    folds.save_fold(folds.fold_log(log.where(purchases | (~errors & F.col("value"))), keys), path, "others")
+    return folds.masks_of(folds.load_folds(spark, path, keys), tables.EVENT_SET, keys)
+
+
 @query
 def flags_counts(spark, sf_dir):
     return flags.flag_counts(tables.line_flags(spark, sf_dir), tables.LINE_SET, by=["l_linestatus", "l_linenumber"])
