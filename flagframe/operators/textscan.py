@@ -1,4 +1,4 @@
-"""Text scans: keywords, token classes, paths and lines. All of them are narrow."""
+"""Text scans: keywords, token classes, paths and lines. All are narrow but for counts and keyword tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flagframe.functions import text as T
+from flagframe.functions.bits import FlagSet, pack
+from flagframe.session import staged
 
 
 def tag_keywords(
@@ -18,26 +20,66 @@ def tag_keywords(
 
 
 def keyword_counts(df: DataFrame, col: str, keywords: Sequence[str] = T.AUTH_KEYWORDS) -> DataFrame:
-    """Rows that contain each keyword, and rows it is the first match of."""
+    """Rows that contain each keyword, and rows it is the first match of; each text is searched once per keyword."""
     low = F.lower(F.col(col))
-    first = T.first_keyword(F.col(col), keywords)
-    counts = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("keyword"),
-                        F.contains(low, F.lit(k)).cast("int").alias("hit"),
-                        F.coalesce(first == k, F.lit(False)).cast("int").alias("first"),
-                    )
-                    for k in keywords
-                ]
-            )
-        ).alias("k")
-    )
-    return counts.groupBy("k.keyword").agg(
-        F.sum("k.hit").alias("rows_with"), F.sum("k.first").alias("rows_first")
-    )
+    # one bit per keyword, named in a projection of its own: of these integers alone the counts are taken
+    word = 62
+    parts = [list(keywords[at : at + word]) for at in range(0, len(keywords), word)]
+    masks = [pack(FlagSet(p), {k: F.contains(low, F.lit(k)) for k in p}).cast("bigint").alias(f"_w{i}") for i, p in enumerate(parts)]
+    seen = df.select(*masks).groupBy(*[f"_w{i}" for i in range(len(parts))]).agg(F.count(F.lit(1)).alias("_rows"))
+
+    def hits(at: int) -> tuple[Column, Column]:
+        w, bit = divmod(at, word)
+        mask = F.col(f"_w{w}")
+        has = mask.bitwiseAND(F.lit(1 << bit)) != 0
+        before = mask.bitwiseAND(F.lit((1 << bit) - 1)) == 0
+        for earlier in range(w):
+            before = before & (F.col(f"_w{earlier}") == 0)
+        return has, has & before
+
+    rows = []
+    for at, keyword in enumerate(keywords):
+        has, first = hits(at)
+        rows.append(F.struct(F.lit(keyword).alias("keyword"), F.when(has, F.col("_rows")).otherwise(0).alias("hit"), F.when(first, F.col("_rows")).otherwise(0).alias("first")))
+    counts = seen.select(F.explode(F.array(*rows)).alias("k"))
+    return counts.groupBy("k.keyword").agg(F.sum("k.hit").alias("rows_with"), F.sum("k.first").alias("rows_first"))
+
+
+GRAM = 5
+
+
+def keyword_matches(df: DataFrame, id_cols: Sequence[str], col: str, keywords: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(id..., keyword, occurrences) for every keyword of a table that the lower-cased text contains.
+
+    ``keywords`` has distinct values in ``keyword``; null and empty ones match nothing. Each
+    keyword is found by its first ``gram`` characters: every place of a text meets only the keywords
+    that begin as it does, and the rest of the keyword is compared there, so the texts
+    are read once however many keywords there are. A place carries as many characters as the
+    longest keyword has, never the text; Spark broadcasts the written keywords while their files are small.
+    """
+    known = keywords.where("keyword <> ''").select("keyword", F.least(F.char_length("keyword"), F.lit(gram)).alias("_size"))
+    known = staged(known.select("keyword", F.substring("keyword", 1, gram).alias("_gram"), "_size"), "keywords")
+    widths = known.groupBy("_size").agg(F.max(F.char_length("keyword")).alias("longest")).collect()  # gram rows at most
+    sizes, longest = sorted(r["_size"] for r in widths), max((r["longest"] for r in widths), default=1)
+    # the look-ahead takes what follows a place, the dot steps on by one character
+    places = F.regexp_extract_all(F.lower(F.col(col)), F.lit(f"(?s)(?=(.{{1,{longest}}}))."), F.lit(1))
+    at = df.select(*id_cols, F.explode(places).alias("_here"))
+    # near the end of a text several sizes give one and the same beginning
+    starts = F.explode(F.array_distinct(F.array(*[F.substring("_here", 1, n) for n in sizes or [gram]])))
+    met = at.select(*id_cols, "_here", starts.alias("_gram")).join(known, "_gram").where(F.startswith("_here", "keyword"))
+    return met.groupBy(*id_cols, "keyword").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def keyword_table_counts(matches: DataFrame) -> DataFrame:
+    """Rows that contain each keyword of a table, and how often it occurs in all; keywords without a row are left out."""
+    return matches.groupBy("keyword").agg(F.count(F.lit(1)).alias("rows_with"), F.sum("occurrences").alias("occurrences"))
+
+
+def first_of_table(matches: DataFrame, id_cols: Sequence[str], keywords: DataFrame) -> DataFrame:
+    """(id..., keyword, n_keywords): of the keywords a row contains the one of the lowest ``rank``, a distinct BIGINT."""
+    ranked = matches.join(keywords.select("keyword", "rank"), "keyword")
+    best = ranked.groupBy(*id_cols).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n_keywords"))
+    return best.join(keywords.select("keyword", "rank"), "rank").select(*id_cols, "keyword", "n_keywords")
 
 
 def tokens_of(text: Column, separator: str = r"[^A-Za-z]+") -> Column:

@@ -233,6 +233,11 @@ LATE = f"""{VALUE_FLAGS},
   marks AS (SELECT b, (SELECT max(ts) - INTERVAL 1 HOUR FROM arrived WHERE arrival < b) AS mark FROM range(4) t(b)),
   judged AS (SELECT a.*, coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark, false) AS late FROM arrived a JOIN marks ON b = arrival)"""
 
+KEYWORD_MATCHES = """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS keyword FROM conversations),
+        k AS (SELECT keyword, length(keyword) * 1000000000000 + row_number() OVER (PARTITION BY length(keyword) ORDER BY keyword) AS rank
+          FROM w WHERE length(keyword) >= 8),
+        m AS (SELECT doc_id, lower(text) AS t, keyword, rank FROM documents JOIN k ON contains(lower(text), keyword))"""
+
 ORACLE: dict[str, str] = {
     "order_flags": f"""WITH {LINES}, reg AS (SELECT l_orderkey, bit_or(flags) AS flags FROM li GROUP BY 1)
         SELECT l_orderkey, flags, {_decoded('flags', NAMES)} AS flag_names,
@@ -316,6 +321,8 @@ ORACLE: dict[str, str] = {
           WHEN contains(lower(text), 'check') THEN 'check' END AS first FROM documents)
         SELECT kw AS keyword, count(*) FILTER (contains(t, kw)) AS rows_with, count(*) FILTER (first = kw) AS rows_first
         FROM k CROSS JOIN (VALUES ('license'), ('the '), ('de '), ('check')) AS v(kw) GROUP BY 1""",
+    "keyword_table": f"{KEYWORD_MATCHES} SELECT keyword, count(*) AS rows_with FROM m GROUP BY 1",
+    "keyword_table_first": f"{KEYWORD_MATCHES} SELECT doc_id, arg_min(keyword, rank) AS keyword, count(*) AS n_keywords FROM m GROUP BY 1",
     "token_profile": TOKEN_PROFILE,
     "rebase_paths": f"""WITH {PAGE_PATHS} SELECT page_id, CASE WHEN string_split(path, '/')[1] IN ('fr', 'de')
           OR starts_with(path, 'site') OR contains(path, '.') THEN path ELSE 'site/' || trim(path, '/') END AS path FROM paths""",

@@ -11,7 +11,7 @@ from flagframe.functions.bits import FlagSet
 from flagframe.operators import corpus, dispatch, flags, masking, reports, state, textscan
 from flagframe.plans import tables
 from flagframe.plans.passes import run_passes, standard_passes
-from flagframe.session import scratch_path
+from flagframe.session import scratch_path, staged
 from flagframe.sources import dictionary, files, folds, masked, outputs, registry
 from flagframe.streaming import keyed, sessions
 from flagframe.streaming import state as stream_state
@@ -300,6 +300,21 @@ def keyword_counts(spark, sf_dir):
     return textscan.keyword_counts(tables.table(spark, sf_dir, "documents"), "text", KEYWORDS)
 
 
+@query
+def keyword_table(spark, sf_dir):
+    """Thousands of keywords counted in one scan of the texts."""
+    documents = tables.table(spark, sf_dir, "documents")
+    matches = textscan.keyword_matches(documents, ["doc_id"], "text", tables.keyword_table(spark, sf_dir))
+    return textscan.keyword_table_counts(matches).drop("occurrences")
+
+
+@query
+def keyword_table_first(spark, sf_dir):
+    keywords = staged(tables.keyword_table(spark, sf_dir), "ranked-keywords")
+    matches = textscan.keyword_matches(tables.table(spark, sf_dir, "documents"), ["doc_id"], "text", keywords)
+    return textscan.first_of_table(matches, ["doc_id"], keywords)
+
+
 @query
 def token_profile(spark, sf_dir):
     documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")

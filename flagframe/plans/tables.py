@@ -423,3 +423,11 @@ WIDE_SET = FlagSet(WIDE_FLAGS)
 def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with 70 conditions in masks of two words; bits 62 and 63 stay empty."""
     return pack_flags(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), WIDE_FLAGS)
+
+
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of eight letters and more in the conversations, the shorter and then the alphabetically lesser first."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 8)
+    found = table(spark, sf_dir, "conversations").select(F.explode(words).alias("keyword")).distinct()
+    numbered = number_rows(found.withColumn("letters", F.length("keyword")), ["letters"], ["keyword"])
+    return numbered.select("keyword", (F.col("letters") * F.lit(1_000_000_000_000) + F.col("row_no")).alias("rank"))
