@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", app: str = "flagframe", **conf: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # longer methods are never compiled by the JVM; beyond this Spark takes expressions that it splits
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -26,11 +28,16 @@ def local_session(cores: int | str = "*", app: str = "flagframe", **conf: str) -
     return spark
 
 
+def shared_by_all(folder: str, master: str) -> bool:
+    """Whether every executor sees ``folder``: in a local session any, elsewhere none on a machine's own disk."""
+    return master.startswith("local[") or master == "local" or not (folder.startswith("file:") or folder.startswith("/"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, taking the one the cluster names when there is one.
 
     Without ``spark.checkpoint.dir`` a folder under the session's warehouse is
-    taken, which all executors share as they share its tables.
+    taken. A warehouse on a machine's own disk is shared by nothing but a local session: elsewhere that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -38,7 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_flagframe_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not shared_by_all(warehouse, sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} is a local folder")
+        shared = f"{warehouse}/_flagframe_checkpoints"
     sc.setCheckpointDir(shared)
     return shared
 

@@ -52,3 +52,11 @@ def test_lineage_is_cut(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" in plan and "Range" not in plan
     assert session.scratch_path(spark, "t") != session.scratch_path(spark, "t")
+
+
+def test_a_warehouse_on_a_local_disk_is_no_scratch_folder_for_a_cluster():
+    for folder, master, shared in [
+        ("file:/w", "local[4]", True), ("/w", "local", True), ("file:/w", "yarn", False), ("/w", "spark://h:7077", False),
+        ("file:/w", "local-cluster[2,1,1024]", False), ("hdfs://n/w", "yarn", True), ("s3a://b/w", "k8s://h", True),
+    ]:
+        assert session.shared_by_all(folder, master) == shared
