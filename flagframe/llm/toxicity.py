@@ -3,16 +3,20 @@
 The lexicon is learned from labelled rows: words and word beginnings that are far more frequent in
 toxic than in clean texts, with their log odds as weights. All its words of five letters or more form a trie
 (one edit, two from nine letters on; shorter words are matched exactly).
-The Levenshtein automata of all these are run as one: a state is the set of (trie node, edits
+The Levenshtein automata of all these are run as one per direction, over the trie of the terms and that of the
+reversed terms, as one half of a term holds few of its edits: a state is the set of (trie node, edits
 made) that a word's letters can reach, and states are made when first met, so a word
-costs one lookup per letter and most words end after a few. Words joined by signs or digits are
+costs a lookup per letter and most words end after a few. Words joined by signs or digits are
 looked up one by one as well. A window
 of words around each hit is searched for reporting words, and quotation marks are paired over the whole text;
 hits beside such words or inside quotations are counted apart from abuse. A logistic model over these counts gives the score.
 
 Fitting uses at most ``fit_rows`` labelled rows with distinct texts, chosen by a hash of the id: one half
 for the lexicon, the other half for the logistic model, so that the latter sees the
-lexicon on texts it was not made from. Scoring reads every whole text.
+lexicon on texts it was not made from. The lexicon holds every word of its half above the least support and weight, so
+``fit_rows`` bounds it as well. Scoring reads every whole text, very long ones included.
+
+Columns of ``docs`` and ``labels`` beside those named are not read, whatever their names.
 
 Defined cases: a null text scores as an empty one; without training rows of both kinds the score
 is the share of toxic ones (0 if there are none); of several labels of a document
@@ -36,7 +40,6 @@ from flagframe.llm.batches import bounded, lean
 from flagframe.session import staged
 
 FIT_ROWS = 12_000
-TERMS = 4_000
 LEAST_SUPPORT = 4
 LEAST_WEIGHT = 2.0
 STEMS = (4, 5)
@@ -61,25 +64,28 @@ def held_out(doc_id: Column) -> Column:
 # --- matching ----------------------------------------------------------------------------------
 
 
-class Automaton:
-    """The Levenshtein automata of a list of terms, intersected with their trie and determinised as needed."""
+class Trie:
+    """The Levenshtein automata of terms read in one direction, intersected with their trie and determinised as needed.
 
-    def __init__(self, terms: list[str]):
+    ``terms`` maps the letters in reading order to (term, edits, edits before the bound, bound): on the first ``bound`` letters
+    fewer edits may be made than in all. A node that several terms share allows what the most tolerant of them does.
+    """
+
+    def __init__(self, terms: dict[str, tuple[str, int, int, int]]):
         self.children: list[dict[str, int]] = [{}]
-        self.term: list[str | None] = [None]
-        for term in terms:
+        self.term: list[tuple[str, int] | None] = [None]
+        self.allowed = [0]
+        for letters, (term, edits, early, bound) in terms.items():
             node = 0
-            for letter in term:
-                if letter not in self.children[node]:
+            for depth, letter in enumerate(("", *letters)):
+                if letter and letter not in self.children[node]:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
-                node = self.children[node][letter]
-            self.term[node] = term
-        self.allowed = [0] * len(self.children)
-        for node in range(len(self.children) - 1, -1, -1):  # children have larger numbers
-            own = self.edits(self.term[node]) if self.term[node] else 0
-            self.allowed[node] = max([own, *(self.allowed[c] for c in self.children[node].values())])
+                    self.allowed.append(0)
+                node = self.children[node][letter] if letter else node
+                self.allowed[node] = max(self.allowed[node], early if depth <= bound else edits)
+            self.term[node] = (term, edits)
         # a state is a set of 3 * node + edits made, kept as sorted 32-bit numbers
         self._begin()
 
@@ -87,14 +93,10 @@ class Automaton:
         self.states: dict[bytes, int] = {}
         self.sets: list[bytes] = []
         self.moves: list[dict[str, int]] = []
-        self.ends: list[str | None] = []
+        self.ends: list[tuple[int, str] | None] = []
         self.pairs = 0
         self.start = self._state(self._closed({0}))
 
-    @staticmethod
-    def edits(term: str) -> int:
-        return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
-
     def _closed(self, pairs: set[int]) -> set[int]:
         todo = list(pairs)
         while todo:  # letters of the term that the word lacks
@@ -115,27 +117,27 @@ class Automaton:
             self.sets.append(key)
             self.pairs += len(pairs) + STATE_PAIRS
             self.moves.append({})
-            ends = [(pair % 3, self.term[pair // 3]) for pair in pairs if self.term[pair // 3]]
-            found = [end for end in ends if end[0] <= self.edits(end[1])]
-            self.ends.append(min(found)[1] if found else None)
+            ends = ((pair % 3, self.term[pair // 3]) for pair in pairs)
+            self.ends.append(min(((made, end[0]) for made, end in ends if end and made <= end[1]), default=None))
         return self.states[key]
 
     def _move(self, state: int, letter: str) -> int:
         after = set()
         for pair in array("I", self.sets[state]):
             node, made = divmod(pair, 3)
-            for symbol, child in self.children[node].items():
-                if symbol == letter:
-                    after.add(3 * child + made)
-                elif made < self.allowed[child]:
+            below = self.children[node]
+            if letter in below:
+                after.add(3 * below[letter] + made)
+            for child in below.values():
+                if made < self.allowed[child]:
                     after.add(3 * child + made + 1)
             if made < self.allowed[node]:
                 after.add(3 * node + made + 1)
         target = self.moves[state][letter] = self._state(self._closed(after))
         return target
 
-    def match(self, word: str) -> str | None:
-        """The term nearest to ``word`` within the edits that its length allows."""
+    def match(self, word: str) -> tuple[int, str] | None:
+        """(edits, term) of the nearest term that this direction reaches."""
         if self.pairs > CACHED_PAIRS:
             self._begin()
         state = self.start
@@ -146,6 +148,34 @@ class Automaton:
         return self.ends[state]
 
 
+class Automaton:
+    """The Levenshtein automata of a list of terms over two tries, one read from each end.
+
+    Of a term's edits either not all lie in its first half, or its second half is free of them. The
+    first kind is found from the front, where the first half takes one edit less than the whole, the second from
+    the back, where the second half takes none. So few nodes near a trie's root are ever in a state,
+    and the two directions together find what unrestricted automata do.
+    """
+
+    def __init__(self, terms: list[str]):
+        front, back = {}, {}
+        for term in terms:
+            edits, half = self.edits(term), len(term) // 2
+            front[term] = (term, edits, max(0, edits - 1), half)
+            if edits:
+                back[term[::-1]] = (term, edits, 0, len(term) - half - 1)
+        self.front, self.back = Trie(front), Trie(back)
+
+    @staticmethod
+    def edits(term: str) -> int:
+        return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+
+    def match(self, word: str) -> str | None:
+        """The term nearest to ``word`` within the edits that its length allows."""
+        found = [end for end in (self.front.match(word), self.back.match(word[::-1])) if end]
+        return min(found)[1] if found else None
+
+
 def quotations(words: list[str]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
     """(opening, closing) marks, each as (word, letter), of the quotations in a text, in order and without overlaps.
 
@@ -299,7 +329,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFram
     )
 
 
-def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Words and word beginnings (marked ^) whose log odds for toxic texts are high."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS]
@@ -310,9 +340,8 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> dict[str, float]:
     found = (
         entries.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
         .where(F.col("bad") >= max(LEAST_SUPPORT, toxic // 500)).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-        .orderBy(F.desc(F.col("weight") * F.log1p("bad")), "term").limit(terms)  # the lexicon's size is its bound
     )
-    return {r["term"]: r["weight"] for r in found.collect()}
+    return {r["term"]: r["weight"] for r in found.select("term", "weight").collect()}  # words of half of fit_rows texts at most
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:

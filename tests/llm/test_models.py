@@ -40,6 +40,21 @@ def test_automaton_is_the_edit_distance():
         assert (automaton.match(word) in near) if near else automaton.match(word) is None
 
 
+def test_both_directions_find_the_nearest_of_alike_terms():
+    rng = random.Random(5)
+    for _ in range(25):
+        terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(4, 12))) for _ in range(rng.randrange(1, 12))})
+        automaton = toxicity.Automaton(terms)
+        for _ in range(150):
+            word = list(rng.choice(terms))
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(word) + 1)
+                word[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "c", "d"])
+            word = "".join(word)
+            near = [(d, t) for t in terms if (d := edit_distance(word, t)) <= automaton.edits(t)]
+            assert automaton.match(word) == (min(near)[1] if near else None)
+
+
 def test_every_long_word_may_be_misspelt(monkeypatch):
     rng = random.Random(8)
     words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(5, 12))) for _ in range(600)})
