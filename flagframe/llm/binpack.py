@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flagframe.llm.batches import bounded
+from flagframe.llm.batches import bounded, lean
 from flagframe.llm.tokens import END_ID, worker_tokenizer
 from flagframe.session import staged
 
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     """The pieces of all documents, written once, numbered within partition and length."""
     texts = bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, turn long"
-    return staged(texts.mapInArrow(_pieces(capacity, tokenizer), schema), "pack-pieces")
+    return staged(texts.mapInArrow(lean(_pieces(capacity, tokenizer)), schema), "pack-pieces")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

@@ -18,8 +18,8 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-CACHED_WORDS = 800_000
-CHARS_AT_ONCE = 2_000_000
+CACHED_WORDS = 250_000  # about 60 MB; beyond it words are learned anew
+CHARS_AT_ONCE = 500_000
 CLOSING = b".,;:!?"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
