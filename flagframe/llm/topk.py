@@ -15,7 +15,9 @@ one block and one group whatever the size of the table. The best k of the blocks
 Defined cases: a vector that is null or holds a null or a non-finite component takes no part;
 shorter vectors count as padded with zeros; an empty vector scores 0; of rows with one
 vec_id, all are candidates of other queries, none is of its own, and the query is answered once for
-each distinct vector; null ids take no part; ties go to the smaller vec_id.
+each distinct vector; null ids take no part; ties go to the smaller vec_id. Scores are longs: where the largest
+component and the width could carry one past 62 bits, the search raises instead of returning wrapped numbers. Columns
+beside vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -144,7 +146,10 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K, block_rows: int =
         .withColumn("deal", F.monotonically_increasing_id()),
         "topk-vectors",
     )
-    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count_if(is_query).alias("queries")).first()
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count_if(is_query).alias("queries"), F.max(largest).alias("largest")).first()
+    if (size["width"] or 0) * (size["largest"] or 0.0) ** 2 >= 2**62:
+        raise ValueError(f"inner products of components up to {size['largest']:.3g} do not fit a long")
     blocks, groups = -(-size["n"] // block_rows) or 1, -(-size["queries"] // group_queries) or 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block, group = F.pmod(F.xxhash64("deal"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int")

@@ -214,3 +214,11 @@ def test_matrices_restore_every_document(docs_of):
         found[r.doc_id][r.start] = np.frombuffer(r.ids, "<u2").tolist()
     assert {d: sum((x for _, x in sorted(parts.items())), []) for d, parts in found.items()} == {d: whole_ids(t) for d, t in texts.items()}
     assert matrices.token_matrices(docs_of([])).count() == 0
+
+
+def test_scores_past_a_long_raise(spark):
+    rows = spark.createDataFrame([(0, [1e18, 1.0]), (1, [-1e18, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="do not fit a long"):
+        topk.top_k(rows, F.col("vec_id") % 50 == 0)
+    rows = spark.createDataFrame([(0, [4e6, 1.0]), (1, [-4e6, 2.0])], "vec_id long, embedding array<double>")
+    assert topk.top_k(rows, F.col("vec_id") % 50 == 0).collect()[0].score == -((256 * 4 * 10**6) ** 2) + 256 * 512
