@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,28 +47,55 @@ def keyword_counts(df: DataFrame, col: str, keywords: Sequence[str] = T.AUTH_KEY
 
 
 GRAM = 5
+WORD = r"[\p{L}\p{M}\p{N}_]"
 
 
-def keyword_matches(df: DataFrame, id_cols: Sequence[str], col: str, keywords: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(id..., keyword, occurrences) for every keyword of a table that the lower-cased text contains.
+def _found(df: DataFrame, cols: Sequence[str], col: str, known: DataFrame, gram: int) -> DataFrame:
+    """(cols..., keyword): a row for every place of ``col`` at which a keyword starts.
 
-    ``keywords`` has distinct values in ``keyword``; null and empty ones match nothing. Each
-    keyword is found by its first ``gram`` characters: every place of a text meets only the keywords
-    that begin as it does, and the rest of the keyword is compared there, so the texts
-    are read once however many keywords there are. A place carries as many characters as the
-    longest keyword has, never the text; Spark broadcasts the written keywords while their files are small.
+    A place looks up its first characters, at most ``gram``, which name the lengths of the keywords that
+    begin so, and then the texts of these lengths themselves. So it makes a row per length, not per keyword.
     """
-    known = keywords.where("keyword <> ''").select("keyword", F.least(F.char_length("keyword"), F.lit(gram)).alias("_size"))
-    known = staged(known.select("keyword", F.substring("keyword", 1, gram).alias("_gram"), "_size"), "keywords")
-    widths = known.groupBy("_size").agg(F.max(F.char_length("keyword")).alias("longest")).collect()  # gram rows at most
-    sizes, longest = sorted(r["_size"] for r in widths), max((r["longest"] for r in widths), default=1)
+    grams = known.select(F.substring("keyword", 1, gram).alias("_gram"), "_length").groupBy("_gram")
+    grams = staged(grams.agg(F.collect_set("_length").alias("_lengths")), "keyword-starts")
+    length = F.col("_length")
+    ends = known.agg(F.min(length).alias("shortest"), F.max(length).alias("longest"), F.collect_set(F.least(length, F.lit(gram))).alias("sizes")).first()
     # the look-ahead takes what follows a place, the dot steps on by one character
-    places = F.regexp_extract_all(F.lower(F.col(col)), F.lit(f"(?s)(?=(.{{1,{longest}}}))."), F.lit(1))
-    at = df.select(*id_cols, F.explode(places).alias("_here"))
+    places = F.regexp_extract_all(F.col(col), F.lit(f"(?s)(?=(.{{{ends['shortest']},{ends['longest']}}}))."), F.lit(1))
+    at = df.select(*cols, F.explode(places).alias("_here"))
     # near the end of a text several sizes give one and the same beginning
-    starts = F.explode(F.array_distinct(F.array(*[F.substring("_here", 1, n) for n in sizes or [gram]])))
-    met = at.select(*id_cols, "_here", starts.alias("_gram")).join(known, "_gram").where(F.startswith("_here", "keyword"))
-    return met.groupBy(*id_cols, "keyword").agg(F.count(F.lit(1)).alias("occurrences"))
+    starts = F.explode(F.array_distinct(F.array(*[F.substring("_here", 1, n) for n in sorted(ends["sizes"])])))
+    met = at.select(*cols, "_here", starts.alias("_gram")).join(grams, "_gram")
+    met = met.select(*cols, "_here", F.explode("_lengths").alias("_length")).where(length <= F.char_length("_here"))
+    return met.select(*cols, F.col("_here").substr(F.lit(1), length).alias("keyword")).join(known.select("keyword"), "keyword")
+
+
+def keyword_matches(df: DataFrame, id_cols: Sequence[str], col: str, keywords: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(id..., keyword, occurrences) for every keyword of a table that the lower-cased text contains.
+
+    ``keywords`` has distinct values in ``keyword``; null and empty ones match nothing. A keyword of
+    letters, marks, digits and underscores lies within one run of such characters, so these keywords are sought once
+    in the distinct runs that are long enough, and every text joins its runs. Other keywords are sought
+    at every place of the texts. Either way a place makes a row per length of the keywords that begin as it does,
+    however many there are, and carries as many characters as the longest has, never the text. Spark broadcasts
+    the written keywords while their files are small.
+    """
+    known = keywords.where("keyword <> ''").select("keyword", F.char_length("keyword").alias("_length"))
+    known = staged(known.withColumn("_word", F.col("keyword").rlike(rf"\A{WORD}+\z")), "keywords")
+    shortest = {r["_word"]: r["shortest"] for r in known.groupBy("_word").agg(F.min("_length").alias("shortest")).collect()}
+    low = df.select(*id_cols, F.lower(F.col(col)).alias("_text"))
+    found = [low.select(*id_cols, F.col("_text").alias("keyword"), F.lit(1).alias("_n")).where(F.lit(False))]
+    if True in shortest:
+        # a run that is too short is left at its first character
+        run = F.explode(F.regexp_extract_all("_text", F.lit(f"(?<!{WORD}){WORD}{{{shortest[True]},}}"), F.lit(0)))
+        runs = low.select(*id_cols, run.alias("_run"))
+        inside = _found(runs.select("_run").distinct(), ["_run"], "_run", known.where("_word"), gram)
+        inside = inside.groupBy("_run", "keyword").agg(F.count(F.lit(1)).alias("_n"))
+        found.append(runs.join(inside, "_run").select(*id_cols, "keyword", "_n"))
+    if False in shortest:
+        others = _found(low, id_cols, "_text", known.where("NOT _word"), gram)
+        found.append(others.select(*id_cols, "keyword", F.lit(1).alias("_n")))
+    return reduce(DataFrame.unionByName, found).groupBy(*id_cols, "keyword").agg(F.sum("_n").alias("occurrences"))
 
 
 def keyword_table_counts(matches: DataFrame) -> DataFrame:

@@ -30,6 +30,18 @@ def test_matches_equal_brute_force(spark):
         assert sorted(tuple(r) for r in got) == expected(TEXTS, WORDS)
 
 
+def test_keywords_that_begin_alike_are_not_compared_one_by_one(spark):
+    rng = random.Random(3)
+    words = [f"prefix{i}" for i in range(300)] + [f"prefix of {i}" for i in range(300)] + ["\U00010428b_", "ix1 "]
+    texts = [(i % 190, " ".join(rng.choice(words) + rng.choice(["", "0", "x", "-", "\U00010428b_c"]) for _ in range(30))) for i in range(200)]
+    texts += [(500, "prefix" * 500), (501, "PREFIX7\x00prefix\u0301 prefix 77")]
+    got = textscan.keyword_matches(spark.createDataFrame(texts, "id long, text string"), ["id"], "text", spark.createDataFrame([(w,) for w in words], "keyword string"))
+    assert sorted(map(tuple, got.collect())) == expected(texts, words)
+    # joins are on equal texts alone: nothing is filtered out of what they make
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any("StartsWith" in line or "Contains" in line for line in joins)
+
+
 def test_no_keywords_no_texts_and_first_of_table(spark):
     texts = spark.createDataFrame(TEXTS, "id long, text string")
     words = spark.createDataFrame([(w, len(w or "") * 100 + i) for i, w in enumerate(WORDS)], "keyword string, rank long")
