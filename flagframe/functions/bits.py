@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD_BITS = 64
+MANY_FLAGS = 32
 
 
 def to_signed(mask: int) -> int:
@@ -99,6 +100,10 @@ def _fold_word(conditions: Sequence[tuple[int, Column]], dtype: str) -> Column:
         F.when(F.coalesce(cond, F.lit(False)), F.lit(to_signed(1 << bit)).cast(dtype)).otherwise(zero)
         for bit, cond in conditions
     ]
+    if len(parts) > MANY_FLAGS:
+        # With a lambda Spark leaves whole-stage code, whose one method of this length the JVM would never
+        # compile, and generates the other conditions in methods of their own, whatever the session's settings.
+        parts[-1] = F.aggregate(F.array(parts[-1]), zero, lambda a, b: a.bitwiseOR(b))
     return or_all(parts) if parts else zero
 
 
@@ -181,6 +186,21 @@ def apply_update(
     return F.when(mask.bitwiseAND(require_c) == require_c, updated).otherwise(mask)
 
 
+def _joined_names(mask: Column, flags: FlagSet, sep: str) -> Column:
+    """The names of the set bits in the order of the bits: every four bits look up their names in a list of 16."""
+    nibbles: dict[int, dict[int, str]] = {}
+    for name in flags.names:
+        at, bit = divmod(flags.position(name), 4)
+        nibbles.setdefault(at, {})[bit] = name
+    parts = []
+    for at, named in nibbles.items():
+        word, place = divmod(4 * at, WORD_BITS)
+        sets = [[n for bit, n in named.items() if value >> bit & 1] for value in range(16)]
+        listed = F.array(*[F.lit(sep.join(names) if names else None).cast("string") for names in sets])
+        parts.append(F.get(listed, F.shiftright(_word(mask, flags, word), place).bitwiseAND(F.lit(15)).cast("int")))
+    return F.concat_ws(sep, *parts)
+
+
 def decode(mask: Column, flags: FlagSet, by_name: bool = False, unknown: str = "hex", sep: str = "|") -> Column:
     """Mask to ``a|b``: ``none`` for 0, unknown bits beside known ones are dropped.
 
@@ -188,7 +208,10 @@ def decode(mask: Column, flags: FlagSet, by_name: bool = False, unknown: str = "
     ``unknown="none"``. The order is fixed while the plan is built, not per row.
     """
     names = sorted(flags.names) if by_name else list(flags.names)
-    parts = F.concat_ws(sep, *[F.when(has_all(mask, flags, [n]), F.lit(n)) for n in names])
+    if len(names) > MANY_FLAGS and not by_name:
+        parts = _joined_names(mask, flags, sep)
+    else:
+        parts = F.concat_ws(sep, *[F.when(has_all(mask, flags, [n]), F.lit(n)) for n in names])
     if unknown != "hex":
         fallback = F.lit("none")
     else:

@@ -206,3 +206,15 @@ def test_unknown_bits_of_a_wide_mask(spark):
     known = FlagSet([f"f{i}" for i in range(70)])
     df = spark.createDataFrame([([0, 1 << 10],), ([0, 0],), ([1, 1 << 10],)], "flags array<bigint>")
     assert [r.flag_names for r in flags.decode_flags(df, known).collect()] == ["unknown(0x4000000000000000000)", "none", "f0"]
+
+
+def test_many_flags_stay_out_of_one_huge_method(spark):
+    for n, first in ((40, 3), (70, 0), (130, 2)):
+        names = FlagSet([f"f{i}" for i in range(n)], first)
+        conditions = {f"f{i}": f"id % {i + 2} = 0" for i in range(n)}
+        df = spark.range(300).select("id", bits.pack(names, conditions).alias("flags"))
+        got = {r.id: r.names for r in df.withColumn("names", bits.decode(F.col("flags"), names)).collect()}
+        assert got == {k: "|".join(f"f{i}" for i in range(n) if k % (i + 2) == 0) or "none" for k in range(300)}
+        # the project that packs is outside whole-stage code, where one method would hold all conditions
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any(line.lstrip("+-: ").startswith("Project [id") for line in plan.splitlines())
