@@ -42,6 +42,20 @@ def test_keywords_that_begin_alike_are_not_compared_one_by_one(spark):
     assert joins and not any("StartsWith" in line or "Contains" in line for line in joins)
 
 
+def test_first_keyword_of_many_that_begin_alike(spark):
+    rng = random.Random(4)
+    words = [f"prefix{i}" for i in range(200)] + [f"prefix-{i}" for i in range(200)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(100)]
+    table = spark.createDataFrame([(w, 1000 - i) for i, w in enumerate(words)], "keyword string, rank long")
+    found = textscan.keyword_matches(spark.createDataFrame(texts, "id long, text string"), ["id"], "text", table)
+    first = textscan.first_of_table(found, ["id"], table)
+    by_id = {}
+    for key, word, _ in expected(texts, words):
+        by_id.setdefault(key, []).append((1000 - words.index(word), word))
+    assert {r.id: (r.keyword, r.n_keywords) for r in first.collect()} == {k: (min(v)[1], len(v)) for k, v in by_id.items()}
+    assert "StartsWith" not in first._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_keywords_no_texts_and_first_of_table(spark):
     texts = spark.createDataFrame(TEXTS, "id long, text string")
     words = spark.createDataFrame([(w, len(w or "") * 100 + i) for i, w in enumerate(WORDS)], "keyword string, rank long")
