@@ -20,7 +20,7 @@ from flagframe.streaming.sinks import start_batches
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MOVES = ("start", "retry")
-AT = "_at"
+AT, COPIES = "_at", "_copies"
 
 
 def refuses(op: str, ended: bool, moved: str | None) -> bool:
@@ -29,16 +29,14 @@ def refuses(op: str, ended: bool, moved: str | None) -> bool:
 
 
 class _Judge(StatefulProcessor):
-    """Sorts the events of a key by time and order and yields those refused, per batch or as the watermark passes them."""
+    """Sorts the events of a key that a batch brings by time and order and yields those refused."""
 
-    def __init__(self, key: Sequence[str], order: Sequence[str], op: str, buffered: bool, event_schema: T.StructType):
-        self.order, self.op, self.buffered, self.schema = list(order), op, buffered, event_schema
+    def __init__(self, key: Sequence[str], order: Sequence[str], op: str):
+        self.order, self.op = list(order), op
         self.names = [*key, AT, *order, op]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.history = handle.getValueState("history", "ended boolean, moved string")
-        self.waiting = handle.getListState("waiting", self.schema) if self.buffered else None
 
     def _judged(self, key: tuple, events: list[tuple]) -> Iterator[Row]:
         """Events are (at, *order, op) tuples."""
@@ -60,27 +58,7 @@ class _Judge(StatefulProcessor):
             self.history.update((ended, moved))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        events = [(row[AT], *[row[c] for c in self.order], row[self.op]) for row in rows]
-        if not self.buffered:
-            yield from self._judged(key, events)
-            return
-        self.waiting.appendList(events)
-        # a timer at the earliest time of these; one already set for an earlier event stays and is enough with it
-        self.handle.registerTimer(min(e[0] for e in events) // 1000 + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, rest = [], []
-        for event in self.waiting.get():
-            (ready if event[0] < passed else rest).append(tuple(event))
-        if not ready:
-            return
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(min(e[0] for e in rest) // 1000 + 1)
-        else:
-            self.waiting.clear()
-        yield from self._judged(key, ready)
+        yield from self._judged(key, [(row[AT], *[row[c] for c in self.order], row[self.op]) for row in rows for _ in range(row[COPIES])])
 
 
 def stream_rejections(
@@ -89,22 +67,21 @@ def stream_rejections(
     """The refused events of a stream: key, ``time``, ``order`` columns and ``op``; an append-mode stream.
 
     Without ``watermark`` events are judged as they arrive, sorted by ``time`` and ``order`` within
-    their micro-batch. With it they wait in the state until the watermark has passed their time and are then
-    judged in order, so that any order of arrival within the delay gives the batch result of
-    ``job_rejections``; a key's buffer holds its events of the delay, later ones are dropped by Spark. Start the
+    their micro-batch. With it they wait in the state of an aggregation, each with its number of copies, until the
+    watermark has reached their time and are then judged in order, so that any order of arrival within the delay gives
+    the batch result of ``job_rejections``; later ones are dropped by Spark. Start the
     query with ``with_rocksdb``. A null time is dropped, as it has no place in the order.
     """
     key, order = list(key), list(order)
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull())
     if watermark is not None:
         timed = timed.withWatermark(time, watermark)
-    columns = [*key, time, *order, op] if watermark is not None else [*key, *order, op]
-    rows = timed.select(F.unix_micros(time).alias(AT), *columns)
-    event = T.StructType([T.StructField(AT, T.LongType()), *[rows.schema[c] for c in (*order, op)]])
-    result = T.StructType([*[rows.schema[c] for c in key], *event])
-    judge = _Judge(key, order, op, watermark is not None, event)
-    mode = "None" if watermark is None else "EventTime"
-    refused = rows.groupBy(*key).transformWithState(judge, result, "append", mode)
+        timed = timed.groupBy(*dict.fromkeys([*key, time, *order, op])).agg(F.count(F.lit(1)).alias(COPIES))
+    else:
+        timed = timed.withColumn(COPIES, F.lit(1).cast("bigint"))
+    rows = timed.select(F.unix_micros(time).alias(AT), *dict.fromkeys([*key, *order, op]), COPIES)
+    result = T.StructType([*[rows.schema[c] for c in key], T.StructField(AT, T.LongType()), *[rows.schema[c] for c in (*order, op)]])
+    refused = rows.groupBy(*key).transformWithState(_Judge(key, order, op), result, "append", "None")
     return refused.select(*key, F.timestamp_micros(AT).alias(time), *order, op)
 
 
