@@ -46,12 +46,12 @@ def keyword_counts(df: DataFrame, col: str, keywords: Sequence[str] = T.AUTH_KEY
     return counts.groupBy("k.keyword").agg(F.sum("k.hit").alias("rows_with"), F.sum("k.first").alias("rows_first"))
 
 
-GRAM = 5
+GRAM = 8
 WORD = r"[\p{L}\p{M}\p{N}_]"
 
 
-def _found(df: DataFrame, cols: Sequence[str], col: str, known: DataFrame, gram: int) -> DataFrame:
-    """(cols..., keyword): a row for every place of ``col`` at which a keyword starts.
+def _found(df: DataFrame, cols: Sequence[str], col: str, known: DataFrame, gram: int, name: str) -> DataFrame:
+    """(cols..., ``name`` of the keyword): a row for every place of ``col`` at which a keyword starts.
 
     A place looks up its first characters, at most ``gram``, which name the lengths of the keywords that
     begin so, and then the texts of these lengths themselves. So it makes a row per length, not per keyword.
@@ -67,35 +67,41 @@ def _found(df: DataFrame, cols: Sequence[str], col: str, known: DataFrame, gram:
     starts = F.explode(F.array_distinct(F.array(*[F.substring("_here", 1, n) for n in sorted(ends["sizes"])])))
     met = at.select(*cols, "_here", starts.alias("_gram")).join(grams, "_gram")
     met = met.select(*cols, "_here", F.explode("_lengths").alias("_length")).where(length <= F.char_length("_here"))
-    return met.select(*cols, F.col("_here").substr(F.lit(1), length).alias("keyword")).join(known.select("keyword"), "keyword")
+    cut = met.select(*cols, F.col("_here").substr(F.lit(1), length).alias("keyword"))
+    return cut.join(known.select(*dict.fromkeys(["keyword", name])), "keyword").select(*cols, name)
 
 
-def keyword_matches(df: DataFrame, id_cols: Sequence[str], col: str, keywords: DataFrame, gram: int = GRAM) -> DataFrame:
+def keyword_matches(
+    df: DataFrame, id_cols: Sequence[str], col: str, keywords: DataFrame, gram: int = GRAM, name: str = "keyword"
+) -> DataFrame:
     """(id..., keyword, occurrences) for every keyword of a table that the lower-cased text contains.
 
-    ``keywords`` has distinct values in ``keyword``; null and empty ones match nothing. A keyword of
+    ``keywords`` has distinct values in ``keyword``; null and empty ones match nothing. ``name`` is the column
+    that the result gives of a keyword: another with distinct values, such as a rank, spares a join of the matches. A keyword of
     letters, marks, digits and underscores lies within one run of such characters, so these keywords are sought once
     in the distinct runs that are long enough, and every text joins its runs. Other keywords are sought
     at every place of the texts. Either way a place makes a row per length of the keywords that begin as it does,
     however many there are, and carries as many characters as the longest has, never the text. Spark broadcasts
     the written keywords while their files are small.
     """
-    known = keywords.where("keyword <> ''").select("keyword", F.char_length("keyword").alias("_length"))
+    known = keywords.where("keyword <> ''").select(*dict.fromkeys(["keyword", name]), F.char_length("keyword").alias("_length"))
     known = staged(known.withColumn("_word", F.col("keyword").rlike(rf"\A{WORD}+\z")), "keywords")
     shortest = {r["_word"]: r["shortest"] for r in known.groupBy("_word").agg(F.min("_length").alias("shortest")).collect()}
     low = df.select(*id_cols, F.lower(F.col(col)).alias("_text"))
-    found = [low.select(*id_cols, F.col("_text").alias("keyword"), F.lit(1).alias("_n")).where(F.lit(False))]
+    none = F.lit(None).cast(known.schema[name].dataType).alias(name)
+    found = [low.select(*id_cols, none, F.lit(1).alias("_n")).where(F.lit(False))]
     if True in shortest:
         # a run that is too short is left at its first character
         run = F.explode(F.regexp_extract_all("_text", F.lit(f"(?<!{WORD}){WORD}{{{shortest[True]},}}"), F.lit(0)))
-        runs = low.select(*id_cols, run.alias("_run"))
-        inside = _found(runs.select("_run").distinct(), ["_run"], "_run", known.where("_word"), gram)
-        inside = inside.groupBy("_run", "keyword").agg(F.count(F.lit(1)).alias("_n"))
-        found.append(runs.join(inside, "_run").select(*id_cols, "keyword", "_n"))
+        # written, so that the texts are cut once for the distinct runs and for the join
+        runs = staged(low.select(*id_cols, run.alias("_run")), "keyword-runs")
+        inside = _found(runs.select("_run").distinct(), ["_run"], "_run", known.where("_word"), gram, name)
+        inside = inside.groupBy("_run", name).agg(F.count(F.lit(1)).alias("_n"))
+        found.append(runs.join(inside, "_run").select(*id_cols, name, "_n"))
     if False in shortest:
-        others = _found(low, id_cols, "_text", known.where("NOT _word"), gram)
-        found.append(others.select(*id_cols, "keyword", F.lit(1).alias("_n")))
-    return reduce(DataFrame.unionByName, found).groupBy(*id_cols, "keyword").agg(F.sum("_n").alias("occurrences"))
+        others = _found(low, id_cols, "_text", known.where("NOT _word"), gram, name)
+        found.append(others.select(*id_cols, name, F.lit(1).alias("_n")))
+    return reduce(DataFrame.unionByName, found).groupBy(*id_cols, name).agg(F.sum("_n").alias("occurrences"))
 
 
 def keyword_table_counts(matches: DataFrame) -> DataFrame:
@@ -104,9 +110,13 @@ def keyword_table_counts(matches: DataFrame) -> DataFrame:
 
 
 def first_of_table(matches: DataFrame, id_cols: Sequence[str], keywords: DataFrame) -> DataFrame:
-    """(id..., keyword, n_keywords): of the keywords a row contains the one of the lowest ``rank``, a distinct BIGINT."""
-    ranked = matches.join(keywords.select("keyword", "rank"), "keyword")
-    best = ranked.groupBy(*id_cols).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n_keywords"))
+    """(id..., keyword, n_keywords): of the keywords a row contains the one of the lowest ``rank``, a distinct BIGINT.
+
+    Matches that were taken by ``rank`` are folded as they are; others join the keywords first.
+    """
+    if "rank" not in matches.columns:
+        matches = matches.join(keywords.select("keyword", "rank"), "keyword")
+    best = matches.groupBy(*id_cols).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n_keywords"))
     return best.join(keywords.select("keyword", "rank"), "rank").select(*id_cols, "keyword", "n_keywords")
 
 

@@ -311,7 +311,7 @@ def keyword_table(spark, sf_dir):
 @query
 def keyword_table_first(spark, sf_dir):
     keywords = staged(tables.keyword_table(spark, sf_dir), "ranked-keywords")
-    matches = textscan.keyword_matches(tables.table(spark, sf_dir, "documents"), ["doc_id"], "text", keywords)
+    matches = textscan.keyword_matches(tables.table(spark, sf_dir, "documents"), ["doc_id"], "text", keywords, name="rank")
     return textscan.first_of_table(matches, ["doc_id"], keywords)
 
 

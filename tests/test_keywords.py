@@ -76,3 +76,29 @@ def test_counts_with_more_keywords_than_a_mask_holds(spark):
     has = {w: sum(w in (t or "") for _, t in texts) for w in words}
     first = {w: sum(next((v for v in words if v in (t or "")), None) == w for _, t in texts) for w in words}
     assert {r.keyword: (r.rows_with, r.rows_first) for r in got} == {w: (has[w], first[w]) for w in words}
+
+
+def test_first_keyword_by_rank_joins_no_matches_and_cuts_texts_once(spark):
+    rng = random.Random(5)
+    words = [f"prefix{i}" for i in range(200)] + [f"a prefix-{i}" for i in range(200)]
+    texts = [(i % 90 or None, " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(100)]
+    ranks = {w: 1000 - i for i, w in enumerate(words)}
+    table = spark.createDataFrame([*ranks.items(), ("", 1), (None, 2)], "keyword string, rank long")
+    frame = spark.createDataFrame(texts, "id long, text string")
+    found = textscan.keyword_matches(frame, ["id"], "text", table, name="rank")
+    assert found.columns == ["id", "rank", "occurrences"]
+    whole = expected([(key or -1, text) for key, text in texts], words)
+    assert sorted((r.id or -1, r.rank, r.occurrences) for r in found.collect()) == sorted((k, ranks[w], n) for k, w, n in whole)
+    first = textscan.first_of_table(found, ["id"], table)
+    by_id = {}
+    for key, word, _ in whole:
+        by_id.setdefault(key, []).append((ranks[word], word))
+    assert {r.id or -1: (r.keyword, r.n_keywords) for r in first.collect()} == {k: (min(v)[1], len(v)) for k, v in by_id.items()}
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    # the one join is of the best rank of each row
+    assert plan(first).count("Join ") == plan(found).count("Join ") + 1
+    whole_words = textscan.keyword_matches(frame, ["id"], "text", table.where("keyword LIKE 'prefix%'"), name="rank")
+    assert "regexp_extract_all(lower" not in plan(whole_words) and "_text" not in plan(whole_words)
