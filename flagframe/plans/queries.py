@@ -663,7 +663,7 @@ def _arrivals(events: DataFrame, batches: list[DataFrame]) -> tuple[DataFrame, s
     """A file stream that takes ``batches`` one at a time, in this order, and a scratch path for its results."""
     out = scratch_path(events.sparkSession, "arrivals")
     for batch in batches:
-        batch.coalesce(1).write.mode("append").parquet(f"{out}/in")
+        batch.repartition(1).write.mode("append").parquet(f"{out}/in")
     return events.sparkSession.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in"), out
 
 

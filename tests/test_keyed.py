@@ -144,3 +144,34 @@ def test_waiting_events_lie_in_an_aggregation_and_copies_count(spark, tmp_path):
     assert sorted(got, key=repr) == [(1, 1, "start"), (1, 1, "start"), (None, 3, "start")]
     # events wait without a call to Python, which meets a key as its events are judged
     assert {s.operatorName for step in progress for s in step.stateOperators} >= {"stateStoreSave"}
+
+
+def test_keys_share_rows_of_the_store_and_are_told_apart(spark, tmp_path):
+    rng = random.Random(11)
+    keys = [(None, None), (float("nan"), b"a"), (0.5, b"a"), (0.5, b"b"), *[(float(i), bytes([i])) for i in range(40)]]
+    rows = [(*rng.choice(keys), rng.randrange(200), i, rng.choice(["start", "retry", "complete", "cancel", None])) for i in range(900)]
+    schema = "a double, b binary, s long, event_id long, op string"
+    events = spark.createDataFrame(rows, schema).select("a", "b", F.timestamp_seconds("s").alias("ts"), "event_id", "op").cache()
+    progress = []
+    for part in ("s < 60", "s BETWEEN 60 AND 119", "s >= 120"):
+        events.where(part.replace("s ", "unix_seconds(ts) ", 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = stream_of(spark, events, str(tmp_path / "in"))
+        progress += finish(start_keyed_rejections(source, ["a", "b"], "ts", str(tmp_path / "out"), str(tmp_path / "cp"), ["event_id"], once=True, buckets=4))
+
+    def named(df):
+        return sorted(((r.a, bytes(r.b) if r.b is not None else None, r.event_id, r.op) for r in df.collect()), key=repr)
+
+    assert repr(named(spark.read.parquet(str(tmp_path / "out")))) == repr(named(job_rejections(events, ["a", "b"], ["ts", "event_id"])))
+    # the store is called per bucket, however many keys there are
+    assert all(s.numRowsTotal <= 4 and s.numRowsUpdated <= 4 for step in progress for s in step.stateOperators)
+    events.unpersist()
+
+
+def test_instants_are_keys_of_their_own(spark, tmp_path):
+    df = spark.createDataFrame([(3600 * i // 2, i, "start") for i in range(4)], "k long, event_id long, op string")
+    df = df.select(F.timestamp_seconds(F.col("k") + 1_792_888_200).alias("k"), F.timestamp_seconds("event_id").alias("ts"), "event_id", "op")
+    df = df.union(df.withColumn("event_id", F.col("event_id") + 10))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    finish(start_keyed_rejections(stream_of(spark, df, str(tmp_path / "in")), ["k"], "ts", str(tmp_path / "out"), str(tmp_path / "cp"), ["event_id"], once=True, buckets=2))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.k, r.event_id) for r in got.collect()) == sorted((r.k, r.event_id) for r in df.where("event_id >= 10").collect())
