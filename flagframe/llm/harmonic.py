@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flagframe.llm.tokens import END_ID, worker_tokenizer
+from flagframe.llm.tokens import END_ID, SCAN_BOUNDS, worker_tokenizer
 
 CAPACITY = 2048
 WASTE = 0.03
@@ -118,7 +118,7 @@ def _packed(capacity: int, waste: float, tokenizer: str | None):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = worker_tokenizer(tokenizer), END_ID.to_bytes(4, "little")
+        words, end = worker_tokenizer(tokenizer, *SCAN_BOUNDS), END_ID.to_bytes(4, "little")
         classes = Classes(capacity, TaskContext.get().partitionId() << PART_BITS)
         rows: list[tuple] = []
         for batch in batches:

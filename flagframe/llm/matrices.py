@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flagframe.llm.tokens import END_ID, worker_tokenizer
+from flagframe.llm.tokens import END_ID, SCAN_BOUNDS, worker_tokenizer
 
 ROW_TOKENS = 4096
 BLOCK_TOKENS = 1 << 21
@@ -99,7 +99,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 def _packed(capacity: int, block_tokens: int, pad: int, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        words = worker_tokenizer(tokenizer)
+        words = worker_tokenizer(tokenizer, *SCAN_BOUNDS)
         dtype = np.dtype("<u2" if words.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         held: list[tuple[int, int, np.ndarray]] = []
         total = 0

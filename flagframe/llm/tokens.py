@@ -2,16 +2,20 @@
 
 The tokenizer splits at white space and drops it, so the ids of a text are those of its
 words in order. It also lowers the case, so A-Z are lowered before words are told apart. Words are looked
-up in a bounded cache of their coded ids. A word of letters with closing punctuation is its letters' ids
-and the punctuation's. Unknown words of letters reach the tokenizer joined to one text: each makes one
+up in a bounded cache of their coded ids; a full one keeps the words that were met again. A word of letters
+with closing punctuation is its letters' ids and the punctuation's, and other words of ASCII are their pieces'.
+Unknown words of letters reach the tokenizer joined to one text: each makes one
 piece, and every piece ends with a token that ends a word, which shows where the words' ids
-end. Other unknown words are coded one by one.
+end. Where they are lowered and normalised as they stand, the tokenizer's model meets them without its normaliser and
+its expressions, which take as long as the model. Other unknown words are coded one by one.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
@@ -20,58 +24,105 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 CACHED_WORDS = 250_000  # about 60 MB; beyond it words are learned anew
 CHARS_AT_ONCE = 500_000
-CLOSING = b".,;:!?"
+SCAN_BOUNDS = 800_000, 2_000_000  # the same where a job is a narrow scan, whose workers hold little else
+CLOSING = punctuation.encode()
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+PIECES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")  # the tokenizer's, of lowered ASCII without white space
+BARE_STOP = 0x500  # letters below it are checked against the tokenizer when it is loaded
+# what the model calls the bytes of letters beyond ASCII: those that do not print have other names
+BYTE_LETTERS = {byte: byte for byte in range(128, 256)} | {byte: byte + 162 for byte in range(128, 161)} | {173: 323}
+OTHER, LETTERS, BARE = range(3)
 
 
-def _letters(word: bytes) -> bool:
-    """Whether the tokenizer sees letters only: normalised and lowered, some letters are not."""
+def _kind(word: bytes) -> int:
+    """Whether the tokenizer sees letters only (normalised and lowered, some are not), and whether it leaves them as they are."""
     if word.isascii():
-        return word.isalpha()
+        return BARE if word.isalpha() else OTHER
     text = word.decode()
-    return is_normalized("NFC", text) and text.lower().isalpha()
+    low = text.lower()
+    if not (low.isalpha() and is_normalized("NFC", text)):
+        return OTHER
+    return BARE if low == text and ord(max(text)) < BARE_STOP else LETTERS
 
 
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes. One per Python worker."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, cached_words: int = CACHED_WORDS, chars_at_once: int = CHARS_AT_ONCE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.cached_words, self.chars_at_once = cached_words, chars_at_once
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
+        self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known, closed, plain, other = self.known, [], set(), set()
-        for coded in words.difference(known):
+        every = [f"a{chr(c)}b".encode() for c in range(97, BARE_STOP)]
+        every = [word for word in every if _kind(word) == BARE]
+        self.is_bare = np.array_equal(self._joined(every, BARE), self._joined(every, LETTERS))
+
+    def look_up(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids per word, in a small table of their own: looking up every word of a text in the whole cache takes longer."""
+        if len(self.known) > self.cached_words:
+            self.known = {word: self.known[word] for word in self.again} if len(self.again) <= self.cached_words // 2 else {}
+            self.again = set()
+        found = dict(zip(words, map(self.known.get, words)))
+        new = [word for word, ids in found.items() if ids is None]
+        if len(self.known) > self.cached_words // 2:
+            self.again |= words.difference(new)
+        self.learn(new)
+        found.update(zip(new, map(self.known.__getitem__, new)))
+        return found
+
+    def learn(self, new: list[bytes]) -> None:
+        known, closed, cut, bare, letters, other = self.known, [], [], set(), set(), set()
+        for coded in new:
+            if coded.isalpha():  # ASCII
+                bare.add(coded)
+                continue
             core = coded.rstrip(CLOSING)
-            if not _letters(core):
+            kind = _kind(core)
+            if kind != OTHER:
+                if core not in known:
+                    (bare if kind == BARE else letters).add(core)
+                if len(core) < len(coded):
+                    closed.append((coded, core, coded[len(core) :]))
+            elif coded.isascii() and len(parts := PIECES.findall(coded)) > 1 and not any(token in coded for token in self.added):
+                cut.append((coded, parts))
+            else:
                 other.add(coded)
-                continue
-            if core not in known:
-                plain.add(core)
-            if len(core) < len(coded):
-                closed.append((coded, core, coded[len(core) :]))
-        if plain and not self._learn_joined(list(plain)):
-            other |= plain
+        for part in set().union(*[parts for _, parts in cut]).difference(known):
+            (bare if part.isalpha() else other).add(part)
         other.update(closing for _, _, closing in closed if closing not in known)
+        for some, kind in (bare, BARE), (letters, LETTERS):
+            if some and not self._learn_joined(list(some), kind):
+                other |= some
         for coded, one in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
             known[coded] = np.array(one.ids, "<u4").tobytes()
         for coded, core, closing in closed:
             known[coded] = known[core] + known[closing]
-
-    def _learn_joined(self, words: list[bytes]) -> bool:
+        for coded, parts in cut:
+            known[coded] = b"".join([known[part] for part in parts])
+
+    def _joined(self, words: list[bytes], kind: int) -> np.ndarray:
+        joined = b" ".join(words)
+        if kind == BARE:
+            tokenizer, text = self.bare, joined.decode("latin-1").translate(BYTE_LETTERS)
+        else:
+            tokenizer, text = self.tokenizer, joined.decode()
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_joined(self, words: list[bytes], kind: int) -> bool:
         """Code words of letters in one go; False if they do not make one piece each."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ids = self._joined(words, kind if self.is_bare else LETTERS)
         stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         if len(stops) != len(words):
             return False
@@ -82,16 +133,16 @@ class WordTokenizer:
         return True
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids per text. Texts of ``CHARS_AT_ONCE`` characters together look up what is new to them at once."""
+        """Ids per text. Texts of ``chars_at_once`` characters together look up what is new to them at once."""
         start, chars = 0, 0
         for stop, text in enumerate(texts, 1):
             chars += len(text or "")
-            if chars < CHARS_AT_ONCE and stop < len(texts):
+            if chars < self.chars_at_once and stop < len(texts):
                 continue
             split = [(text or "").encode().translate(LOWER).split() for text in texts[start:stop]]
-            self.learn(set().union(*split))
+            found = self.look_up(set().union(*split))
             for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+                yield b"".join(map(found.__getitem__, words))
             start, chars = stop, 0
 
     def encode(self, text: str | None) -> bytes:
@@ -101,8 +152,9 @@ class WordTokenizer:
 _WORKER: dict[str | None, WordTokenizer] = {}
 
 
-def worker_tokenizer(path: str | None = None) -> WordTokenizer:
-    """The tokenizer of this Python worker, loaded once and kept for its next tasks."""
+def worker_tokenizer(path: str | None = None, cached_words: int = CACHED_WORDS, chars_at_once: int = CHARS_AT_ONCE) -> WordTokenizer:
+    """The tokenizer of this Python worker, loaded once and kept for its next tasks, which may set other bounds."""
     if path not in _WORKER:
         _WORKER[path] = WordTokenizer(path)
+    _WORKER[path].cached_words, _WORKER[path].chars_at_once = cached_words, chars_at_once
     return _WORKER[path]

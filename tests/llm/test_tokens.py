@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flagframe.llm.tokens import WordTokenizer
+from flagframe.llm.tokens import CACHED_WORDS, CHARS_AT_ONCE, WordTokenizer, worker_tokenizer
 
 CODED = WordTokenizer()
 
@@ -32,3 +32,39 @@ def test_words_with_closings_known_before_or_not():
         rng, fresh = random.Random(seed), WordTokenizer()
         texts = [" ".join(rng.choices(words, k=4)) for _ in range(8)]
         assert [fresh.encode(t) for t in texts] == [direct(t) for t in texts]
+
+
+class Counting:
+    """A tokenizer that keeps what it is asked."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_the_whole_tokenizer_meets_only_what_its_model_cannot():
+    fresh = WordTokenizer()
+    fresh.tokenizer = Counting(fresh.tokenizer)
+    text = "word Word, été! word### don't 10.0.0.1 x<|endoftext|> Ünder"
+    assert fresh.encode(text) == direct(text)
+    assert sorted(fresh.tokenizer.asked) == sorted([",", "!", "###", "'t", ".", "0", "1", "x<|endoftext|>", "Ünder"])
+
+
+def test_a_full_cache_keeps_words_met_again():
+    fresh = WordTokenizer(cached_words=8)
+    fresh.encode("a b c d e f g")
+    fresh.encode("a b h i")
+    fresh.encode("j")
+    assert set(fresh.known) == {b"a", b"b", b"j"} and fresh.encode("a c j") == direct("a c j")
+    fresh.encode("k l m n o p q r s")  # more than half met again: nothing is kept
+    fresh.encode("k l m n o p q r s")
+    fresh.encode("t")
+    assert set(fresh.known) == {b"t"}
+
+
+def test_bounds_of_a_worker_are_its_last_tasks():
+    assert worker_tokenizer(None, 9, 10).cached_words == 9
+    assert (worker_tokenizer().cached_words, worker_tokenizer().chars_at_once) == (CACHED_WORDS, CHARS_AT_ONCE)
