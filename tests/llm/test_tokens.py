@@ -5,9 +5,10 @@ import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flagframe.llm.tokens import CACHED_WORDS, CHARS_AT_ONCE, WordTokenizer, worker_tokenizer
+from flagframe.llm.tokens import BARE_STOP, CACHED_WORDS, CHARS_AT_ONCE, WordTokenizer, worker_tokenizer
 
 CODED = WordTokenizer()
+SMALL = WordTokenizer(cached_words=6, chars_at_once=15)
 
 
 def direct(text):
@@ -68,3 +69,22 @@ def test_a_full_cache_keeps_words_met_again():
 def test_bounds_of_a_worker_are_its_last_tasks():
     assert worker_tokenizer(None, 9, 10).cached_words == 9
     assert (worker_tokenizer().cached_words, worker_tokenizer().chars_at_once) == (CACHED_WORDS, CHARS_AT_ONCE)
+
+
+def test_letters_are_known_once_whatever_closes_them():
+    fresh = WordTokenizer()
+    text = "alpha, Alpha alpha. (alpha) été! été?! été"
+    assert fresh.encode(text) == direct(text)
+    assert {word for word in fresh.known if word > b"a"} == {b"alpha", "été".encode()}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from(list("abCé.,!1' \n")), max_size=12), max_size=8))
+def test_small_caches_and_batches(texts):
+    assert list(SMALL.encode_all(texts)) == [direct(text or "") for text in texts]
+
+
+def test_every_letter_that_meets_the_model_alone():
+    for letter in map(chr, range(97, BARE_STOP)):
+        text = f"a{letter}b, {letter}{letter}. {letter}"
+        assert CODED.encode(text) == direct(text)
